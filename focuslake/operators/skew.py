@@ -1,0 +1,20 @@
+"""Joining rows back to a per-key result when one key may hold a large share of the rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, functions as F
+
+SALTS = 8
+
+
+def join_per_key(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], salts: int = SALTS) -> DataFrame:
+    """Inner join of many rows per key with one row per key.
+
+    A key's rows go to ``salts`` partitions, and its single row is copied to each of them. The salt
+    is a hash of the row, so a task that is run again sends its rows to the same places.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salts)).cast("int"))
+    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [*keys, "_salt"]).drop("_salt")
