@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as C
@@ -16,11 +18,14 @@ def _word(vals: Column, i: Column | int) -> Column:
     return F.coalesce(F.get(vals, F.lit(i) if isinstance(i, int) else i), F.lit(0)).cast("int")
 
 
-def af_layout(vals: Column) -> Column:
-    """``struct<start, num, valid, w, h>``, null for a payload that holds no usable points.
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    Newer cameras put two words in front; they show as a byte count that is too large for a point
-    count, followed by plausible counts.
+
+def _start(vals: Column) -> Column:
+    """Newer cameras put two words in front of the counts; they show as a byte count that is too
+    large for a point count, followed by plausible counts.
     """
     prefixed = (
         (_word(vals, 0) > 1000)
@@ -29,11 +34,23 @@ def af_layout(vals: Column) -> Column:
         & (_word(vals, 3) >= 0)
         & (_word(vals, 3) <= _word(vals, 2))
     )
-    start = F.when(prefixed, 2).otherwise(0)
-    num, valid, w, h = [_word(vals, start + i) for i in (0, 1, 4, 5)]
-    usable = (F.size(vals) >= 6) & (num > 0) & (num <= C.MAX_AF_POINTS) & (w > 0) & (h > 0)
-    fields = {"start": start, "num": num, "valid": valid, "w": w, "h": h}
-    return F.when(vals.isNotNull() & usable, F.struct(*[c.alias(k) for k, c in fields.items()]))
+    return F.when(prefixed, 2).otherwise(0)
+
+
+def _usable(vals: Column, num: Column, w: Column, h: Column) -> Column:
+    return vals.isNotNull() & (F.size(vals) >= 6) & (num > 0) & (num <= C.MAX_AF_POINTS) & (w > 0) & (h > 0)
+
+
+def af_layout(vals: Column) -> Column:
+    """``struct<start, num, valid, w, h>``, null for a payload that holds no usable points."""
+
+    def read(start: Column) -> Column:
+        places = {"num": 0, "valid": 1, "w": 4, "h": 5}
+        return F.struct(start.alias("start"), *[_word(vals, start + i).alias(k) for k, i in places.items()])
+
+    return bind(
+        bind(_start(vals), read), lambda l: F.when(_usable(vals, l["num"], l["w"], l["h"]), l)
+    )
 
 
 def mask_bit(vals: Column, base: Column, i: Column) -> Column:
@@ -54,43 +71,55 @@ def bitmask_flags(vals: Column, layout: Column) -> Column:
 
 
 def _mask_bases(layout: Column) -> tuple[Column, Column]:
-    words = F.floor((layout["num"] + 15) / 16).cast("int")
     focus = layout["start"] + 6 + layout["num"] * 4
-    return focus, focus + words
+    return focus, focus + _mask_words(layout["num"])
+
+
+def _mask_words(num: Column) -> Column:
+    return F.floor((num + 15) / 16).cast("int")
+
+
+def _rect(w: Column, h: Column, x: Column, y: Column, w_img: Column, h_img: Column, y_down: Column) -> Column:
+    """A point's rectangle from pixel sizes and a position relative to the centre."""
+    unit, zero = F.lit(1.0), F.lit(0.0)
+    nw, nh, rise = w / w_img, h / h_img, y / h_img
+    cy = F.when(y_down, 0.5 + rise).otherwise(0.5 - rise)
+    return rect(
+        F.greatest(zero, F.least(unit, 0.5 + x / w_img - nw / 2)),
+        F.greatest(zero, F.least(unit, cy - nh / 2)),
+        F.least(nw, unit),
+        F.least(nh, unit),
+    )
+
+
+def _last_point(num: Column, valid: Column) -> Column:
+    """A payload may claim more valid points than it declares; those have no mask and are left out."""
+    return F.least(F.greatest(F.lit(1), valid), num) - 1
 
 
 def af_points_array(vals: Column, layout: Column, y_down: Column) -> Column:
     """Decoded points as ``array<struct<idx, rect, in_focus, selected>>``, all inside one row."""
-    num, w_img, h_img = layout["num"], layout["w"], layout["h"]
-    base = layout["start"] + 6
-    focus, selected = _mask_bases(layout)
-    # A payload may claim more valid points than it declares; those have no mask and are left out.
-    last = F.least(F.greatest(F.lit(1), layout["valid"]), num) - 1
-    unit = F.lit(1.0)
-
-    def point(i: Column) -> Column:
-        w, h = _word(vals, base + i) / w_img, _word(vals, base + num + i) / h_img
-        cx = 0.5 + _word(vals, base + num * 2 + i) / w_img
-        rise = _word(vals, base + num * 3 + i) / h_img
-        cy = F.when(y_down, 0.5 + rise).otherwise(0.5 - rise)
-        box = rect(
-            F.greatest(F.lit(0.0), F.least(unit, cx - w / 2)),
-            F.greatest(F.lit(0.0), F.least(unit, cy - h / 2)),
-            F.least(w, unit),
-            F.least(h, unit),
-        )
-        return F.struct(
-            i.alias("idx"),
-            box.alias("rect"),
-            mask_bit(vals, focus, i).alias("in_focus"),
-            mask_bit(vals, selected, i).alias("selected"),
-        )
-
-    def real(i: Column) -> Column:
-        return (_word(vals, base + i) > 0) & (_word(vals, base + num + i) > 0)
-
-    points = F.transform(F.filter(F.sequence(F.lit(0), last), real), point)
-    return F.when(layout.isNotNull(), points)
+
+    def decode(l: Column) -> Column:
+        num, base = l["num"], l["start"] + 6
+        focus, selected = _mask_bases(l)
+
+        def real(i: Column) -> Column:
+            return (_word(vals, base + i) > 0) & (_word(vals, base + num + i) > 0)
+
+        def point(i: Column) -> Column:
+            w, h, x, y = [_word(vals, base + num * k + i) for k in range(4)]
+            return F.struct(
+                i.alias("idx"),
+                _rect(w, h, x, y, l["w"], l["h"], y_down).alias("rect"),
+                mask_bit(vals, focus, i).alias("in_focus"),
+                mask_bit(vals, selected, i).alias("selected"),
+            )
+
+        real_ones = F.filter(F.sequence(F.lit(0), _last_point(num, l["valid"])), real)
+        return F.when(l.isNotNull(), F.transform(real_ones, point))
+
+    return bind(layout, decode)
 
 
 def with_points(tags: DataFrame) -> DataFrame:
@@ -101,9 +130,29 @@ def with_points(tags: DataFrame) -> DataFrame:
 
 
 def af_decode(tags: DataFrame, image: str = "path") -> DataFrame:
-    """``(path, tag, idx, rect, in_focus, selected, precise)``: every real point of every payload."""
-    precise = (F.col("tag") == PRECISE_TAG).alias("precise")
-    return with_points(tags).select(image, "tag", precise, F.inline("points"))
+    """``(path, tag, precise, idx, rect, in_focus, selected)``: every real point of every payload.
+
+    Points become rows first and are decoded after that, with plain expressions on plain columns.
+    """
+    vals, num, valid = F.col("vals"), F.col("_num"), F.col("_valid")
+    base = F.col("_start") + 6
+    usable = (
+        tags.select(image, "tag", "vals", _start(vals).alias("_start"))
+        .select("*", *[_word(vals, F.col("_start") + i).alias(k) for k, i in
+                       (("_num", 0), ("_valid", 1), ("_w", 4), ("_h", 5))])
+        .filter(_usable(vals, num, F.col("_w"), F.col("_h")))
+    )
+    spread = usable.withColumn("idx", F.explode(F.sequence(F.lit(0), _last_point(num, valid))))
+    sizes = ("_pw", "_ph", "_px", "_py")
+    words = spread.select("*", *[_word(vals, base + num * k + F.col("idx")).alias(c) for k, c in enumerate(sizes)])
+    real = words.filter((F.col("_pw") > 0) & (F.col("_ph") > 0))
+    focus = base + num * 4
+    box = _rect(*[F.col(c) for c in sizes], F.col("_w"), F.col("_h"), F.col("tag") == PRECISE_TAG)
+    return real.select(
+        image, "tag", (F.col("tag") == PRECISE_TAG).alias("precise"), "idx", box.alias("rect"),
+        mask_bit(vals, focus, F.col("idx")).alias("in_focus"),
+        mask_bit(vals, focus + _mask_words(num), F.col("idx")).alias("selected"),
+    )
 
 
 def tag_priority(tags: DataFrame, image: str = "path") -> DataFrame:
@@ -112,11 +161,11 @@ def tag_priority(tags: DataFrame, image: str = "path") -> DataFrame:
     A payload without points does not count, so a stub falls through to the next tag.
     """
     rank = F.array_position(F.array(*[F.lit(t) for t in C.AF_TAGS]), F.col("tag"))
-    decoded = with_points(tags).filter((rank > 0) & (F.size("points") > 0))
-    first = F.min_by(F.struct("tag", "points"), rank).alias("_first")
+    counts = F.when((rank > 0) & (F.size("points") > 0), rank)
+    first = F.min_by(F.struct("tag", "points"), counts).alias("_first")
     return (
-        decoded.groupBy(image).agg(first).select(image, "_first.*")
-        .withColumn("precise", F.col("tag") == PRECISE_TAG)
+        with_points(tags).groupBy(image).agg(first).filter(F.col("_first").isNotNull())
+        .select(image, "_first.*").withColumn("precise", F.col("tag") == PRECISE_TAG)
     )
 
 
@@ -128,10 +177,14 @@ def preferred_points(points: Column) -> Column:
 
 def points_union(points: Column) -> Column:
     """Bounding box of an array of points, null for none."""
-    x0, y0 = F.array_min(points["rect"]["x"]), F.array_min(points["rect"]["y"])
-    x1 = F.array_max(F.transform(points, lambda p: p["rect"]["x"] + p["rect"]["w"]))
-    y1 = F.array_max(F.transform(points, lambda p: p["rect"]["y"] + p["rect"]["h"]))
-    return rect(x0, y0, x1 - x0, y1 - y0)
+
+    def box(rects: Column) -> Column:
+        x0, y0 = F.array_min(rects["x"]), F.array_min(rects["y"])
+        x1 = F.array_max(F.transform(rects, lambda r: r["x"] + r["w"]))
+        y1 = F.array_max(F.transform(rects, lambda r: r["y"] + r["h"]))
+        return rect(x0, y0, x1 - x0, y1 - y0)
+
+    return bind(points["rect"], box)
 
 
 def af_rects(tags: DataFrame, image: str = "path") -> DataFrame:
