@@ -46,12 +46,14 @@ def population_variance(n: Column, total: Column, squares: Column) -> Column:
 
 def combined_variance(var_h: Column, var_v: Column) -> Column:
     zero = F.lit(0.0)
-    return F.sqrt(F.greatest(var_h, zero) * F.greatest(var_v, zero))
+    both = var_h.isNotNull() & var_v.isNotNull()
+    return F.when(both, F.sqrt(F.greatest(var_h, zero) * F.greatest(var_v, zero)))
 
 
 def focus_score(combined: Column, divisor: Column, size_conf: Column) -> Column:
-    """Capped at 1 first, scaled by the size confidence after that."""
-    return F.least(combined / divisor, F.lit(1.0)) * size_conf
+    """Capped at 1 first, scaled by the size confidence after that; null without a variance."""
+    # least() skips nulls and would turn a missing variance into a full score.
+    return F.when(combined.isNotNull(), F.least(combined / divisor, F.lit(1.0)) * size_conf)
 
 
 def focus_status(score: Column, sharp: Column, acceptable: Column) -> Column:

@@ -124,15 +124,10 @@ def with_variances(moments: DataFrame) -> DataFrame:
     return (
         moments.withColumn("var_h", population_variance(n, F.col("sum_h"), F.col("ss_h")))
         .withColumn("var_v", population_variance(n, F.col("sum_v"), F.col("ss_v")))
-        .withColumn("combined", _combined())
+        .withColumn("combined", combined_variance(F.col("var_h"), F.col("var_v")))
     )
 
 
-def _combined() -> Column:
-    c = combined_variance(F.col("var_h"), F.col("var_v"))
-    return F.when(F.col("var_h").isNotNull() & F.col("var_v").isNotNull(), c)
-
-
 def directional_laplacian(
     pixels: DataFrame, image: str = "image_id", windows: DataFrame | None = None, tile: int = TILE
 ) -> DataFrame:
