@@ -25,7 +25,8 @@ def open_filesystem(location: str):
     from pyarrow import fs
 
     if location.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + location[5:].lstrip("/"), location[: len(location) - len("/" + location[5:].lstrip("/"))]
+        path = "/" + location.removeprefix("file:").lstrip("/")
+        return fs.LocalFileSystem(), path, location.removesuffix(path)
     if "://" in location:
         filesystem, path = fs.FileSystem.from_uri(location)
         return filesystem, path, location[: len(location) - len(path)]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import constants as C
 from ..functions.files import file_name
 from ..functions.labels import build_xmp, sidecar_path, species_group
-from .listing import open_filesystem
+from .files import store_file
 
 WRITTEN, SKIPPED, ERROR = "written", "skipped", "error"
 
@@ -50,7 +50,7 @@ def write_sidecars(table: DataFrame) -> DataFrame:
             for r in batch.to_pylist():
                 status, error = r["status"], r["error"]
                 if r["xmp"] is not None:
-                    failure = _store(r["sidecar_path"], r["xmp"])
+                    failure = store_file(r["sidecar_path"], r["xmp"].encode("utf-8"))
                     if failure:
                         name = r["path"].rsplit("/", 1)[-1]
                         status, error = ERROR, f"{name}: Failed to write XMP file: {failure}"
@@ -62,20 +62,6 @@ def write_sidecars(table: DataFrame) -> DataFrame:
     return columns.mapInArrow(store, "path string, status string, error string")
 
 
-def _store(location: str, text: str) -> str | None:
-    import uuid
-
-    filesystem, path, _ = open_filesystem(location)
-    draft = f"{path}.{uuid.uuid4().hex}.tmp"
-    try:
-        with filesystem.open_output_stream(draft) as out:
-            out.write(text.encode("utf-8"))
-        filesystem.move(draft, path)
-    except OSError as e:
-        return str(e)
-    return None
-
-
 def write_summary(outcome: DataFrame) -> DataFrame:
     """``(written, skipped, errors, message)`` over ``(path, status, error)``."""
 
