@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as C
+from ..functions.binding import bind
 from ..functions.files import af_tier
 from ..functions.geometry import rect
 from .skew import join_per_key
@@ -18,11 +17,6 @@ def _word(vals: Column, i: Column | int) -> Column:
     return F.coalesce(F.get(vals, F.lit(i) if isinstance(i, int) else i), F.lit(0)).cast("int")
 
 
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, however often ``use`` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _start(vals: Column) -> Column:
     """Newer cameras put two words in front of the counts; they show as a byte count that is too
     large for a point count, followed by plausible counts.

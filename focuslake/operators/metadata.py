@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.binding import bind
 from .catalog import contains_text
 
 OBJECT = "map<string,variant>"
@@ -38,14 +39,12 @@ def flat_entries(doc: Column) -> Column:
         F.map_entries(opened(F.try_parse_json(doc))), lambda e: entry(e["key"], e["value"], F.lit(0))
     )
     depth = F.length(doc) - F.length(F.replace(doc, F.lit("{"), F.lit("")))
-    leaves = F.transform(
-        F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), top, step),
-        lambda e: F.struct(
-            e["key"].alias("key"), F.coalesce(e["value"].cast("string"), F.lit("<null>")).alias("value"),
-            e["level"].alias("level"),
-        ),
-    )
-    return leaves
+
+    def as_text(e: Column) -> Column:
+        value = F.coalesce(e["value"].cast("string"), F.lit("<null>"))
+        return F.struct(e["key"], value.alias("value"), e["level"])
+
+    return F.transform(F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), top, step), as_text)
 
 
 def _without_repeats(entries: Column) -> Column:
@@ -65,11 +64,10 @@ def _without_repeats(entries: Column) -> Column:
 
 def flatten_metadata(docs: DataFrame, doc: str = "doc", key: str = "path") -> DataFrame:
     """``(path, key, value)`` rows from one JSON document per file."""
-    flat = docs.select(F.col(key), flat_entries(F.col(doc)).alias("_flat"))
-    kept = flat.select(key, _without_repeats(F.col("_flat")).alias("_flat"))
-    return kept.select(key, F.explode("_flat").alias("_e")).select(
-        F.col(key), F.col("_e.key").alias("key"), F.col("_e.value").alias("value")
-    )
+    flat = docs.select(F.col(key), bind(flat_entries(F.col(doc)), _without_repeats).alias("_flat"))
+    # The outer form keeps Spark from testing the array in a filter of its own, which would flatten twice.
+    opened = flat.select(key, F.explode_outer("_flat").alias("_e")).filter(F.col("_e").isNotNull())
+    return opened.select(F.col(key), F.col("_e.key").alias("key"), F.col("_e.value").alias("value"))
 
 
 def search_metadata(rows: DataFrame, query: str, key: str = "path") -> DataFrame:

@@ -17,7 +17,8 @@ MOMENTS = ("n", "sum_h", "ss_h", "sum_v", "ss_v")
 
 def pixels_from_arrays(images: DataFrame, image: str = "image_id", grid: str = "grid", width: str = "width") -> DataFrame:
     """Row-major arrays to one row per pixel."""
-    return images.select(image, F.col(width).alias("_w"), F.posexplode(grid).alias("_i", "g")).select(
+    spread = images.select(image, F.col(width).alias("_w"), F.posexplode_outer(grid).alias("_i", "g"))
+    return spread.filter(F.col("_i").isNotNull()).select(
         image,
         F.floor(F.col("_i") / F.col("_w")).cast("int").alias("y"),
         (F.col("_i") % F.col("_w")).cast("int").alias("x"),

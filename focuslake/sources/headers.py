@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as C
+from ..functions.binding import bind
 from .listing import open_filesystem
 
 BATCH_BYTES = 64 * 1024 * 1024
@@ -124,37 +125,27 @@ def directory_tags(box: Column, little: Column) -> Column:
     Values are read as 16-bit integers whatever type the entry declares.
     """
     total = F.length(box)
-    first = _unsigned(box, 4, 4, little)
-    entries = _unsigned(box, first, 2, little)
-    sound = (
-        (total > 8)
-        & F.hex(F.substring(box, 1, 2)).isin("4949", "4D4D")
-        & (_unsigned(box, 2, 2, little) == 42)
-        & (first + 2 < total)
-        & (entries > 0)
-        & (entries < 500)
-    )
-
-    def entry(i: Column) -> Column:
+
+    def entry(first: Column, i: Column) -> Column:
         at = (first + 2 + i * 12).cast("int")
-        count = _unsigned(box, at + 4, 4, little)
-        start = F.when(count * 2 > 4, _unsigned(box, at + 8, 4, little)).otherwise(at + 8)
-        return F.struct(
-            i.alias("entry"),
-            _unsigned(box, at, 2, little).cast("int").alias("tag"),
-            count.alias("cnt"),
-            start.alias("start"),
-            (at + 12 <= total).alias("whole"),
-        )
 
-    listed = F.filter(
-        F.transform(F.sequence(F.lit(0), entries.cast("int") - 1), entry),
-        lambda e: e["whole"] & e["tag"].isin(*C.AF_TAGS) & (e["start"] + e["cnt"] * 2 <= total),
-    )
-    wanted = F.filter(
-        F.array(*[F.get(F.filter(listed, lambda e, t=t: e["tag"] == t), F.lit(0)) for t in C.AF_TAGS]),
-        lambda e: e.isNotNull(),
-    )
+        def described(count: Column) -> Column:
+            start = F.when(count * 2 > 4, _unsigned(box, at + 8, 4, little)).otherwise(at + 8)
+            return F.struct(
+                i.alias("entry"), _unsigned(box, at, 2, little).cast("int").alias("tag"),
+                count.alias("cnt"), start.alias("start"), (at + 12 <= total).alias("whole"),
+            )
+
+        return bind(_unsigned(box, at + 4, 4, little), described)
+
+    def readable(e: Column) -> Column:
+        return e["whole"] & e["tag"].isin(*C.AF_TAGS) & (e["start"] + e["cnt"] * 2 <= total)
+
+    def first_of(listed: Column, tag: int) -> Column:
+        return F.get(F.filter(listed, lambda e: e["tag"] == tag), F.lit(0))
+
+    def pick(listed: Column) -> Column:
+        return F.filter(F.array(*[first_of(listed, t) for t in C.AF_TAGS]), lambda e: e.isNotNull())
 
     def with_values(e: Column) -> Column:
         places = F.when(e["cnt"] > 0, F.sequence(F.lit(0), e["cnt"].cast("int") - 1)).otherwise(
@@ -163,11 +154,31 @@ def directory_tags(box: Column, little: Column) -> Column:
         vals = F.transform(places, lambda k: _signed16(box, (e["start"] + k * 2).cast("int"), little))
         return F.struct(e["entry"], e["tag"], e["cnt"].cast("int").alias("cnt"), vals.alias("vals"))
 
-    return F.when(sound, F.transform(wanted, with_values))
+    def walk(d: Column) -> Column:
+        sound = (
+            (total > 8)
+            & F.hex(F.substring(box, 1, 2)).isin("4949", "4D4D")
+            & (_unsigned(box, 2, 2, little) == 42)
+            & (d["first"] + 2 < total)
+            & (d["entries"] > 0)
+            & (d["entries"] < 500)
+        )
+        numbers = F.sequence(F.lit(0), d["entries"].cast("int") - 1)
+        listed = F.filter(F.transform(numbers, lambda i: entry(d["first"], i)), readable)
+        return F.when(sound, F.transform(bind(listed, pick), with_values))
+
+    def heading(first: Column) -> Column:
+        return F.struct(first.alias("first"), _unsigned(box, first, 2, little).alias("entries"))
+
+    return bind(bind(_unsigned(box, 4, 4, little), heading), walk)
 
 
 def extract_af_tags(headers: DataFrame, key: str = "path") -> DataFrame:
     """``(path, entry, tag, cnt, vals)`` from ``(path, content)``; every step stays inside its row."""
-    boxed = headers.select(key, find_box(F.col("content")).alias("_box")).filter(F.col("_box").isNotNull())
-    little = F.hex(F.substring("_box", 1, 1)) == "49"
-    return boxed.select(key, F.inline(directory_tags(F.col("_box"), little)))
+
+    def tags(box: Column) -> Column:
+        return bind(F.hex(F.substring(box, 1, 1)) == "49", lambda little: directory_tags(box, little))
+
+    found = headers.select(key, bind(find_box(F.col("content")), tags).alias("_tags"))
+    # The outer form keeps Spark from testing the array in a filter of its own, which would parse twice.
+    return found.select(key, F.inline_outer("_tags")).filter(F.col("tag").isNotNull())
