@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from .pixels import MOMENTS
 
@@ -22,7 +22,7 @@ def gray_image(width: int, height: int, channels: int, data: bytes):
 
     pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels)
     if channels == 1:
-        pixels = np.repeat(pixels, 3, axis=2)
+        return pixels[:, :, 0].astype(np.int32)
     p = pixels[:, :, :3].astype(np.int32)
     return (p[:, :, 2] * 299 + p[:, :, 1] * 587 + p[:, :, 0] * 114) // 1000
 
@@ -53,9 +53,29 @@ def moments(g) -> tuple[int, int, int, int, int] | None:
     return h.size, int(h.sum()), int((h * h).sum()), int(v.sum()), int((v * v).sum())
 
 
+BUFFER_TYPE = StructType([
+    StructField("width", IntegerType()), StructField("height", IntegerType()),
+    StructField("channels", IntegerType()), StructField("data", BinaryType()),
+])
 MOMENTS_TYPE = StructType([StructField(k, LongType()) for k in MOMENTS])
 
 
+@F.pandas_udf(BUFFER_TYPE)
+def shrink_udf(image: pd.DataFrame, block: pd.Series) -> pd.DataFrame:
+    """Gray and downscaled: one byte per pixel, so that what follows moves as little as possible."""
+    import numpy as np
+
+    out = []
+    for w, h, c, data, k in zip(image["width"], image["height"], image["channels"], image["data"], block):
+        if data is None or pd.isna(w):
+            out.append((None, None, None, None))
+            continue
+        g = block_mean(gray_image(int(w), int(h), int(c), data), int(k)).astype(np.uint8)
+        out.append((g.shape[1], g.shape[0], 1, g.tobytes()))
+    frame = pd.DataFrame(out, columns=["width", "height", "channels", "data"])
+    return frame.astype({"width": "Int32", "height": "Int32", "channels": "Int32"})
+
+
 @F.pandas_udf(MOMENTS_TYPE)
 def laplacian_udf(image: pd.DataFrame, block: pd.Series, window: pd.DataFrame) -> pd.DataFrame:
     """Gray, downscale, crop and moments of ``struct<width, height, channels, data>`` per row.

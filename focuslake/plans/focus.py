@@ -10,7 +10,7 @@ from ..functions.scoring import blur_type, focus_score, focus_status, region_thr
 from ..operators.detections import best_detection, confidence_gate, top_detections
 from ..operators.pixels import array_moments, directional_laplacian, downscale_factor, with_variances
 from ..operators.regions import assemble_regions, crop_failure, pick_path
-from ..operators.udf import laplacian_udf
+from ..operators.udf import laplacian_udf, shrink_udf
 
 
 def plan_regions(
@@ -68,25 +68,28 @@ def analyze_grids(planned: DataFrame, image: str = "image_id", grid: str = "grid
     return focus_results(stats, image)
 
 
-def analyze_buffers(planned: DataFrame, image: str = "path", buffer: str = "image") -> DataFrame:
-    """Scores planned images that carry their encoded pixels: no shuffle for pixels.
+def shrunk(images: DataFrame, max_side: int = C.ANALYSIS_SIDE, buffer: str = "image") -> DataFrame:
+    """Replaces each image by its gray version with a longer side of at most ``max_side``."""
+    image = F.col(buffer)
+    block = downscale_factor(image["width"], image["height"], max_side)
+    small = shrink_udf(image, F.coalesce(block, F.lit(1)))
+    return images.withColumn(buffer, small)
 
-    Needs ``block``, the downscale factor; see ``with_analysis_size``.
-    """
-    m = laplacian_udf(F.col(buffer), F.col("block"), F.col("window"))
-    stats = with_variances(planned.withColumn("_m", m).select("*", "_m.*"))
-    return focus_results(stats, image)
 
+def analyze_images(
+    images: DataFrame, picked: DataFrame, key: str = "path", max_side: int = C.ANALYSIS_SIDE, buffer: str = "image"
+) -> DataFrame:
+    """Scores decoded images against the region picked for each file.
 
-def with_analysis_size(images: DataFrame, max_side: int = C.ANALYSIS_SIDE, buffer: str = "image") -> DataFrame:
-    """Adds ``block, width, height``: the image shrunk so that its longer side fits ``max_side``."""
+    ``picked`` comes from ``pick_path`` over the listing and never sees a pixel. Images are made gray
+    and small where they are read, so a join moves at most one byte per analysis pixel; where
+    ``picked`` is small enough for Spark to broadcast it, nothing moves at all.
+    """
     w, h = F.col(f"{buffer}.width"), F.col(f"{buffer}.height")
-    block = F.col("block")
-    return (
-        images.withColumn("block", downscale_factor(w, h, max_side))
-        .withColumn("width", F.ceil(w / block).cast("int"))
-        .withColumn("height", F.ceil(h / block).cast("int"))
-    )
+    joined = picked.join(shrunk(images, max_side, buffer).select(key, buffer), key, "left")
+    cut = crop_failure(joined.withColumn("width", w).withColumn("height", h))
+    m = laplacian_udf(F.col(buffer), F.lit(1), F.col("window"))
+    return focus_results(with_variances(cut.withColumn("_m", m).select("*", "_m.*")), key)
 
 
 def focus_from_grids(grids: DataFrame, image: str = "vec_id") -> DataFrame:

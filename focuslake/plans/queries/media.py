@@ -11,9 +11,10 @@ from ...sources import headers as H
 from ...sources.files import write_files
 from ...sources.images import read_images as load_images
 from ...streaming.analysis import analyze_stream as run_stream, stored_results
-from ..focus import focus_from_grids
+from ..focus import analyze_images as score_images, focus_from_grids
 from ..views import af_tags, grids, table
 from .pixels import FLAGSHIP_SQL, LAPLACIAN_SQL, with_grid_regions
+from .regions import RESULT_SQL, picked
 from .registry import r6, register, tidy
 
 CARVED = """select page_id, case when a > 0 and z > 0 and n - z - 2 >= a then substring(html, a, n - z - a + 2) end as c from (
@@ -124,19 +125,35 @@ def png_files(images: DataFrame, root: str) -> DataFrame:
     return images.mapInArrow(encode, "path string, content binary")
 
 
-@register("read_images", LAPLACIAN_SQL, "fx_grid")
-def read_images(spark, folder):
-    """Writes every image as a file, reads the files back through the image source and scores them."""
+def image_folder(spark, folder) -> str:
+    """Writes every image as a PNG file named by its number; returns the folder."""
     root = shared_folder(spark, "images")
     if not write_files(png_files(buffers(spark, folder), root)).filter("error is not null").isEmpty():
         raise OSError("could not write the images")
+    return root
+
+
+IMAGE_NUMBER = r"regexp_extract(path, '([0-9]+)[.]png$', 1)"
+
+
+@register("read_images", LAPLACIAN_SQL, "fx_grid")
+def read_images(spark, folder):
+    """Reads the images back through the image source and scores them whole."""
     image = F.col("image")
-    number = F.regexp_extract("path", r"(\d+)\.png$", 1).cast("bigint")
     m = laplacian_udf(image, F.lit(1), full_window(image["width"], image["height"]))
-    stats = load_images(spark, root).select(number.alias("vec_id"), m.alias("m")).select("vec_id", "m.*")
+    loaded = load_images(spark, image_folder(spark, folder))
+    stats = loaded.select(F.expr(IMAGE_NUMBER).cast("bigint").alias("vec_id"), m.alias("m")).select("vec_id", "m.*")
     return tidy(P.with_variances(stats))
 
 
+@register("analyze_images", RESULT_SQL, "fx_detections", "fx_rects", "fx_grid")
+def analyze_images(spark, folder):
+    """The whole analysis over image files: regions from the tables, pixels from the files."""
+    loaded = load_images(spark, image_folder(spark, folder))
+    numbered = loaded.select(F.expr(IMAGE_NUMBER).cast("bigint").alias("image_id"), "image")
+    return tidy(score_images(numbered, picked(spark, folder).drop("width", "height"), "image_id"))
+
+
 @register("analyze_stream", FLAGSHIP_SQL, "fx_grid")
 def analyze_stream(spark, folder):
     """The flagship over a stream of the embedding files, stored batch by batch."""

@@ -9,7 +9,7 @@ from ...functions.files import review_note as review_columns
 from ...functions.geometry import eye_box, flip_rect, head_box, head_from_body, rect
 from ...operators import regions as R
 from ...operators.afpoints import preferred_union
-from ...operators.detections import largest_box
+from ...operators.detections import best_detection, confidence_gate, largest_box, top_detections
 from ...operators.pixels import pixels_from_arrays
 from ..focus import analyze_focus, analyze_grids, plan_regions
 from ..views import grids, view
@@ -105,6 +105,10 @@ def subjects(spark, folder) -> DataFrame:
         F.when(order % 4 == 0, point(x + w / 2, y + h / 2)).alias("nose"))
 
 
+def chosen_detections(spark, folder) -> DataFrame:
+    return best_detection(top_detections(confidence_gate(subjects(spark, folder))))
+
+
 def animals(spark, folder) -> DataFrame:
     found = largest_box(_boxes(spark, folder).filter(F.col("label").isin("bird", "cat", "kite"))
                         .select("image_id", "ord", "label", "box"))
@@ -174,12 +178,12 @@ DETECTOR_NAME, DETECTOR_RECT = _detector_sql("eye", "head", "af", "shared")
     c as (select image_id, {DETECTOR_NAME} as region, {DETECTOR_RECT} as rect from i)
     select image_id, region, {flat_sql('rect', 'rect')} from c""", "fx_detections", "fx_rects")
 def detector_region(spark, folder):
-    from ...operators.detections import best_detection, confidence_gate, top_detections
-
-    best = best_detection(top_detections(confidence_gate(subjects(spark, folder))))
-    joined = best.join(focus_rects(spark, folder), "image_id", "left")
+    best = chosen_detections(spark, folder)
     eye, head = eye_box(F.col("eye_kps")), head_box(F.col("eye_kps"), F.col("nose"), F.col("box"))
-    return tidy(joined.select("image_id", detector_choice(eye, head, F.col("af_rect")).alias("c")).select("image_id", "c.region", "c.rect"))
+    parts = best.select("image_id", eye.alias("eye"), head.alias("head"))
+    joined = parts.join(focus_rects(spark, folder), "image_id", "left")
+    chosen = detector_choice(F.col("eye"), F.col("head"), F.col("af_rect")).alias("c")
+    return tidy(joined.select("image_id", chosen).select("image_id", "c.region", "c.rect"))
 
 
 FALLBACK_CODE = """case when coalesce(a_eye.w * a_eye.h > 4e-4, false) then 'Animal Eyes'
@@ -227,9 +231,7 @@ def fallback_region(spark, folder):
     i as (select image_id, af, {intersect_sql('head', 'af')} as o from j)
     select image_id, {flat_sql('af', 'af_rect')}, {flat_sql('o', 'overlap')} from i""", "fx_detections", "fx_rects")
 def af_subject_overlap(spark, folder):
-    from ...operators.detections import best_detection, confidence_gate, top_detections
-
-    best = best_detection(top_detections(confidence_gate(subjects(spark, folder))))
+    best = chosen_detections(spark, folder)
     heads = best.select("image_id", head_box(F.col("eye_kps"), F.col("nose"), F.col("box")).alias("head"))
     found = R.af_subject_overlap(heads, focus_rects(spark, folder), box="head")
     return tidy(found.select("image_id", "af_rect", "overlap"))
@@ -246,9 +248,7 @@ PICKED_SQL = f"""{FALLBACK_SQL}, pick as ({PICK_SQL}),
 
 
 def picked(spark, folder) -> DataFrame:
-    from ...operators.detections import best_detection, confidence_gate, top_detections
-
-    best = best_detection(top_detections(confidence_gate(subjects(spark, folder))))
+    best = chosen_detections(spark, folder)
     return R.pick_path(assembled(spark, folder), best)
 
 

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording the call site of every column costs more than building the column.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
