@@ -128,7 +128,10 @@ def scan_many_roots(spark: SparkSession, *roots: str) -> DataFrame:
 
 
 def scan_binary_listing(spark: SparkSession, *roots: str) -> DataFrame:
-    """The same through Spark's own ``binaryFile`` source, where no name starts with an underscore.
+    """The same through Spark's own ``binaryFile`` source.
+
+    It lists with the parallelism of Spark's file index, but it passes over empty files and names
+    that start with an underscore: use it where there are none.
 
     File contents are never read: the column is pruned from the scan.
     """
