@@ -11,12 +11,14 @@ from pyspark.sql import Column, functions as F
 RECT = "struct<x:double,y:double,w:double,h:double>"
 
 
-def rect(x, y, w, h) -> Column:
-    """Struct from four numeric columns or names; null if any of them is null."""
-    parts = {"x": x, "y": y, "w": w, "h": h}
-    cols = {k: F.col(v) if isinstance(v, str) else v for k, v in parts.items()}
-    present = cols["x"].isNotNull() & cols["y"].isNotNull() & cols["w"].isNotNull() & cols["h"].isNotNull()
-    return F.when(present, F.struct(*[c.cast("double").alias(k) for k, c in cols.items()]))
+def rect(x, y, w, h, present: Column | None = None) -> Column:
+    """Struct from four numeric columns or names; null where ``present`` is false.
+
+    Without ``present`` it is null if any side is null.
+    """
+    sides = [F.col(c) if isinstance(c, str) else c for c in (x, y, w, h)]
+    known = sum(sides[1:], sides[0]).isNotNull() if present is None else present
+    return F.when(known, F.struct(*[c.alias(k) for k, c in zip("xywh", sides)])).cast(RECT)
 
 
 def unit_rect() -> Column:
@@ -33,7 +35,7 @@ def rect_area(r: Column) -> Column:
 
 def flip_rect(r: Column) -> Column:
     """Bottom-left origin to top-left origin."""
-    return rect(r["x"], 1.0 - (r["y"] + r["h"]), r["w"], r["h"])
+    return rect(r["x"], 1.0 - (r["y"] + r["h"]), r["w"], r["h"], r.isNotNull())
 
 
 def clamp_rect(r: Column, bounds: Column | None = None) -> Column:
@@ -46,7 +48,7 @@ def clamp_rect(r: Column, bounds: Column | None = None) -> Column:
         return start, F.greatest(F.least(r[o] + r[s], far) - start, F.lit(0.0))
 
     (x, w), (y, h) = side("x", "w"), side("y", "h")
-    return F.when(r.isNotNull(), rect(x, y, w, h))
+    return rect(x, y, w, h, r.isNotNull())
 
 
 def rect_intersect(a: Column, b: Column) -> Column:
@@ -54,18 +56,17 @@ def rect_intersect(a: Column, b: Column) -> Column:
     w = F.least(a["x"] + a["w"], b["x"] + b["w"]) - x
     h = F.least(a["y"] + a["h"], b["y"] + b["h"]) - y
     # greatest/least skip nulls, so presence is tested on the inputs.
-    return F.when(a.isNotNull() & b.isNotNull() & (w >= 0) & (h >= 0), rect(x, y, w, h))
+    return rect(x, y, w, h, a.isNotNull() & b.isNotNull() & (w >= 0) & (h >= 0))
 
 
 def expand_rect(r: Column) -> Column:
     """Twice the width and height around the same centre, kept inside the image."""
-    grown = rect(r["x"] - r["w"] * 0.5, r["y"] - r["h"] * 0.5, r["w"] * 2.0, r["h"] * 2.0)
-    return clamp_rect(grown)
+    return clamp_rect(rect(r["x"] - r["w"] * 0.5, r["y"] - r["h"] * 0.5, r["w"] * 2.0, r["h"] * 2.0, r.isNotNull()))
 
 
 def head_from_body(body: Column) -> Column:
     """Top 30 % of a body box."""
-    return rect(body["x"], body["y"], body["w"], body["h"] * 0.3)
+    return rect(body["x"], body["y"], body["w"], body["h"] * 0.3, body.isNotNull())
 
 
 def padded_extent(min_x: Column, max_x: Column, min_y: Column, max_y: Column, pad: float) -> Column:
@@ -76,7 +77,7 @@ def padded_extent(min_x: Column, max_x: Column, min_y: Column, max_y: Column, pa
         return start, F.greatest(F.least(1.0 - start, (hi - lo) + pad * 2), F.lit(0.01))
 
     (x, w), (y, h) = side(min_x, max_x), side(min_y, max_y)
-    return F.when(min_x.isNotNull() & min_y.isNotNull(), rect(x, y, w, h))
+    return rect(x, y, w, h, min_x.isNotNull() & min_y.isNotNull())
 
 
 def detector_extent(min_x: Column, max_x: Column, min_y: Column, max_y: Column, pad: float) -> Column:
@@ -86,7 +87,7 @@ def detector_extent(min_x: Column, max_x: Column, min_y: Column, max_y: Column,
         return F.greatest(F.lit(0.0), lo - pad), F.least(F.lit(1.0), (hi - lo) + pad * 2)
 
     (x, w), (y, h) = side(min_x, max_x), side(min_y, max_y)
-    return F.when(min_x.isNotNull() & min_y.isNotNull(), rect(x, y, w, h))
+    return rect(x, y, w, h, min_x.isNotNull() & min_y.isNotNull())
 
 
 def _extent(points: Column) -> tuple[Column, Column, Column, Column]:

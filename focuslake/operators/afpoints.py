@@ -91,6 +91,21 @@ def _last_point(num: Column, valid: Column) -> Column:
     return F.least(F.greatest(F.lit(1), valid), num) - 1
 
 
+def _real(vals: Column, base: Column, num: Column, i: Column) -> Column:
+    """The point has a width and a height."""
+    return (_word(vals, base + i) > 0) & (_word(vals, base + num + i) > 0)
+
+
+def has_points(vals: Column) -> Column:
+    """Whether a payload decodes to at least one point."""
+
+    def any_real(l: Column) -> Column:
+        places = F.sequence(F.lit(0), _last_point(l["num"], l["valid"]))
+        return F.exists(places, lambda i: _real(vals, l["start"] + 6, l["num"], i))
+
+    return F.coalesce(bind(af_layout(vals), any_real), F.lit(False))
+
+
 def af_points_array(vals: Column, layout: Column, y_down: Column) -> Column:
     """Decoded points as ``array<struct<idx, rect, in_focus, selected>>``, all inside one row."""
 
@@ -98,9 +113,6 @@ def af_points_array(vals: Column, layout: Column, y_down: Column) -> Column:
         num, base = l["num"], l["start"] + 6
         focus, selected = _mask_bases(l)
 
-        def real(i: Column) -> Column:
-            return (_word(vals, base + i) > 0) & (_word(vals, base + num + i) > 0)
-
         def point(i: Column) -> Column:
             w, h, x, y = [_word(vals, base + num * k + i) for k in range(4)]
             return F.struct(
@@ -110,19 +122,12 @@ def af_points_array(vals: Column, layout: Column, y_down: Column) -> Column:
                 mask_bit(vals, selected, i).alias("selected"),
             )
 
-        real_ones = F.filter(F.sequence(F.lit(0), _last_point(num, l["valid"])), real)
-        return F.when(l.isNotNull(), F.transform(real_ones, point))
+        places = F.sequence(F.lit(0), _last_point(num, l["valid"]))
+        return F.when(l.isNotNull(), F.transform(F.filter(places, lambda i: _real(vals, base, num, i)), point))
 
     return bind(layout, decode)
 
 
-def with_points(tags: DataFrame) -> DataFrame:
-    """Adds ``layout`` and ``points`` to rows of ``(path, tag, vals)``."""
-    return tags.withColumn("layout", af_layout(F.col("vals"))).withColumn(
-        "points", af_points_array(F.col("vals"), F.col("layout"), F.col("tag") == PRECISE_TAG)
-    )
-
-
 def af_decode(tags: DataFrame, image: str = "path") -> DataFrame:
     """``(path, tag, precise, idx, rect, in_focus, selected)``: every real point of every payload.
 
@@ -155,11 +160,14 @@ def tag_priority(tags: DataFrame, image: str = "path") -> DataFrame:
     A payload without points does not count, so a stub falls through to the next tag.
     """
     rank = F.array_position(F.array(*[F.lit(t) for t in C.AF_TAGS]), F.col("tag"))
-    counts = F.when((rank > 0) & (F.size("points") > 0), rank)
-    first = F.min_by(F.struct("tag", "points"), counts).alias("_first")
+    counts = F.when((rank > 0) & has_points(F.col("vals")), rank)
+    # Payloads are compared and moved as they are; only the one that wins is decoded.
+    first = F.min_by(F.struct("tag", "vals"), counts).alias("_first")
+    precise = F.col("tag") == PRECISE_TAG
     return (
-        with_points(tags).groupBy(image).agg(first).filter(F.col("_first").isNotNull())
-        .select(image, "_first.*").withColumn("precise", F.col("tag") == PRECISE_TAG)
+        tags.groupBy(image).agg(first).filter(F.col("_first").isNotNull()).select(image, "_first.*")
+        .select(image, "tag", af_points_array(F.col("vals"), af_layout(F.col("vals")), precise).alias("points"),
+                precise.alias("precise"))
     )
 
 
