@@ -8,7 +8,7 @@ from ..functions import constants as C
 from ..functions.binding import bind
 from ..functions.files import af_tier
 from ..functions.geometry import rect
-from .skew import join_per_key
+from .skew import with_per_key
 
 PRECISE_TAG = C.AF_TAGS[0]
 
@@ -196,14 +196,10 @@ def af_rects(tags: DataFrame, image: str = "path") -> DataFrame:
 
 
 def prefer_tier(points: DataFrame, image: str = "image_id") -> DataFrame:
-    """Row form of ``preferred_points``: the rows of each image's best tier.
-
-    The best tier is a map-side minimum; rows meet it in a salted join, so an image with very many
-    rows is spread over tasks.
-    """
+    """Row form of ``preferred_points``: the rows of each image's best tier."""
     tiered = points.withColumn("tier", af_tier(F.col("in_focus"), F.col("selected")))
-    best = tiered.groupBy(image).agg(F.min("tier").alias("_best"))
-    return join_per_key(tiered, best, [image]).filter(F.col("tier") == F.col("_best")).drop("_best")
+    best = with_per_key(tiered, [image], F.min("tier").alias("_best"))
+    return best.filter(F.col("tier") == F.col("_best")).drop("_best")
 
 
 def _union_of(wanted: Column | None = None) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.binding import bind
 from ..functions.scoring import combined_variance, population_variance
 
 TILE = 64
@@ -142,31 +143,31 @@ def array_moments(grid: Column, width: Column, window: Column) -> Column:
     Runs inside the row, so there is nothing to shuffle; meant for thumbnails and small crops.
     """
     inner_w, inner_h = window["x1"] - window["x0"] - 2, window["y1"] - window["y0"] - 2
-    steps = F.sequence(F.lit(0), inner_w * inner_h - 1)
-
-    def centre(i: Column) -> Column:
-        row = window["y0"] + 1 + F.floor(i / inner_w).cast("int")
-        return row * width + window["x0"] + 1 + (i % inner_w)
-
-    def terms(i: Column) -> Column:
-        # 0-based position p of the centre; get() is 0-based as well.
-        return F.transform(F.array(centre(i)), lambda p: F.struct(
-            (2 * F.get(grid, p) - F.get(grid, p - 1) - F.get(grid, p + 1)).cast("bigint").alias("h"),
-            (2 * F.get(grid, p) - F.get(grid, p - width) - F.get(grid, p + width)).cast("bigint").alias("v"),
-        ))[0]
-
-    zero = F.struct(*[F.lit(0).cast("bigint").alias(k) for k in MOMENTS])
-
-    def add(acc: Column, t: Column) -> Column:
-        return F.struct(
-            (acc["n"] + 1).alias("n"),
-            (acc["sum_h"] + t["h"]).alias("sum_h"),
-            (acc["ss_h"] + t["h"] * t["h"]).alias("ss_h"),
-            (acc["sum_v"] + t["v"]).alias("sum_v"),
-            (acc["ss_v"] + t["v"] * t["v"]).alias("ss_v"),
-        )
-
-    moments = F.aggregate(F.transform(steps, terms), zero, add)
+    rows = F.sequence(window["y0"] + 1, window["y1"] - 2)
+
+    def run(y: Column, down: int, right: int) -> Column:
+        """The inner pixels of a row, or their neighbours on one side."""
+        return F.slice(grid, (y + down) * width + window["x0"] + 2 + right, inner_w)
+
+    def differences(before: tuple[int, int], after: tuple[int, int]) -> Column:
+        def of_row(y: Column) -> Column:
+            beside = F.zip_with(run(y, *before), run(y, *after), lambda a, b: a + b)
+            return F.zip_with(run(y, 0, 0), beside, lambda c, s: (2 * c - s).cast("bigint"))
+
+        return F.flatten(F.transform(rows, of_row))
+
+    def sums(d: Column) -> Column:
+        zero = F.lit(0).cast("bigint")
+        total = F.aggregate(d, zero, lambda acc, v: acc + v)
+        return F.struct(total.alias("sum"), F.aggregate(d, zero, lambda acc, v: acc + v * v).alias("ss"))
+
+    def both(s: Column) -> Column:
+        parts = {"n": (inner_w * inner_h).cast("bigint"), "sum_h": s["h"]["sum"], "ss_h": s["h"]["ss"],
+                 "sum_v": s["v"]["sum"], "ss_v": s["v"]["ss"]}
+        return F.struct(*[parts[k].alias(k) for k in MOMENTS])
+
+    along, across = bind(differences((0, -1), (0, 1)), sums), bind(differences((-1, 0), (1, 0)), sums)
+    moments = bind(F.struct(along.alias("h"), across.alias("v")), both)
     return F.when(grid.isNotNull() & (inner_w > 0) & (inner_h > 0), moments)
 
 

@@ -1,20 +1,28 @@
-"""Joining rows back to a per-key result when one key may hold a large share of the rows."""
+"""Bringing a per-key result back to the rows when one key may hold a large share of them."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-SALTS = 8
+HOT_ROWS = 100_000
+HOT_KEYS = 1_000
 
 
-def join_per_key(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], salts: int = SALTS) -> DataFrame:
-    """Inner join of many rows per key with one row per key.
+def with_per_key(
+    rows: DataFrame, keys: Sequence[str], *aggregates: Column, hot_rows: int = HOT_ROWS, hot_keys: int = HOT_KEYS
+) -> DataFrame:
+    """Adds aggregates over the key to every row.
 
-    A key's rows go to ``salts`` partitions, and its single row is copied to each of them. The salt
-    is a hash of the row, so a task that is run again sends its rows to the same places.
+    The aggregates are reduced on the map side first. At most ``hot_keys`` keys, those with the most
+    rows, are broadcast with their result: their rows are never shuffled. All other keys meet their
+    result in an ordinary join, and none of them can hold more than a ``hot_keys``-th of the rows.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salts)).cast("int"))
-    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "_salt"]).drop("_salt")
+    keys = list(keys)
+    per_key = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *aggregates)
+    hot = per_key.filter(F.col("_rows") >= hot_rows).orderBy(F.desc("_rows"), *keys).limit(hot_keys)
+    here = F.broadcast(hot)
+    at_once = rows.join(here, keys)
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(per_key, keys)
+    return at_once.unionByName(others).drop("_rows")

@@ -98,25 +98,36 @@ def laplacian_udf(image: pd.DataFrame, block: pd.Series, window: pd.DataFrame) -
 
 
 @F.pandas_udf(MOMENTS_TYPE)
-def grid_moments_udf(grid: pd.Series, width: pd.Series) -> pd.DataFrame:
-    """Moments of row-major integer arrays; arrays of one size are stacked and done in one step."""
+def grid_moments_udf(grid: pd.Series, width: pd.Series, window: pd.DataFrame) -> pd.DataFrame:
+    """Moments of row-major integer arrays inside ``struct<x0, y0, x1, y1>`` windows.
+
+    Arrays of one shape are stacked and done in one step, each under the mask of its own window.
+    """
     import numpy as np
 
     out = pd.DataFrame(pd.NA, index=grid.index, columns=list(MOMENTS), dtype="Int64")
-    sizes = pd.DataFrame({"n": [-1 if g is None else len(g) for g in grid], "w": width.to_numpy()}, index=grid.index)
-    for (n, w), part in sizes.groupby(["n", "w"]):
+    shapes = pd.DataFrame({
+        "size": [-1 if g is None else len(g) for g in grid], "width": width.to_numpy(),
+        "known": window["x0"].notna().to_numpy()}, index=grid.index)
+    for (size, w), part in shapes[shapes["known"]].groupby(["size", "width"]):
         w = int(w)
-        if n < 9 or w < 3 or n // w < 3:
+        if size < 9 or w < 3 or size // w < 3:
             continue
         g = np.stack(grid.loc[part.index].to_numpy()).reshape(len(part), -1, w).astype(np.int64)
+        x0, y0, x1, y1 = [window.loc[part.index, k].to_numpy().astype(np.int64)[:, None] for k in ("x0", "y0", "x1", "y1")]
+        ys, xs = np.arange(1, g.shape[1] - 1)[None, :], np.arange(1, w - 1)[None, :]
+        inside = ((ys > y0) & (ys < y1 - 1))[:, :, None] & ((xs > x0) & (xs < x1 - 1))[:, None, :]
+        count = inside.sum(axis=(1, 2))
         centre = 2 * g[:, 1:-1, 1:-1]
-        h = centre - g[:, 1:-1, :-2] - g[:, 1:-1, 2:]
-        v = centre - g[:, :-2, 1:-1] - g[:, 2:, 1:-1]
-        inner = h[0].size
-        out.loc[part.index, "n"] = inner
-        for name, d in (("h", h), ("v", v)):
-            out.loc[part.index, f"sum_{name}"] = d.sum(axis=(1, 2))
-            out.loc[part.index, f"ss_{name}"] = (d * d).sum(axis=(1, 2))
+        columns = {"n": count}
+        for name, d in (
+            ("h", centre - g[:, 1:-1, :-2] - g[:, 1:-1, 2:]), ("v", centre - g[:, :-2, 1:-1] - g[:, 2:, 1:-1])
+        ):
+            d = d * inside
+            columns[f"sum_{name}"] = d.sum(axis=(1, 2))
+            columns[f"ss_{name}"] = (d * d).sum(axis=(1, 2))
+        found = pd.DataFrame(columns, index=part.index)[list(MOMENTS)]
+        out.loc[part.index[count > 0]] = found[count > 0]
     return out
 
 

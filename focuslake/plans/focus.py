@@ -8,9 +8,9 @@ from ..functions import constants as C
 from ..functions.geometry import RECT
 from ..functions.scoring import blur_type, focus_score, focus_status, region_thresholds
 from ..operators.detections import best_detection, confidence_gate, top_detections
-from ..operators.pixels import array_moments, directional_laplacian, downscale_factor, with_variances
+from ..operators.pixels import directional_laplacian, downscale_factor, with_variances
 from ..operators.regions import assemble_regions, crop_failure, pick_path
-from ..operators.udf import laplacian_udf, shrink_udf
+from ..operators.udf import full_window, grid_moments_udf, laplacian_udf, shrink_udf
 
 
 def plan_regions(
@@ -55,7 +55,10 @@ def focus_results(stats: DataFrame, image: str = "image_id") -> DataFrame:
 
 
 def analyze_focus(planned: DataFrame, pixels: DataFrame, image: str = "image_id") -> DataFrame:
-    """Scores planned images against a pixel table ``(image_id, y, x, g)``."""
+    """Scores planned images against a pixel table ``(image_id, y, x, g)``.
+
+    ``planned`` is used twice, for the windows and for the result: store it first if it is costly.
+    """
     windows = planned.select(image, "window.*")
     stats = directional_laplacian(pixels, image, windows)
     return focus_results(planned.join(stats, image, "left"), image)
@@ -63,7 +66,7 @@ def analyze_focus(planned: DataFrame, pixels: DataFrame, image: str = "image_id"
 
 def analyze_grids(planned: DataFrame, image: str = "image_id", grid: str = "grid") -> DataFrame:
     """Scores planned images that carry their gray values as an array: no shuffle for pixels."""
-    m = array_moments(F.col(grid), F.col("width"), F.col("window"))
+    m = grid_moments_udf(F.col(grid), F.col("width"), F.col("window"))
     stats = with_variances(planned.withColumn("_m", m).select("*", "_m.*"))
     return focus_results(stats, image)
 
@@ -94,10 +97,7 @@ def analyze_images(
 
 def focus_from_grids(grids: DataFrame, image: str = "vec_id") -> DataFrame:
     """Scores whole arrays ``(image, grid, width, region, size_conf)`` without choosing a region."""
-    height = F.floor(F.size("grid") / F.col("width")).cast("int")
-    whole = F.struct(
-        F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.col("width").alias("x1"), height.alias("y1")
-    )
-    m = array_moments(F.col("grid"), F.col("width"), whole)
+    height = F.floor(F.size("grid") / F.col("width"))
+    m = grid_moments_udf(F.col("grid"), F.col("width"), full_window(F.col("width"), height))
     stats = with_variances(grids.withColumn("_m", m).select("*", "_m.*"))
     return score_columns(stats).select(image, "score", "status", "blur_type")

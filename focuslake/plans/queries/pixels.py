@@ -50,7 +50,8 @@ def directional_laplacian(spark, folder):
 
 @register("laplacian_udf", LAPLACIAN_SQL, "fx_grid")
 def laplacian_udf(spark, folder):
-    m = grids(spark, folder).select("vec_id", grid_moments_udf("grid", "width").alias("m")).select("vec_id", "m.*")
+    whole = full_window(F.lit(8), F.lit(8))
+    m = grids(spark, folder).select("vec_id", grid_moments_udf("grid", "width", whole).alias("m")).select("vec_id", "m.*")
     return tidy(P.with_variances(m))
 
 

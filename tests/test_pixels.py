@@ -76,12 +76,24 @@ def test_array_form(spark, images, frame, windows):
     assert by_image(got.filter("m is not null").select("image_id", "m.*")) == expected(images, windows)
 
 
-def test_stacked_grids(spark, images, frame):
+def test_stacked_grids(spark, images, frame, windows):
+    joined = frame.join(window_table(spark, windows), "image_id").withColumn("win", F.struct("x0", "y0", "x1", "y1"))
+    cropped = joined.select("image_id", grid_moments_udf("grid", "width", "win").alias("m")).select("image_id", "m.*")
+    assert by_image(cropped.filter("n is not null")) == expected(images, windows)
     whole = {i: (0, 0, w, h) for i, w, h, _ in images}
-    got = frame.select("image_id", grid_moments_udf("grid", "width").alias("m")).select("image_id", "m.*")
+    full = full_window(F.col("width"), F.col("height"))
+    got = frame.select("image_id", grid_moments_udf("grid", "width", full).alias("m")).select("image_id", "m.*")
     assert by_image(got.filter("n is not null")) == expected(images, whole)
 
 
+def test_stacked_grids_with_nothing_to_do(spark):
+    df = spark.createDataFrame(
+        [(1, None, 3, (0, 0, 3, 3)), (2, [1] * 9, 3, None), (3, [], 3, (0, 0, 3, 3))],
+        "image_id int, grid array<int>, width int, win struct<x0:int,y0:int,x1:int,y1:int>")
+    rows = df.select(grid_moments_udf("grid", "width", "win").alias("m")).collect()
+    assert all(r.m is None or r.m.n is None for r in rows)
+
+
 @pytest.mark.parametrize("channels", [1, 3, 4])
 def test_buffer_form(spark, images, windows, channels):
     """Blue, green, red order, downscaled by 1 and 2."""
