@@ -123,11 +123,10 @@ def with_variances(moments: DataFrame) -> DataFrame:
     """Adds ``var_h, var_v, combined``; all null where there is no interior pixel."""
     n = F.col("n")
     n = F.when(n > 0, n)
-    return (
-        moments.withColumn("var_h", population_variance(n, F.col("sum_h"), F.col("ss_h")))
-        .withColumn("var_v", population_variance(n, F.col("sum_v"), F.col("ss_v")))
-        .withColumn("combined", combined_variance(F.col("var_h"), F.col("var_v")))
-    )
+    return moments.withColumns({
+        "var_h": population_variance(n, F.col("sum_h"), F.col("ss_h")),
+        "var_v": population_variance(n, F.col("sum_v"), F.col("ss_v")),
+    }).withColumn("combined", combined_variance(F.col("var_h"), F.col("var_v")))
 
 
 def directional_laplacian(

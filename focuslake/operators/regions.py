@@ -111,14 +111,10 @@ def pick_path(assembled: DataFrame, best: DataFrame, image: str = "image_id") ->
         )
     )
     label = F.when(found, normalise_label(F.col("label"))).otherwise(F.col("animal_label"))
-    return (
-        joined.withColumn("_chosen", chosen)
-        .withColumn("path_taken", F.when(found, "detector").otherwise("fallback"))
-        .withColumn("label", label)
-        .withColumn("rect", F.col("_chosen.rect"))
-        .withColumn("region", F.col("_chosen.region"))
-        .drop("_chosen", "_eye", "_head")
-    )
+    path_taken = F.when(found, "detector").otherwise("fallback")
+    picked_rows = joined.withColumns({"_chosen": chosen, "path_taken": path_taken, "label": label})
+    return picked_rows.withColumns({"rect": F.col("_chosen.rect"), "region": F.col("_chosen.region")}).drop(
+        "_chosen", "_eye", "_head")
 
 
 def crop_failure(picked: DataFrame) -> DataFrame:
@@ -134,11 +130,10 @@ def crop_failure(picked: DataFrame) -> DataFrame:
         F.col("width").cast("int").alias("x1"), F.col("height").cast("int").alias("y1"),
     )
     missed = F.col("_window").isNull() & (F.col("path_taken") == "detector")
-    return (
-        picked.withColumn("_window", window)
-        .withColumn("size_conf", F.when(missed, C.NO_RECT_CONFIDENCE).otherwise(subject_size_confidence(F.col("rect"))))
-        .withColumn("region", F.when(missed, C.DETECTOR_BODY).otherwise(F.col("region")))
-        .withColumn("rect", F.when(missed, F.col("box")).otherwise(F.col("rect")).cast(RECT))
-        .withColumn("window", F.coalesce(F.col("_window"), whole))
-        .drop("_window")
-    )
+    size_conf = F.when(missed, C.NO_RECT_CONFIDENCE).otherwise(subject_size_confidence(F.col("rect")))
+    return picked.withColumn("_window", window).withColumns({
+        "size_conf": size_conf,
+        "region": F.when(missed, C.DETECTOR_BODY).otherwise(F.col("region")),
+        "rect": F.when(missed, F.col("box")).otherwise(F.col("rect")).cast(RECT),
+        "window": F.coalesce(F.col("_window"), whole),
+    }).drop("_window")

@@ -32,11 +32,10 @@ def score_columns(stats: DataFrame) -> DataFrame:
     divisor, sharp, acceptable = [F.col(f"_b.{k}") for k in ("divisor", "sharp", "acceptable")]
     scored = bounded.withColumn("score", focus_score(F.col("combined"), divisor, F.col("size_conf")))
     score = F.col("score")
-    return (
-        scored.withColumn("status", focus_status(score, sharp, acceptable))
-        .withColumn("blur_type", blur_type(score, sharp, acceptable, F.col("var_h"), F.col("var_v")))
-        .drop("_b")
-    )
+    return scored.withColumns({
+        "status": focus_status(score, sharp, acceptable),
+        "blur_type": blur_type(score, sharp, acceptable, F.col("var_h"), F.col("var_v")),
+    }).drop("_b")
 
 
 def focus_results(stats: DataFrame, image: str = "image_id") -> DataFrame:
