@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # AQE sizes and splits shuffle partitions at run time, so the same plan holds at any scale.
 SETTINGS = {
@@ -39,3 +39,12 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can see")
         base = tempfile.mkdtemp(prefix="focuslake-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def spread(rows: DataFrame, key: str, tasks: int | None = None) -> DataFrame:
+    """Rows dealt out evenly by key, for work whose cost per row has nothing to do with its bytes.
+
+    Naming the number of tasks keeps Spark from merging partitions that look small. The default is
+    the session's number of shuffle partitions.
+    """
+    return rows.repartition(tasks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

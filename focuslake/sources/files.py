@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
+from ..session import spread
 from .listing import open_filesystem
 
 
@@ -31,7 +32,7 @@ def store_file(location: str, data: bytes) -> str | None:
     return None
 
 
-def write_files(rows: DataFrame) -> DataFrame:
+def write_files(rows: DataFrame, tasks: int | None = None) -> DataFrame:
     """Writes ``(path, content)`` and returns ``(path, error)``; nothing happens until it is read."""
 
     def store(batches: Iterator) -> Iterator:
@@ -43,4 +44,4 @@ def write_files(rows: DataFrame) -> DataFrame:
             if done:
                 yield pa.record_batch(list(zip(*done)), schema=schema)
 
-    return rows.select("path", "content").mapInArrow(store, "path string, error string")
+    return spread(rows.select("path", "content"), "path", tasks).mapInArrow(store, "path string, error string")

@@ -8,16 +8,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as C
 from ..functions.binding import bind
+from ..session import spread
 from .listing import open_filesystem
 
 BATCH_BYTES = 64 * 1024 * 1024
 
 
-def read_bytes(files: DataFrame, limit: int = C.HEADER_BYTES) -> DataFrame:
+def read_bytes(files: DataFrame, limit: int = C.HEADER_BYTES, tasks: int | None = None) -> DataFrame:
     """``(path, content)``: the first ``limit`` bytes of every file, null if it cannot be read.
 
-    Only the prefix is fetched, which for raw files is a small part of the whole. Batches are cut by
-    size so that a task holds a bounded amount of content.
+    Only the prefix is fetched, which for raw files is a small part of the whole. Paths are dealt out
+    evenly first, so a folder with very many files keeps no task busy alone. Batches are cut by size
+    so that a task holds a bounded amount of content.
     """
 
     def fetch(batches: Iterator) -> Iterator:
@@ -36,7 +38,7 @@ def read_bytes(files: DataFrame, limit: int = C.HEADER_BYTES) -> DataFrame:
             if rows:
                 yield pa.record_batch(list(zip(*rows)), schema=schema)
 
-    return files.select("path").mapInArrow(fetch, "path string, content binary")
+    return spread(files.select("path"), "path", tasks).mapInArrow(fetch, "path string, content binary")
 
 
 def _head(path: str, limit: int) -> bytes | None:

@@ -7,7 +7,11 @@ can open (local, HDFS, object stores).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+import zlib
+from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -18,6 +22,7 @@ from ..operators.catalog import union_listings
 
 LISTING = "path string, size bigint, mtime timestamp"
 BATCH_ROWS = 10_000
+FILES_PER_SHARE = 100_000
 
 
 def open_filesystem(location: str):
@@ -33,24 +38,63 @@ def open_filesystem(location: str):
     return fs.LocalFileSystem(), location, ""
 
 
-def _children(location: str, recursive: bool = False):
-    """Visible entries below a folder; none if it cannot be read."""
+class Entry(NamedTuple):
+    location: str
+    name: str
+    is_folder: bool
+    size: int | None
+    mtime: datetime | None
+
+
+def visible_entries(location: str, wanted: Callable[[str], bool] = lambda name: True) -> Iterator[Entry]:
+    """Folders, and the wanted files, of one folder; hidden ones left out, none if it cannot be read.
+
+    Local folders are walked entry by entry, and only wanted files are looked at more closely.
+    """
     from pyarrow import fs
 
     filesystem, path, prefix = open_filesystem(location)
     try:
-        entries = filesystem.get_file_info(fs.FileSelector(path, recursive=recursive))
+        if isinstance(filesystem, fs.LocalFileSystem):
+            yield from _local_entries(path, prefix, wanted)
+            return
+        found = filesystem.get_file_info(fs.FileSelector(path))
+    except OSError:
+        return
+    for e in found:
+        folder = e.type == fs.FileType.Directory
+        if not e.base_name.startswith(".") and (folder or wanted(e.base_name)):
+            yield Entry(prefix + e.path, e.base_name, folder, e.size, e.mtime)
+
+
+def _local_entries(path: str, prefix: str, wanted: Callable[[str], bool]) -> Iterator[Entry]:
+    with os.scandir(path) as listed:
+        for e in listed:
+            if e.name.startswith("."):
+                continue
+            if e.is_dir():
+                yield Entry(prefix + e.path, e.name, True, None, None)
+            elif wanted(e.name):
+                yield Entry(prefix + e.path, e.name, False, *_size_and_mtime(e))
+
+
+def _size_and_mtime(e: os.DirEntry) -> tuple[int | None, datetime | None]:
+    """Both null for a file that cannot be looked at, e.g. a link to nowhere: it is listed all the same."""
+    try:
+        stat = e.stat()
     except OSError:
-        return prefix, []
-    return prefix, [e for e in entries if not e.base_name.startswith(".")]
+        return None, None
+    return stat.st_size, datetime.fromtimestamp(stat.st_mtime, UTC)
 
 
 class _Folder(InputPartition):
-    """One folder's own files, or everything below it."""
+    """One folder's own files, a share of them, or everything below it."""
 
-    def __init__(self, location: str, recursive: bool):
+    def __init__(self, location: str, recursive: bool, share: int = 0, shares: int = 1):
         self.location = location
         self.recursive = recursive
+        self.share = share
+        self.shares = shares
 
 
 class CatalogWalkReader(DataSourceReader):
@@ -58,38 +102,54 @@ class CatalogWalkReader(DataSourceReader):
         self.root = options["path"].rstrip("/")
         self.extensions = frozenset(e for e in options.get("extensions", "").lower().split(",") if e)
         self.folders = int(options.get("minPartitions", "64"))
+        self.files_per_share = int(options.get("filesPerPartition", str(FILES_PER_SHARE)))
+
+    def wanted(self, name: str) -> bool:
+        stem, dot, ext = name.rpartition(".")
+        return not self.extensions or bool(stem and dot) and ext.lower() in self.extensions
 
     def partitions(self) -> list[InputPartition]:
         """Opens folders level by level until there are enough of them to share out.
 
-        Only folder names pass through here; files are listed by the tasks.
+        Only folder names are kept here; files are counted, so that a folder with very many of them
+        is shared out by name, and looked at by the tasks.
         """
         opened, level = [], [self.root]
         while level and len(opened) + len(level) < self.folders:
             below = []
             for folder in level:
-                prefix, entries = _children(folder)
-                opened.append(folder)
-                below += [prefix + e.path for e in entries if e.type.name == "Directory"]
+                files = 0
+
+                def count(name: str) -> bool:
+                    nonlocal files
+                    files += self.wanted(name)
+                    return False
+
+                below += [e.location for e in visible_entries(folder, count)]
+                shares = -(-files // self.files_per_share)
+                opened += [_Folder(folder, False, i, shares) for i in range(shares)]
             level = below
-        return [_Folder(f, False) for f in opened] + [_Folder(f, True) for f in level]
+        return opened + [_Folder(f, True) for f in level] or [_Folder(self.root, False)]
 
     def read(self, part: _Folder) -> Iterator:
         import pyarrow as pa
 
         schema = pa.schema([("path", pa.string()), ("size", pa.int64()), ("mtime", pa.timestamp("us", "UTC"))])
+
+        def mine(name: str) -> bool:
+            return self.wanted(name) and zlib.crc32(name.encode()) % part.shares == part.share
+
         waiting, rows = [part.location], []
         while waiting:
-            prefix, entries = _children(waiting.pop())
-            for e in entries:
-                if e.type.name == "Directory":
+            for e in visible_entries(waiting.pop(), mine):
+                if e.is_folder:
                     if part.recursive:
-                        waiting.append(prefix + e.path)
-                elif not self.extensions or e.extension.lower() in self.extensions:
-                    rows.append((prefix + e.path, e.size, e.mtime))
-                    if len(rows) == BATCH_ROWS:
-                        yield _batch(rows, schema)
-                        rows = []
+                        waiting.append(e.location)
+                    continue
+                rows.append((e.location, e.size, e.mtime))
+                if len(rows) == BATCH_ROWS:
+                    yield _batch(rows, schema)
+                    rows = []
         if rows:
             yield _batch(rows, schema)
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import constants as C
 from ..functions.files import file_name
 from ..functions.labels import build_xmp, sidecar_path, species_group
+from ..session import spread
 from .files import store_file
 
 WRITTEN, SKIPPED, ERROR = "written", "skipped", "error"
@@ -34,7 +35,7 @@ def sidecar_table(files: DataFrame) -> DataFrame:
     )
 
 
-def write_sidecars(table: DataFrame) -> DataFrame:
+def write_sidecars(table: DataFrame, tasks: int | None = None) -> DataFrame:
     """Writes the rows of ``sidecar_table`` and returns ``(path, status, error)``.
 
     Every file is written to a temporary name and renamed, so a task that runs twice leaves the same
@@ -59,7 +60,7 @@ def write_sidecars(table: DataFrame) -> DataFrame:
                 yield pa.record_batch(list(zip(*rows)), schema=schema)
 
     columns = table.select("path", "sidecar_path", "xmp", "status", "error")
-    return columns.mapInArrow(store, "path string, status string, error string")
+    return spread(columns, "path", tasks).mapInArrow(store, "path string, status string, error string")
 
 
 def write_summary(outcome: DataFrame) -> DataFrame:

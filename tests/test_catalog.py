@@ -8,7 +8,7 @@ from focuslake.functions.files import file_ext, is_raw_name
 from focuslake.functions.labels import sidecar_path
 from focuslake.operators import attempts as T, catalog as K
 from focuslake.sources.headers import read_bytes
-from focuslake.sources.listing import scan_binary_listing, scan_catalog, scan_many_roots
+from focuslake.sources.listing import CatalogWalk, scan_binary_listing, scan_catalog, scan_many_roots
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +37,26 @@ def test_scan(spark, card, prefix, parts):
     assert all(r.path.startswith(f"{prefix}{card}/") and r.mtime is not None for r in rows)
 
 
+def test_crowded_folder_is_shared_out(spark, tmp_path):
+    spark.dataSource.register(CatalogWalk)
+    (tmp_path / "sub").mkdir()
+    names = [f"{i}.cr3" for i in range(50)]
+    for n in names:
+        (tmp_path / n).write_bytes(b"x")
+        (tmp_path / "sub" / n).write_bytes(b"x")
+    listing = spark.read.format("catalog_walk").option("extensions", "cr3").option("filesPerPartition", "9").load(str(tmp_path))
+    assert listing.rdd.getNumPartitions() == 12
+    assert sorted(r.path for r in listing.collect()) == sorted(f"{tmp_path}/{d}{n}" for d in ("", "sub/") for n in names)
+    assert len({r[0] for r in listing.select(F.spark_partition_id()).distinct().collect()}) > 8
+
+
+def test_link_to_nowhere_is_listed(spark, tmp_path):
+    (tmp_path / "a.cr3").symlink_to(tmp_path / "missing")
+    (tmp_path / "b.cr3").write_bytes(b"xy")
+    rows = {r.path.rsplit("/", 1)[1]: (r.size, r.mtime is None) for r in scan_catalog(spark, str(tmp_path)).collect()}
+    assert rows == {"a.cr3": (None, True), "b.cr3": (2, False)}
+
+
 def test_scan_of_nothing(spark, tmp_path):
     assert scan_catalog(spark, str(tmp_path)).count() == 0
     assert scan_catalog(spark, str(tmp_path / "missing")).count() == 0
