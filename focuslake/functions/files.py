@@ -16,6 +16,16 @@ def file_ext(path: Column) -> Column:
     return F.upper(F.regexp_extract(path, r"[^/]\.([^./]+)$", 1))
 
 
+def plain_path(path: Column) -> Column:
+    """Local paths without their scheme, so that ``/a``, ``file:/a`` and ``file:///a`` are the same."""
+    return F.regexp_replace(path, r"^file:(//)?(?=/)", "")
+
+
+def file_stem(path: Column) -> Column:
+    """The plain path without its last extension: the same for a raw file, its preview and its sidecar."""
+    return F.regexp_replace(plain_path(path), r"([^/])\.[^./]+$", "$1")
+
+
 def is_raw_name(path: Column) -> Column:
     """A raw-file extension and no hidden part in the path."""
     return F.lower(file_ext(path)).isin(*C.RAW_EXTENSIONS) & ~F.contains(path, F.lit("/."))

@@ -100,6 +100,11 @@ def build_xmp(label: Column, group: Column, toolkit: str = "focuslake") -> Colum
     return F.concat(*parts)
 
 
+def breaks_comment(label: Column) -> Column:
+    """Two hyphens in a label end the sidecar's comment early, and strict readers then refuse the file."""
+    return F.contains(label, F.lit("--"))
+
+
 def sidecar_path(path: Column) -> Column:
     """The path with its last extension replaced by ``xmp``."""
     return F.concat(F.regexp_replace(path, r"([^/])\.[^./]+$", "$1"), F.lit(".xmp"))

@@ -53,14 +53,13 @@ def scan_many_roots(spark, folder):
     return _listed(scan_roots(spark, root, root))
 
 
-@register("read_bytes", f"""select name, size, substring(h, 1, 1000) as head from (
-    select {NAME_SQL} as name, least(octet_length(encode(html)), 500) as size, hex(encode(html)) as h from (
+@register("read_bytes", f"""select {NAME_SQL} as name, octet_length(encode(html)) as size, md5(html) as digest from (
     select c.path, p.html from fx_catalog c join pages p on cast(p.page_id as string) = regexp_extract(c.path, '([0-9]+)[.][^.]+$', 1))
-    where {RAW_SQL})""", "fx_catalog")
+    where {RAW_SQL}""", "fx_catalog")
 def read_bytes(spark, folder):
-    heads = read_heads(scan(spark, card(spark, folder, "card")), limit=500)
+    heads = read_heads(scan(spark, card(spark, folder, "card")))
     return heads.select(
-        file_name(F.col("path")).alias("name"), F.length("content").cast("bigint").alias("size"), F.hex("content").alias("head"))
+        file_name(F.col("path")).alias("name"), F.length("content").cast("bigint").alias("size"), F.md5("content").alias("digest"))
 
 
 @register("raw_files", f"select path, size from fx_catalog where {RAW_SQL}", "fx_catalog")

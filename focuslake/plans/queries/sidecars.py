@@ -93,7 +93,7 @@ def write_summary(spark, folder):
     return S.write_summary(S.sidecar_table(labelled(spark, folder)))
 
 
-@register("sidecar_exists", """with s as (select replace(regexp_replace(path, '([^/])[.][^./]+$', '\\1'), '', '') || '.xmp' as there
+@register("sidecar_exists", """with s as (select regexp_replace(path, '([^/])[.][^./]+$', '\\1') || '.xmp' as there
       from fx_catalog where size % 2 = 0), f as (select path, regexp_replace(path, '([^/])[.][^./]+$', '\\1') || '.xmp' as sidecar from fx_catalog)
     select path, sidecar in (select there from s) as xmp_written from f""", "fx_catalog")
 def sidecar_exists(spark, folder):
@@ -102,6 +102,22 @@ def sidecar_exists(spark, folder):
     return S.sidecar_exists(files, sidecars).select("path", "xmp_written")
 
 
+LISTED_SQL = f"""f as ({FILES_SQL}), s as (select replace(path, '.CR3', '.xmp') as there from f where ord % 2 = 0)"""
+
+
+@register("refresh_written", f"""with {LISTED_SQL} select ord, case when label is not null then replace(path, '.CR3', '.xmp') in (select there from s)
+    else ord % 3 = 0 end as xmp_written from f""", "fx_detections")
+def refresh_written(spark, folder):
+    files = labelled(spark, folder).withColumn("xmp_written", F.col("ord") % 3 == 0)
+    listed = files.filter("ord % 2 = 0").select(L.sidecar_path(F.col("path")).alias("path"))
+    return S.refresh_written(files, listed).select("ord", "xmp_written")
+
+
+@register("breaks_comment", f"with f as ({FILES_SQL}) select ord, contains(label, '--') as broken from f", "fx_detections")
+def breaks_comment(spark, folder):
+    return labelled(spark, folder).select("ord", L.breaks_comment(F.col("label")).alias("broken"))
+
+
 # One file per image, named after its best detection.
 BEST_FILES_SQL = f"""b as ({BEST_SQL}), f as (select image_id, ord, concat(cast(image_id as string), '.CR3') as path,
     {REGION_SQL} as region, {LABEL} as label from b)"""

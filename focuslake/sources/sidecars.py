@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as C
-from ..functions.files import file_name
+from ..functions.files import file_name, plain_path
 from ..functions.labels import build_xmp, sidecar_path, species_group
 from ..session import spread
 from .files import store_file
@@ -82,6 +82,16 @@ def write_summary(outcome: DataFrame) -> DataFrame:
 
 def sidecar_exists(files: DataFrame, sidecars: DataFrame) -> DataFrame:
     """Adds ``xmp_written``: a file with the sidecar's path is in the listing ``(path)``, old or new."""
-    there = sidecars.select(F.col("path").alias("_sidecar")).distinct().withColumn("_there", F.lit(True))
-    joined = files.withColumn("_sidecar", sidecar_path(F.col("path"))).join(there, "_sidecar", "left")
+    there = sidecars.select(plain_path(F.col("path")).alias("_sidecar")).distinct().withColumn("_there", F.lit(True))
+    wanted = files.withColumn("_sidecar", plain_path(sidecar_path(F.col("path"))))
+    joined = wanted.join(there, "_sidecar", "left")
     return joined.withColumn("xmp_written", F.coalesce(F.col("_there"), F.lit(False))).drop("_sidecar", "_there")
+
+
+def refresh_written(files: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """``sidecar_exists`` for labelled rows only; the others keep the ``xmp_written`` they had."""
+    before = F.col("xmp_written") if "xmp_written" in files.columns else F.lit(False)
+    known = files.withColumn("_before", F.coalesce(before, F.lit(False))).drop("xmp_written")
+    seen = sidecar_exists(known, sidecars)
+    now = F.when(F.col("label").isNotNull(), F.col("xmp_written")).otherwise(F.col("_before"))
+    return seen.withColumn("xmp_written", now).drop("_before")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from focuslake.functions import constants as C
-from focuslake.functions.files import file_ext, is_raw_name
+from focuslake.functions.files import file_ext, file_stem, is_raw_name
 from focuslake.functions.labels import sidecar_path
 from focuslake.operators import attempts as T, catalog as K
 from focuslake.sources.headers import read_bytes
@@ -90,6 +90,13 @@ def test_names(spark, path, ext, raw, sidecar):
     assert tuple(spark.range(1).select(file_ext(p), is_raw_name(p), sidecar_path(p)).first()) == (ext, raw, sidecar)
 
 
+@pytest.mark.parametrize("path, stem", [
+    ("file:///a/b.CR3", "/a/b"), ("file:/a/b.jpg", "/a/b"), ("/a/b.xmp", "/a/b"), ("/a.d/b", "/a.d/b"),
+    ("s3://bucket/a/b.cr3", "s3://bucket/a/b"), ("/a/.cr3", "/a/.cr3")])
+def test_stems(spark, path, stem):
+    assert spark.range(1).select(file_stem(F.lit(path))).first()[0] == stem
+
+
 @pytest.fixture(scope="module")
 def files(spark):
     rows = [

@@ -2,6 +2,7 @@
 
 import os
 import xml.dom.minidom
+import xml.parsers.expat
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +50,25 @@ def test_document(spark):
     assert "<rdf:li>Bat &amp; &lt;&quot;Co&apos;s&quot;&gt;</rdf:li>" in text
 
 
+def test_hyphens_break_the_comment(spark):
+    label = F.lit("White -- tailed")
+    text, broken = spark.range(1).select(L.build_xmp(label, F.lit("Birds")), L.breaks_comment(label)).first()
+    assert broken and "Wildlife > Birds > White -- tailed -->" in text
+    with pytest.raises(xml.parsers.expat.ExpatError):
+        xml.dom.minidom.parseString(text)
+
+
+def test_refresh_leaves_unlabelled_rows_alone(spark):
+    files = spark.createDataFrame(
+        [("/a/1.CR3", "Cat", False), ("/a/2.CR3", "Cat", True), ("/a/3.CR3", None, True), ("/a/4.CR3", None, False)],
+        "path string, label string, xmp_written boolean")
+    listed = spark.createDataFrame([("file:///a/1.xmp",), ("file:/a/4.xmp",)], "path string")
+    got = {r.path: r.xmp_written for r in S.refresh_written(files, listed).collect()}
+    assert got == {"/a/1.CR3": True, "/a/2.CR3": False, "/a/3.CR3": True, "/a/4.CR3": False}
+    fresh = {r.path: r.xmp_written for r in S.refresh_written(files.drop("xmp_written"), listed).collect()}
+    assert fresh == {"/a/1.CR3": True, "/a/2.CR3": False, "/a/3.CR3": False, "/a/4.CR3": False}
+
+
 def test_files(spark, tmp_path):
     root = str(tmp_path)
     rows = [(f"{root}/a.CR3", C.ANIMAL_HEAD, "Robin"), (f"{root}/sub/b.CR3", C.ANIMAL_HEAD, "Fox"), (f"{root}/c.CR3", C.FULL_IMAGE, None),
