@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as C
 from ..functions.binding import bind
+from ..functions.files import file_stem
 from ..session import spread
 from .listing import open_filesystem
 
 BATCH_BYTES = 64 * 1024 * 1024
 
 
-def read_bytes(files: DataFrame, limit: int = C.HEADER_BYTES, tasks: int | None = None) -> DataFrame:
-    """``(path, content)``: the first ``limit`` bytes of every file, null if it cannot be read.
+def read_bytes(files: DataFrame, limit: int | None = C.HEADER_BYTES, tasks: int | None = None) -> DataFrame:
+    """``(path, content)``: the first ``limit`` bytes of every file, or all of it; null if it cannot be read.
 
     Only the prefix is fetched, which for raw files is a small part of the whole. Paths are dealt out
     evenly first, so a folder with very many files keeps no task busy alone. Batches are cut by size
@@ -41,7 +42,7 @@ def read_bytes(files: DataFrame, limit: int = C.HEADER_BYTES, tasks: int | None
     return spread(files.select("path"), "path", tasks).mapInArrow(fetch, "path string, content binary")
 
 
-def _head(path: str, limit: int) -> bytes | None:
+def _head(path: str, limit: int | None) -> bytes | None:
     filesystem, local, _ = open_filesystem(path)
     try:
         with filesystem.open_input_stream(local) as stream:
@@ -78,6 +79,16 @@ def carve_embedded_jpeg(content: Column) -> Column:
     return F.when(F.length(content) > 3, found)
 
 
+def embedded_jpegs(files: DataFrame, tasks: int | None = None) -> DataFrame:
+    """``(path, content)``: the JPEG inside every raw file that holds one, to be stored beside it.
+
+    Written with ``write_files``, these are the previews that ``read_images`` finds.
+    """
+    whole = read_bytes(files, None, tasks)
+    preview = F.concat(file_stem(F.col("path")), F.lit(".jpg")).alias("path")
+    return whole.select(preview, carve_embedded_jpeg(F.col("content")).alias("content")).filter(F.col("content").isNotNull())
+
+
 def _unsigned(data: Column, at: Column | int, size: int, little: Column | bool) -> Column:
     """Unsigned integer at a 0-based byte place, 0 where the bytes are missing."""
     at = F.lit(at) if isinstance(at, int) else at

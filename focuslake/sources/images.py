@@ -7,12 +7,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 IMAGE = "struct<width:int,height:int,channels:int,data:binary>"
 
 
+# Names of files that can be decoded, in any case.
+DECODABLE = "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[pP][nN][gG]}"
+
+
 def read_images(spark: SparkSession, *roots: str) -> DataFrame:
     """``(path, image)`` for JPEG and PNG files; ``image`` is null where decoding failed.
 
+    Other files, raw files above all, are left out by name and never read.
     Pixel data is row-major with the channels in the order blue, green, red (and alpha).
     """
-    loaded = spark.read.format("image").option("recursiveFileLookup", True).load(list(roots))
+    reader = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", DECODABLE)
+    loaded = reader.load(list(roots))
     return loaded.select(F.col("image.origin").alias("path"), decoded(F.col("image")).alias("image"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import constants as C
-from ..sources.images import decoded
+from ..sources.images import DECODABLE, decoded
 from ..operators.catalog import apply_results, latest_results, pending
 
 IMAGE_SOURCE = "struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
@@ -30,7 +30,8 @@ def stream_files(spark: SparkSession, root: str, per_batch: int = C.FILES_PER_BA
 def stream_images(spark: SparkSession, root: str, per_batch: int = C.FILES_PER_BATCH) -> DataFrame:
     """``(path, image)`` of new JPEG and PNG files; ``image`` is null where decoding failed."""
     reader = spark.readStream.format("image").schema(f"image {IMAGE_SOURCE}")
-    loaded = reader.option("maxFilesPerTrigger", per_batch).option("recursiveFileLookup", True).load(root)
+    visible = reader.option("recursiveFileLookup", True).option("pathGlobFilter", DECODABLE)
+    loaded = visible.option("maxFilesPerTrigger", per_batch).load(root)
     return loaded.select(F.col("image.origin").alias("path"), decoded(F.col("image")).alias("image"))
 
 

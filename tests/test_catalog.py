@@ -7,7 +7,8 @@ from focuslake.functions import constants as C
 from focuslake.functions.files import file_ext, file_stem, is_raw_name
 from focuslake.functions.labels import sidecar_path
 from focuslake.operators import attempts as T, catalog as K
-from focuslake.sources.headers import read_bytes
+from focuslake.sources.files import write_files
+from focuslake.sources.headers import embedded_jpegs, read_bytes
 from focuslake.sources.listing import CatalogWalk, scan_binary_listing, scan_catalog, scan_many_roots
 
 
@@ -82,6 +83,15 @@ def test_prefix_read(spark, card):
     assert got["_MG_0003.CR3"] == b"thre" and got["IMG_0002.cr3"] == b"" and got["a.CR3"] is None
 
 
+def test_previews_beside_raw_files(spark, tmp_path):
+    jpeg = b"\xff\xd8\xff\xe0" + b"pixels" * 500_000 + b"\xff\xd9"
+    (tmp_path / "a.cr3").write_bytes(b"head" * 9 + jpeg + b"tail")
+    (tmp_path / "b.cr3").write_bytes(b"nothing here")
+    outcome = write_files(embedded_jpegs(scan_catalog(spark, str(tmp_path)))).collect()
+    assert [(r.path, r.error) for r in outcome] == [(f"{tmp_path}/a.jpg", None)]
+    assert (tmp_path / "a.jpg").read_bytes() == jpeg and not (tmp_path / "b.jpg").exists()
+
+
 @pytest.mark.parametrize("path, ext, raw, sidecar", [
     ("/a/IMG_0001.CR3", "CR3", True, "/a/IMG_0001.xmp"), ("/a.b/c", "", False, "/a.b/c.xmp"),
     ("/a/x.tar.dng", "DNG", True, "/a/x.tar.xmp"), ("/a/.cr3", "", False, "/a/.cr3.xmp"), ("/a/.b/c.nef", "NEF", False, "/a/.b/c.xmp")])
