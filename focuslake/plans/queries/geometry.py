@@ -69,11 +69,6 @@ def expand_rect(spark, folder):
 
 
 # Three points per row: two eyes and a nose. Rows differ in how many of them exist.
-POINT_SQL = {
-    "a": rect_sql("x", "y", "0e0", "0e0"),
-    "b": rect_sql("x + w", "y + h / 2", "0e0", "0e0"),
-    "n": rect_sql("x + w / 2", "y + h", "0e0", "0e0"),
-}
 EXTENT_SQL = """select ord, box, eyes, list_filter(list_concat(eyes, [nose]), lambda p: p is not null) as points from (
     select ord, {'x': x, 'y': y, 'w': w, 'h': h} as box,
     case ord % 3 when 0 then [{'x': x, 'y': y}, {'x': x + w, 'y': y + h / 2}] when 1 then [{'x': x, 'y': y}]
@@ -217,7 +212,6 @@ def region_thresholds(spark, folder):
 
 
 # Variances that reach every class: large and small, balanced and one-sided.
-MEASURES = {"var_h": "confidence * 14e2", "var_v": "confidence * 14e2 * ((ord % 10) + 1) / 8e0"}
 SCORED_SQL = f"""select ord, region, size_conf, vh, vv, sh, ac, least(sqrt(vh * vv) / dv, 1e0) * size_conf as sc from (
     select ord, region, {size_conf_sql('box.w * box.h * 1e-1')} as size_conf, {divisor_sql('region')} as dv,
     {sharp_sql('region')} as sh, {acceptable_sql('region')} as ac,

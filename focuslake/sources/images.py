@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-IMAGE = "struct<width:int,height:int,channels:int,data:binary>"
-
-
 # Names of files that can be decoded, in any case.
 DECODABLE = "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[pP][nN][gG]}"
 
