@@ -26,9 +26,13 @@ def file_stem(path: Column) -> Column:
     return F.regexp_replace(plain_path(path), r"([^/])\.[^./]+$", "$1")
 
 
+def has_raw_ext(path: Column) -> Column:
+    return F.lower(file_ext(path)).isin(*C.RAW_EXTENSIONS)
+
+
 def is_raw_name(path: Column) -> Column:
     """A raw-file extension and no hidden part in the path."""
-    return F.lower(file_ext(path)).isin(*C.RAW_EXTENSIONS) & ~F.contains(path, F.lit("/."))
+    return has_raw_ext(path) & ~F.contains(path, F.lit("/."))
 
 
 def format_size(size: Column) -> Column:

@@ -148,8 +148,3 @@ def fit_rect(r, image_w, image_h, frame_w, frame_h, scale=1.0, offset_x=0.0, off
 
     (x, w), (y, h) = side("x", "w", shown_w, fw, dx), side("y", "h", shown_h, fh, dy)
     return rect(x, y, w, h)
-
-
-def rect_columns(r: Column, prefix: str = "") -> list[Column]:
-    """The four sides as flat columns, e.g. for export."""
-    return [r[k].alias(prefix + k) for k in ("x", "y", "w", "h")]

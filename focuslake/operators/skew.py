@@ -18,6 +18,7 @@ def with_per_key(
     The aggregates are reduced on the map side first. At most ``hot_keys`` keys, those with the most
     rows, are broadcast with their result: their rows are never shuffled. All other keys meet their
     result in an ordinary join, and none of them can hold more than a ``hot_keys``-th of the rows.
+    The rows are read more than once: store them first if they are costly.
     """
     keys = list(keys)
     per_key = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *aggregates)

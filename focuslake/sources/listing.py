@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import constants as C
-from ..functions.files import is_raw_name
+from ..functions.files import has_raw_ext
 from ..operators.catalog import union_listings
 
 LISTING = "path string, size bigint, mtime timestamp"
@@ -193,9 +193,10 @@ def scan_binary_listing(spark: SparkSession, *roots: str) -> DataFrame:
     It lists with the parallelism of Spark's file index, but it passes over empty files and names
     that start with an underscore: use it where there are none.
 
-    File contents are never read: the column is pruned from the scan.
+    File contents are never read: the column is pruned from the scan. Hidden entries below a root are
+    left out by Spark.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(roots))
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime")).filter(
-        is_raw_name(F.col("path"))
+        has_raw_ext(F.col("path"))
     )

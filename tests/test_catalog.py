@@ -72,6 +72,15 @@ def test_spark_listing_misses_underscores_and_empty_files(spark, card):
     assert names == set(KEPT) - {"_MG_0003.CR3", "IMG_0002.cr3"}
 
 
+def test_root_may_be_hidden(spark, tmp_path):
+    root = tmp_path / ".cards"
+    (root / ".trash").mkdir(parents=True)
+    (root / "a.cr3").write_bytes(b"x")
+    (root / ".trash" / "b.cr3").write_bytes(b"x")
+    for listing in (scan_catalog(spark, str(root)), scan_binary_listing(spark, str(root))):
+        assert [r.path.rsplit("/", 1)[1] for r in listing.collect()] == ["a.cr3"]
+
+
 def test_spark_listing_reads_no_content(spark, card):
     plan = scan_binary_listing(spark, str(card))._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan
