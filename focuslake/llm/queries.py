@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import tokens
+from . import jaccard, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +36,33 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def op8_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every text, written to files by frequency rank and read back."""
     return tokens.digest(tokens.store_ids(table(spark, folder, "documents"), tokenizer_path()))
+
+
+# Shingles as lists of five lower-cased words; texts of one to four words have one shorter shingle.
+_SETS = r"""
+    words as (select doc_id, list_filter(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+    sets as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+            else list_sort(list_distinct(list_transform(range(1, len(w) - 3),
+                lambda i: array_to_string(w[i:i + 4], ' ')))) end as s from words),
+    keyed as (select doc_id, md5(array_to_string(s, chr(1))) as k, s, len(s) as n from sets),
+    classes as (select k, min(doc_id) as class_id, any_value(s) as s, any_value(n) as n from keyed group by k),
+    items as (select k, n, unnest(s) as item from classes),
+    common as (select a.k as a, b.k as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as c
+        from items a join items b on a.item = b.item and a.k < b.k group by 1, 2),
+    links as (select a, b from common where c / (na + nb - c) >= 0.8),
+    paired as (select a, b from links union all select b, a from links)
+"""
+
+
+@register("op5_ngram_jaccard_join", f"""
+    with recursive {_SETS},
+    reach as (select k as a, k as b from classes union select r.a, l.b from reach r join paired l on r.b = l.a),
+    lows as (select r.a as k, min(c.class_id) as group_id from reach r join classes c on c.k = r.b group by 1),
+    counts as (select a as k, count(*) as n_links from paired group by 1)
+    select d.doc_id, c.class_id, l.group_id, coalesce(n.n_links, 0) as n_links
+    from keyed d join classes c using (k) join lows l using (k) left join counts n using (k)""")
+def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Class, group and number of links of every document at a shingle similarity of 0.8."""
+    return jaccard.similar(table(spark, folder, "documents"))
