@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard, tokens
+from . import jaccard, lines, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,35 @@ _SETS = r"""
 def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Class, group and number of links of every document at a shingle similarity of 0.8."""
     return jaccard.similar(table(spark, folder, "documents"))
+
+
+@register("op10_line_dedup", r"""
+    with parts as (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
+    flat as (select doc_id, unnest(l) as line, unnest(range(len(l))) as no from parts),
+    worded as (select doc_id, no, line, array_to_string(ws, ' ') as body, len(ws) as words
+        from (select *, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from flat)),
+    full_lines as (select *, row_number() over (partition by doc_id order by no) as i,
+        sum(words) over (partition by doc_id order by no) as upto from worded where words > 0),
+    docs as (select doc_id, list(body order by i) as b, list(no order by i) as nos, list(upto order by i) as c from full_lines group by 1),
+    ends as (
+        select f.doc_id, f.i as a, (select min(g.i) from full_lines g where g.doc_id = f.doc_id and g.upto - f.upto + f.words >= 50) as z
+        from full_lines f
+        union
+        select f.doc_id, (select max(g.i) from full_lines g where g.doc_id = f.doc_id and f.upto - g.upto + g.words >= 50), f.i
+        from full_lines f),
+    runs as (select e.doc_id, nos[a] as first, nos[z] as last, md5(array_to_string(b[a:z], chr(10))) as run
+        from ends e join docs d using (doc_id) where a is not null and z is not null),
+    placed as (select *, first_value(doc_id) over w as doc0, first_value(last) over w as last0
+        from runs window w as (partition by run order by doc_id, first, last)),
+    gone as (select distinct f.doc_id, f.no from placed p join full_lines f
+        on f.doc_id = p.doc_id and f.no between p.first and p.last where not (p.doc_id = doc0 and p.first <= last0)),
+    kept as (select w.doc_id, string_agg(w.line, chr(10) order by w.no) filter (where g.no is null) as text, count(g.no) as n_removed,
+        count(*) filter (where words > 0) as n_lines from worded w left join gone g on g.doc_id = w.doc_id and g.no = w.no group by 1)
+    select doc_id, n_lines, n_removed, md5(coalesce(text, '')) as text_md5 from kept""")
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines, removed lines and the digest of the text that is left, for every document."""
+    cleaned = lines.dedup_lines(table(spark, folder, "documents"))
+    left = F.coalesce("text", F.lit(""))
+    full = F.size(F.filter(F.split(left, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    return cleaned.select("doc_id", (full + F.size("removed")).cast("long").alias("n_lines"),
+                          F.size("removed").cast("long").alias("n_removed"), F.md5(left).alias("text_md5"))
