@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard, lines, tokens
+from . import jaccard, lines, secrets, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,9 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     full = F.size(F.filter(F.split(left, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     return cleaned.select("doc_id", (full + F.size("removed")).cast("long").alias("n_lines"),
                           F.size("removed").cast("long").alias("n_removed"), F.md5(left).alias("text_md5"))
+
+
+@register("op2_secret_scan")
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of secrets in every whole text."""
+    return secrets.digest(secrets.find_secrets(table(spark, folder, "documents")))
