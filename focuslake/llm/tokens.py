@@ -32,7 +32,8 @@ from .words import batch, repeat_ranges, slices, span_hashes, words
 
 END_ID = 2
 SHARD_IDS = 4_000_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
+CACHE_PARTS = 300_000
 MAGIC = b"FOCUSID1"
 
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.large_binary())])
@@ -59,16 +60,16 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        # Fixed value: the split pattern of the vocabulary file.
-        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        # Fixed value: the split pattern of the vocabulary file; a line feed ends a chunk.
+        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n").findall
         self.plain = regex.compile(r"[\x21-\x7e¡-įı-ſ]+").fullmatch
         show = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        # Bytes that a short text can hold are asked for one by one; the model knows bytes by these characters.
+        # The characters by which the model knows bytes; asked for one by one.
         self.shown = {b: show(chr(b))[0][0] for b in range(33, 127)}
         for code in range(0xA1, 0x180):
             for b, c in zip(chr(code).encode(), show(chr(code))[0][0]):
                 self.shown[b] = c
-        self.parts: dict[str, tuple[int, ...]] = {}
+        self._clear_parts()
         self._clear()
 
     def _clear(self) -> None:
@@ -77,19 +78,42 @@ class Encoder:
         self.flat[0] = END_ID
         self.begin, self.count = np.zeros(1, np.int64), np.ones(1, np.int64)  # slot 0 is the end id
 
-    def chunk(self, text: str) -> list[int]:
-        if not self.plain(text) or "<|" in text:
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        out: list[int] = []
-        for part in self.cut(text.lower()):
-            ids = self.parts.get(part)
-            if ids is None:
-                shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.shown)
-                ids = self.parts[part] = tuple(t.id for t in self.model.tokenize(shown))
-                if len(self.parts) > CACHE_WORDS:
-                    self.parts.clear()
-            out.extend(ids)
-        return out
+    def _clear_parts(self) -> None:
+        self.parts: dict[str, int] = {"\n": 0}
+        self.part_ids: list[int] = []
+        self.part_stop: list[int] = [0]
+
+    def _part(self, part: str) -> int:
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.shown)
+        self.part_ids.extend([t.id for t in self.model.tokenize(shown)])
+        self.part_stop.append(len(self.part_ids))
+        n = self.parts[part] = len(self.part_stop) - 1
+        return n
+
+    def _plain(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids on end and their number for each of some plain chunks."""
+        if len(self.parts) > CACHE_PARTS:
+            self._clear_parts()
+        cut = self.cut("\n".join(chunks).lower())
+        for part in set(cut) - self.parts.keys():
+            self._part(part)
+        known = self.parts
+        numbers = np.array([known[x] for x in cut] + [0], np.int64)
+        stop = np.array(self.part_stop, np.int64)
+        start = np.concatenate([[0], stop[:-1]])
+        counts = (stop - start)[numbers]
+        ids = np.array(self.part_ids, np.uint32)[repeat_ranges(start[numbers], counts)]
+        return ids, np.diff(np.cumsum(counts)[numbers == 0], prepend=0)
+
+    def _store(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used:self.used + len(ids)] = ids
+        slots = len(self.begin) + np.arange(len(counts))
+        self.begin = np.concatenate([self.begin, self.used + np.cumsum(counts) - counts])
+        self.count = np.concatenate([self.count, counts])
+        self.used += len(ids)
+        return slots
 
     def slots(self, hashes: np.ndarray, s, w) -> np.ndarray:
         """The slot of each word, encoding those not met before."""
@@ -101,27 +125,28 @@ class Encoder:
         inside = at < len(self.keys)
         known[inside] = self.keys[at[inside]] == unique[inside]
         fresh = np.flatnonzero(~known)
-        data, new = s.data.tobytes(), []
-        for i in first[fresh]:
-            new.append(self.chunk(data[w.start[i]:w.end[i]].decode("utf-8", "replace")))
-        counts = np.fromiter(map(len, new), np.int64, len(new))
-        ids = np.fromiter((i for x in new for i in x), np.uint32, int(counts.sum()))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used:self.used + len(ids)] = ids
-        slots = len(self.begin) + np.arange(len(new))
-        self.begin = np.concatenate([self.begin, self.used + np.cumsum(counts) - counts])
-        self.count = np.concatenate([self.count, counts])
-        self.used += len(ids)
-        self.keys = np.insert(self.keys, at[fresh], unique[fresh])
-        self.slot = np.insert(self.slot, at[fresh], slots)
+        if len(fresh):
+            data, where = s.data.tobytes(), first[fresh]
+            new = [data[i:j].decode("utf-8", "replace") for i, j in zip(w.start[where].tolist(), w.end[where].tolist())]
+            plain = np.array([self.plain(x) is not None and "<|" not in x for x in new])
+            slots = np.empty(len(new), np.int64)
+            if plain.any():
+                slots[plain] = self._store(*self._plain([x for x, p in zip(new, plain) if p]))
+            if not plain.all():
+                others = [self.tokenizer.encode(x, add_special_tokens=False).ids for x, p in zip(new, plain) if not p]
+                slots[~plain] = self._store(np.array([i for x in others for i in x], np.uint32), np.array([len(x) for x in others]))
+            self.keys = np.insert(self.keys, at[fresh], unique[fresh])
+            self.slot = np.insert(self.slot, at[fresh], slots)
         return self.slot[np.searchsorted(self.keys, unique)][back]
 
     def encode(self, s) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice, an end id behind each text, and the number of ids of each text."""
         w = words(s)
         ends = w.row[1:]
-        slots = np.insert(self.slots(span_hashes(s, w.start, w.end), s, w), ends, 0) if s.rows else ends
+        # Ids do not depend on the case of letters, but for the names of special tokens.
+        exact = b"<|" in s.data.tobytes()
+        hashes = span_hashes(s, w.start, w.end, fold=not exact)
+        slots = np.insert(self.slots(~hashes if exact else hashes, s, w), ends, 0)
         counts = self.count[slots]
         ids = self.flat[repeat_ranges(self.begin[slots], counts)]
         sums = np.concatenate([[0], np.cumsum(counts)])
@@ -129,17 +154,36 @@ class Encoder:
         return ids, np.diff(bounds)
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker, so words met before stay known."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def id_bytes(tokenizer: str) -> int:
+    from tokenizers import Tokenizer
+
+    return 2 if max(Tokenizer.from_file(tokenizer).get_vocab().values()) < 1 << 16 else 4
+
+
 def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, n_tokens, ids): ids as uint32 in bytes, the end id last."""
+    """(doc_id, n_tokens, ids): ids on end in bytes, the end id last.
+
+    Two bytes for each id where the vocabulary allows it, else four; see ``id_bytes``.
+    """
+    width = id_bytes(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
         for b in batches:
-            encoder = encoder or Encoder(tokenizer)
+            encoder = _encoder(tokenizer)
             for s in slices(b.column(1)):
                 ids, counts = encoder.encode(s)
-                raw = ids.astype("<u4").tobytes()
-                at = np.concatenate([[0], np.cumsum(counts)]) * 4
+                raw = ids.astype(f"<u{width}").tobytes()
+                at = np.concatenate([[0], np.cumsum(counts)]) * width
                 values = pa.LargeBinaryArray.from_buffers(
                     pa.large_binary(), s.rows, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw)])
                 yield batch(_ENCODED, b.column(0).slice(s.first, s.rows), counts, values)
@@ -217,14 +261,14 @@ def _put(uri: str, raw: bytes, mark: str) -> None:
     store.move(f"{path}.{mark}.tmp", path)
 
 
-def id_counts(encoded: DataFrame) -> DataFrame:
+def id_counts(encoded: DataFrame, width: int) -> DataFrame:
     """(id, n) over all documents: one row per id and task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for b in batches:
             for raw in b.column(0):
-                ids = np.frombuffer(raw.as_buffer(), "<u4")
+                ids = np.frombuffer(raw.as_buffer(), f"<u{width}")
                 seen = np.bincount(ids, minlength=len(total))
                 seen[:len(total)] += total
                 total = seen
@@ -234,7 +278,7 @@ def id_counts(encoded: DataFrame) -> DataFrame:
     return encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def write_ids(encoded: DataFrame, folder: str) -> DataFrame:
+def write_ids(encoded: DataFrame, folder: str, width: int = 4) -> DataFrame:
     """Writes files below ``folder`` and returns (shard, part, number, n_docs, n_ids, start).
 
     ``encoded`` is read twice, so it should be a stored table. The ranks are one number per id of the
@@ -242,7 +286,7 @@ def write_ids(encoded: DataFrame, folder: str) -> DataFrame:
     one document.
     """
     spark = encoded.sparkSession
-    ranked = [r.id for r in id_counts(encoded).orderBy(F.desc("n"), "id").collect()]
+    ranked = [r.id for r in id_counts(encoded, width).orderBy(F.desc("n"), "id").collect()]
     _put(f"{folder}/ranks.bin", np.array(ranked, "<u4").tobytes(), "driver")
     rank_of = np.zeros(max(ranked, default=0) + 1, np.uint32)
     rank_of[ranked] = np.arange(len(ranked))
@@ -256,15 +300,15 @@ def write_ids(encoded: DataFrame, folder: str) -> DataFrame:
 
         def flush():
             name = f"part-{part:06d}-{number:05d}.ids"
-            counts = np.array([len(x) // 4 for x in held], np.int64)
-            ids = np.frombuffer(b"".join(held), "<u4")
+            counts = np.array([len(x) // width for x in held], np.int64)
+            ids = np.frombuffer(b"".join(held), f"<u{width}")
             _put(f"{folder}/{name}", shard_bytes(docs, counts, shared.value[ids]), f"{task.taskAttemptId()}")
             return batch(_SHARDS, [name], [part], [number], [len(docs)], [len(ids)])
 
         for b in batches:
             for doc, raw in zip(b.column(0).to_pylist(), b.column(1)):
                 raw = raw.as_py()
-                if held and size + len(raw) > 4 * SHARD_IDS:
+                if held and size + len(raw) > width * SHARD_IDS:
                     yield flush()
                     number, docs, held, size = number + 1, [], [], 0
                 docs.append(doc)
@@ -307,8 +351,8 @@ def store_ids(docs: DataFrame, tokenizer: str, folder: str | None = None) -> Dat
     """Encodes, writes and reads back: (doc_id, start, n_tokens, ids) in the order of the files."""
     spark = docs.sparkSession
     folder = folder or shared_folder(spark, "token-ids")
-    encode_documents(docs, tokenizer).write.parquet(f"{folder}/encoded")
-    shards = write_ids(spark.read.schema(ENCODED).parquet(f"{folder}/encoded"), folder)
+    encode_documents(docs, tokenizer).write.option("compression", "zstd").parquet(f"{folder}/encoded")
+    shards = write_ids(spark.read.schema(ENCODED).parquet(f"{folder}/encoded"), folder, id_bytes(tokenizer))
     found = read_ids(spark, folder).join(shards.select("shard", "start"), "shard")
     return found.select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids")
 
