@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import shared_folder
 from .components import components, roots, runs, stored
-from .words import batch, mix, repeat_ranges, run_hashes, slices, span_hashes, words
+from .words import batch, mix, repeat_ranges, run_hashes, slices, span_hashes, texts, words
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -85,7 +85,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 yield batch(_SIGNED, b.column(0).slice(s.first, s.rows), np.diff(bounds),
                             _binary(set_keys(sets, bounds)), _binary(signatures(sets, bounds)))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
+    return texts(docs).mapInArrow(run, SIGNED)
 
 
 def _binary(rows: np.ndarray) -> pa.Array:

@@ -25,7 +25,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 from ..session import shared_folder
 from .components import stored
-from .words import Slice, batch, run_hashes, slices, span_hashes, words
+from .words import Slice, batch, bound_batches, run_hashes, slices, span_hashes, texts, words
 
 MIN_WORDS = 50
 _RUNS = pa.schema([("fingerprint", pa.int64()), ("place", pa.bool_()), ("run", pa.int64()), ("doc_id", pa.int64()),
@@ -89,7 +89,7 @@ def all_runs(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
                 yield batch(_RUNS, best.view(np.int64), new, code.view(np.int64), b.column(0).slice(s.first, s.rows).take(pa.array(row)),
                             text[row].view(np.int64), first, last)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, RUNS)
+    return texts(docs).mapInArrow(run, RUNS)
 
 
 def repeated_runs(docs: DataFrame, least: int = MIN_WORDS, folder: str | None = None) -> DataFrame:
@@ -132,7 +132,7 @@ def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, folder: str | None = No
             columns = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.list_(pa.int64()))], names=[*b.schema.names[:-1], "removed"])
 
-    return rows.mapInArrow(cut, schema)
+    return bound_batches(rows).mapInArrow(cut, schema)
 
 
 def _with_text_hash(docs: DataFrame) -> DataFrame:
@@ -145,4 +145,4 @@ def _with_text_hash(docs: DataFrame) -> DataFrame:
                 codes = [span_hashes(s, s.offsets[:-1], s.offsets[1:]) for s in slices(b.column(at).cast(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(codes).view(np.int64))], names=[*b.schema.names, "_text_hash"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("_text_hash", "long"))
+    return bound_batches(docs).mapInArrow(run, StructType([*docs.schema.fields]).add("_text_hash", "long"))

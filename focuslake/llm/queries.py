@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard, lines, secrets, tokens
+from . import jaccard, lines, secret_scan, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,4 +103,24 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @register("op2_secret_scan")
 def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Spans of secrets in every whole text."""
-    return secrets.digest(secrets.find_secrets(table(spark, folder, "documents")))
+    return secret_scan.digest(secret_scan.find_secrets(table(spark, folder, "documents")))
+
+
+CATEGORIES = ["low_quality", "toxic"]
+
+
+def toxic_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """The labels in order of the chain: text of low quality first, then abuse."""
+    return table(spark, folder, "labels").select("doc_id", (F.col("quality") == 0).alias("low_quality"), (F.col("toxic") == 1).alias("toxic"))
+
+
+def toxicity_scores(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    chain = toxicity.train(docs, toxic_labels(spark, folder), CATEGORIES)
+    return toxicity.score(docs, chain)
+
+
+@register("op7_toxicity")
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Probability of each category for every document, and whether it is toxic."""
+    scored = toxicity_scores(spark, table(spark, folder, "documents"), folder)
+    return scored.select("doc_id", *[f"p_{c}" for c in CATEGORIES], "is_toxic")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from re import _constants as op, _parser as parser
 
-from .words import LOWER, slices
+from .words import LOWER, slices, texts
 
 MANY = 24  # strings that a mandatory part of a pattern may stand for
 
@@ -195,7 +195,7 @@ def find_secrets(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(s.first, s.rows).cast(pa.int64()), pa.array(spans, pa.list_(span))], names=["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+    return texts(docs).mapInArrow(
         run, "doc_id long, spans array<struct<kind: string, start: long, stop: long>>")
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from ..session import shared_folder
-from .words import batch, repeat_ranges, slices, span_hashes, words
+from .words import batch, repeat_ranges, slices, span_hashes, texts, words
 
 END_ID = 2
 SHARD_IDS = 4_000_000
@@ -188,7 +188,7 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
                     pa.large_binary(), s.rows, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw)])
                 yield batch(_ENCODED, b.column(0).slice(s.first, s.rows), counts, values)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ENCODED)
+    return texts(docs).mapInArrow(run, ENCODED)
 
 
 # --- control bytes and data bytes -----------------------------------------------------------------

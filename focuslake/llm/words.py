@@ -13,8 +13,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
+BATCH_ROWS = 1_000
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -143,6 +145,17 @@ def repeat_ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(start - begin, count)
 
 
+def texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) for tasks that read Arrow batches, which get at most BATCH_ROWS rows: texts may be long."""
+    bound_batches(docs)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([
         c.cast(t.type) if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
