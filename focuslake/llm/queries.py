@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard, lines, secret_scan, tokens, toxicity
+from . import decontaminate, jaccard, lines, secret_scan, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +124,9 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Probability of each category for every document, and whether it is toxic."""
     scored = toxicity_scores(spark, table(spark, folder, "documents"), folder)
     return scored.select("doc_id", *[f"p_{c}" for c in CATEGORIES], "is_toxic")
+
+
+@register("op6_decontamination")
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items that documents hold, with the edits between them."""
+    return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
