@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard, lines, secret_scan, tokens, toxicity
+from . import decontaminate, jaccard, lines, mixing, secret_scan, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +130,85 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark items that documents hold, with the edits between them."""
     return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+# Fixed values of the contract: rules by host and path.
+URL_RULES = [urls.Rule("block", "com", "/en/"), urls.Rule("allow", "example.com", "/en/7"), urls.Rule("block", "net", "/de/"),
+             urls.Rule("block", "example.net", "/de/8"), urls.Rule("block", "org", "/es/")]
+_RULES_SQL = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_RULES)
+
+
+@register("op1_url_filter", rf"""
+    with rules(verdict, host, path) as (values {_RULES_SQL}),
+    rest as (select *, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as r from pages),
+    parsed as (select page_id, html,
+        translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+        regexp_extract(r, '^[^/?#]*([^?#]*)', 1) as path from rest),
+    spelled as (select *, case when host <> '' then regexp_replace(host, '^www\.', '')
+        || regexp_replace(path, '(/index)?(\.html?)?/*$', '') end as c from parsed),
+    listed as (select distinct c from spelled where c is not null and not ends_with(html, '</html>')),
+    ruled as (select s.page_id, arg_max(r.host || r.path, length(r.host || r.path)) as rule, arg_max(r.verdict, length(r.host || r.path)) as rv
+        from spelled s join rules r on (s.host = r.host or ends_with(s.host, '.' || r.host)) and starts_with(s.path, r.path) group by 1)
+    select s.page_id, s.host, s.path, r.rule, l.c is not null as listed,
+        coalesce(r.rv, case when l.c is not null then 'block' else 'allow' end) as verdict
+    from spelled s left join ruled r using (page_id) left join listed l on l.c = s.c""")
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page; the list holds the URLs of pages that broke off before ``</html>``."""
+    pages = table(spark, folder, "pages")
+    listed = pages.where(~F.col("html").endswith("</html>")).select("url")
+    return urls.filter_urls(pages.select("page_id", "url"), listed, URL_RULES).select("page_id", "host", "path", "rule", "listed", "verdict")
+
+
+def topic(text) -> "F.Column":
+    """A document's form: licence notes, rows of signs, contact data or plain prose."""
+    plain = F.coalesce(text, F.lit(""))
+    signs = F.length(plain) - F.length(F.translate(plain, "#$%&*|", ""))
+    return (F.when(plain.contains("License"), "licence").when(signs * 20 > F.length(plain), "signs")
+            .when(plain.contains("@"), "contact").otherwise("prose"))
+
+
+# Powers of the observed shares that the mixture aims at.
+TEMPERS = {"source": 0.5, "lang": 0.7, "topic": 0.3}
+MIX_SHARE = 0.5
+
+
+def mix_documents(docs: DataFrame) -> DataFrame:
+    dimensions = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(F.col("text"))}
+    return mixing.mixed(docs, dimensions, lambda cells: {d: mixing.tempered(cells, d, p) for d, p in TEMPERS.items()}, MIX_SHARE)
+
+
+def _mixing_sql(documents: str = "documents", sweeps: int = 60, fills: int = 12) -> str:
+    """The same fit with a fixed number of sweeps, each a step of its own."""
+    parts = [f"""d as materialized (select doc_id, source, lang,
+            case when contains(t, 'License') then 'licence'
+                 when (length(t) - length(translate(t, '#$%&*|', ''))) * 20 > length(t) then 'signs'
+                 when contains(t, '@') then 'contact' else 'prose' end as topic,
+            len(list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) as tokens
+        from (select *, coalesce(text, '') as t from {documents}))""",
+             "c as materialized (select source, lang, topic, cast(sum(tokens) as double) as tokens from d group by all)"]
+    for k, p in TEMPERS.items():
+        parts.append(f"t_{k} as materialized (select v, s / sum(s) over () as s from (select {k} as v, pow(sum(tokens), {p}) as s from c group by 1))")
+    parts.append("w0 as materialized (select *, tokens / sum(tokens) over () as w from c)")
+    n = 0
+    for _ in range(sweeps):
+        for k in TEMPERS:
+            parts.append(f"""w{n + 1} as materialized (select x.* exclude (w), w * s / sum(w) over (partition by {k}) as w
+                from w{n} x join t_{k} on {k} is not distinct from v)""")
+            n += 1
+    parts.append("f0 as materialized (select 0e0 as scale)")
+    for i in range(fills):
+        parts.append(f"""f{i + 1} as materialized (select greatest(any_value(scale), ({MIX_SHARE} * sum(tokens) - coalesce(sum(tokens) filter (w * scale >= tokens), 0))
+            / sum(w) filter (w * scale < tokens)) as scale from w{n}, f{i})""")
+    parts.append(f"p as materialized (select source, lang, topic, case when tokens > 0 then least(1, scale * w / tokens) else 1 end as probability from w{n}, f{fills})")
+    return f"""with {", ".join(parts)}
+        select doc_id, d.source, d.lang, d.topic, round(probability, 5) as probability,
+            cast('0x' || substr(md5('mix:' || doc_id), 1, 12) as bigint) / 281474976710656.0 < probability as selected
+        from d join p on d.source is not distinct from p.source and d.lang is not distinct from p.lang and d.topic = p.topic"""
+
+
+@register("op4_source_mixing", _mixing_sql())
+def op4_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Probability of every document in the mixture, and whether it is drawn."""
+    mix = mix_documents(table(spark, folder, "documents"))
+    return mix.select("doc_id", F.col("mixing_source").alias("source"), F.col("mixing_lang").alias("lang"),
+                      F.col("mixing_topic").alias("topic"), F.round("probability", 5).alias("probability"), "selected")
