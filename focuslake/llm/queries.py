@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard, lines, mixing, secret_scan, tokens, toxicity, urls
+from . import decontaminate, jaccard, lines, mixing, neighbours, secret_scan, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -212,3 +212,9 @@ def op4_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mix = mix_documents(table(spark, folder, "documents"))
     return mix.select("doc_id", F.col("mixing_source").alias("source"), F.col("mixing_lang").alias("lang"),
                       F.col("mixing_topic").alias("topic"), F.round("probability", 5).alias("probability"), "selected")
+
+
+@register("op9_nearest_neighbours")
+def op9_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth, by Euclidean distance."""
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
