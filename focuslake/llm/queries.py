@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard, lines, mixing, neighbours, secret_scan, tokens, toxicity, urls
+from . import decontaminate, jaccard, lines, lm, mixing, neighbours, secret_scan, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -218,3 +218,9 @@ def op4_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op9_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The ten nearest vectors of every hundredth, by Euclidean distance."""
     return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@register("op3_lm_scoring")
+def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of every whole text under the unigram base and under the mixing model."""
+    return lm.scores(table(spark, folder, "documents"))

@@ -39,7 +39,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, (n + 1).bit_length())
+    size = 1 << max(16, (int(n) + 1).bit_length())
     if size not in _powers:
         _powers.clear()
         inverse = pow(_BASE, -1, 1 << 64)
