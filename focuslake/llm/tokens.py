@@ -12,7 +12,7 @@ the files back. A file (``*.ids``, little-endian) holds
     (n+3)//4   control bytes: two bits per rank, its length in bytes less one
     b          the bytes of all ranks
 
-and ``ranks.bin`` beside them holds the ids by rank as uint32. Nulls are empty texts and give only the
+and ``ranks.bin`` beside them holds the same first 8 bytes and the ids by rank as uint32. Nulls are empty texts and give only the
 end id; a null ``doc_id`` is kept and comes first; repeated rows stay, in order of their ids; empty
 tables give no files' rows. Columns other than ``doc_id`` and ``text`` are not read.
 """
@@ -287,7 +287,7 @@ def write_ids(encoded: DataFrame, folder: str, width: int = 4) -> DataFrame:
     """
     spark = encoded.sparkSession
     ranked = [r.id for r in id_counts(encoded, width).orderBy(F.desc("n"), "id").collect()]
-    _put(f"{folder}/ranks.bin", np.array(ranked, "<u4").tobytes(), "driver")
+    _put(f"{folder}/ranks.bin", MAGIC + np.array(ranked, "<u4").tobytes(), "driver")
     rank_of = np.zeros(max(ranked, default=0) + 1, np.uint32)
     rank_of[ranked] = np.arange(len(ranked))
     shared = spark.sparkContext.broadcast(rank_of)
@@ -328,7 +328,7 @@ def write_ids(encoded: DataFrame, folder: str, width: int = 4) -> DataFrame:
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     """(shard, doc_id, before, n_tokens, ids) from the files; ``before`` counts within the file."""
     ranks = spark.read.format("binaryFile").load(f"{folder}/ranks.bin").select("content").first().content
-    shared = spark.sparkContext.broadcast(bytes(ranks))
+    shared = spark.sparkContext.broadcast(bytes(ranks[len(MAGIC):]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         id_of = np.frombuffer(shared.value, "<u4")

@@ -29,7 +29,8 @@ from .words import bound_batches, mix, slices, span_hashes, texts, words
 SAMPLE = 40_000      # labelled rows at most that fit the models
 FEATURES = 2_048
 FOLDS = 5
-EPOCHS = 8
+EPOCHS = 8           # and STEPS steps at least
+STEPS = 600
 THRESHOLD = 0.5
 _BITS = 20
 _BLOCK = 1 << 16
@@ -140,7 +141,7 @@ def _fit(row: np.ndarray, feature: np.ndarray, earlier: np.ndarray, y: np.ndarra
         return w
     begin = np.searchsorted(row, np.arange(len(y) + 1))
     random = np.random.default_rng(3)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, STEPS * 128 // len(y))):
         order = random.permutation(len(y))
         for at in range(0, len(order), 128):
             some = order[at:at + 128]
