@@ -66,7 +66,6 @@ MAX_DETECTIONS = 10
 MAX_AF_POINTS = 1024
 HEADER_BYTES = 2 * 1024 * 1024
 ANALYSIS_SIDE = 1536
-FILES_PER_BATCH = 4
 
 # Focus-point tags in order of preference; the first is the precise one.
 AF_TAGS = [0x4013, 0x0026, 0x0025]

@@ -8,10 +8,11 @@ from ..functions import constants as C
 from ..functions.binding import bind
 from ..functions.files import af_tier
 from ..functions.geometry import rect
-from .skew import with_per_key
+from ..sources.headers import tag_array
 
 PRECISE_TAG = C.AF_TAGS[0]
 
+
 def _word(vals: Column, i: Column | int) -> Column:
     """Value at a 0-based place, 0 beyond the end."""
     return F.coalesce(F.get(vals, F.lit(i) if isinstance(i, int) else i), F.lit(0)).cast("int")
@@ -195,11 +196,20 @@ def af_rects(tags: DataFrame, image: str = "path") -> DataFrame:
     return chosen.select(image, points_union(F.col("points")).alias("af_rect"))
 
 
+def header_af_rects(headers: DataFrame, key: str = "path") -> DataFrame:
+    """``(path, af_rect)`` straight from file headers ``(path, content)``: all tags of a file are in its row, nothing is shuffled."""
+    first = F.get(F.filter("_tags", lambda t: has_points(t["vals"])), F.lit(0))
+    found = headers.select(key, tag_array(F.col("content")).alias("_tags")).select(key, first.alias("_first"))
+    vals, precise = F.col("_first.vals"), F.col("_first.tag") == PRECISE_TAG
+    points = af_points_array(vals, af_layout(vals), precise)
+    return found.filter(F.col("_first").isNotNull()).select(key, bind(points, lambda p: points_union(preferred_points(p))).alias("af_rect"))
+
+
 def prefer_tier(points: DataFrame, image: str = "image_id") -> DataFrame:
     """Row form of ``preferred_points``: the rows of each image's best tier."""
     tiered = points.withColumn("tier", af_tier(F.col("in_focus"), F.col("selected")))
-    best = with_per_key(tiered, [image], F.min("tier").alias("_best"))
-    return best.filter(F.col("tier") == F.col("_best")).drop("_best")
+    best = tiered.groupBy(image).agg(F.min("tier").alias("tier"))
+    return tiered.join(best, [image, "tier"], "left_semi")
 
 
 def _union_of(wanted: Column | None = None) -> Column:

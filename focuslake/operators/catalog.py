@@ -102,14 +102,21 @@ RESULT_DEFAULTS = {
 }
 
 
-def latest_results(results: DataFrame, run: str, key: str = "path") -> DataFrame:
-    """One row per file: that of its latest run, reduced on the map side first."""
+def latest_results(results: DataFrame, run: str | list[str], key: str = "path") -> DataFrame:
+    """One row per file: that of its latest run, reduced on the map side first.
+
+    ``run`` may be several columns, compared in turn. Of rows that are equal in all of them the same one
+    is kept every time, chosen by a hash of the row.
+    """
     rest = [c for c in results.columns if c != key]
-    last = F.max_by(F.struct(*rest), F.col(run)).alias("_last")
+    order = F.struct(*([run] if isinstance(run, str) else run), F.xxhash64(*rest))
+    last = F.max_by(F.struct(*rest), order).alias("_last")
     return results.groupBy(key).agg(last).select(key, "_last.*")
 
 
-def apply_results(catalog: DataFrame, results: DataFrame, key: str = "path", run: str | None = None) -> DataFrame:
+def apply_results(
+    catalog: DataFrame, results: DataFrame, key: str = "path", run: str | list[str] | None = None
+) -> DataFrame:
     """Catalog with its results; files without one keep the defaults, unknown files are ignored."""
     latest = latest_results(results, run, key) if run else results
     fields = [c for c in RESULT_DEFAULTS if c in latest.columns]

@@ -20,7 +20,8 @@ def float_lit(v: float) -> Column:
 
 
 def passes(confidence: Column, gate: float = C.DETECTION_GATE) -> Column:
-    return confidence.cast("float") >= float_lit(gate)
+    """NaN passes no gate, though Spark orders it above all numbers."""
+    return (confidence.cast("float") >= float_lit(gate)) & ~F.isnan(confidence.cast("float"))
 
 
 def confidence_gate(detections: DataFrame, gate: float = C.DETECTION_GATE) -> DataFrame:
@@ -75,8 +76,8 @@ def first_label(labels: Column) -> Column:
 
 
 def class_argmax(scores: Column) -> Column:
-    """``struct<class, score>``: first highest score above 0; class 0 with score 0 if there is none."""
-    top = F.array_max(scores)
+    """``struct<class, score>``: first highest score above 0; class 0 with score 0 if there is none. NaN is no score."""
+    top = F.array_max(F.filter(scores, lambda s: ~F.isnan(s)))
     none = F.coalesce(top <= 0, F.lit(True))
     return F.struct(
         F.when(none, 0).otherwise(F.array_position(scores, top).cast("int") - 1).alias("class"),
@@ -95,7 +96,7 @@ def pose_decode(anchors: DataFrame, image: str = "image_id", gate: float = C.DET
     objectness = F.get(f, F.lit(4)).cast("float")
     gated = (
         anchors.select(image, F.col("anchor").alias("ord"), F.col("features").cast("array<float>").alias("features"))
-        .filter(objectness >= float_lit(gate))
+        .filter(passes(objectness, gate))
         .withColumn("_n", n_classes)
         .withColumn("_best", class_argmax(F.slice(f, F.lit(6), F.col("_n"))))
         .withColumn("confidence", (F.col("_best.score") * objectness).cast("float"))
@@ -107,7 +108,8 @@ def pose_decode(anchors: DataFrame, image: str = "image_id", gate: float = C.DET
     def keypoint(k: int) -> Column:
         at = F.lit(5) + F.col("_n") + 3 * k
         x, y = F.get(f, at).cast("double"), 1 - F.get(f, at + 1).cast("double")
-        seen = F.get(f, at + 2) > float_lit(C.KEYPOINT_GATE)
+        visible = F.get(f, at + 2)
+        seen = (visible > float_lit(C.KEYPOINT_GATE)) & ~F.isnan(visible)
         return F.when(seen, F.struct(x.alias("x"), y.alias("y")))
 
     return (

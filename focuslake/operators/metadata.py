@@ -31,9 +31,13 @@ def flat_entries(doc: Column) -> Column:
         )
         return F.when(opened(e["value"]).isNotNull(), inner).otherwise(F.array(e))
 
+    def state(entries: Column) -> Column:
+        nested = F.exists(entries, lambda e: opened(e["value"]).isNotNull())
+        return F.struct(entries.alias("entries"), F.coalesce(nested, F.lit(False)).alias("nested"))
+
     def step(acc: Column, _: Column) -> Column:
-        nested = F.exists(acc, lambda e: opened(e["value"]).isNotNull())
-        return F.when(nested, F.flatten(F.transform(acc, expand))).otherwise(acc)
+        # A level without objects is the last: the steps left over only look at the flag.
+        return F.when(acc["nested"], bind(F.flatten(F.transform(acc["entries"], expand)), state)).otherwise(acc)
 
     top = F.transform(
         F.map_entries(opened(F.try_parse_json(doc))), lambda e: entry(e["key"], e["value"], F.lit(0))
@@ -44,7 +48,8 @@ def flat_entries(doc: Column) -> Column:
         value = F.coalesce(e["value"].cast("string"), F.lit("<null>"))
         return F.struct(e["key"], value.alias("value"), e["level"])
 
-    return F.transform(F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), top, step), as_text)
+    return F.transform(
+        F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), bind(top, state), step)["entries"], as_text)
 
 
 def _without_repeats(entries: Column) -> Column:
@@ -70,6 +75,13 @@ def flatten_metadata(docs: DataFrame, doc: str = "doc", key: str = "path") -> Da
     return opened.select(F.col(key), F.col("_e.key").alias("key"), F.col("_e.value").alias("value"))
 
 
+def unreadable_metadata(docs: DataFrame, doc: str = "doc", key: str = "path") -> DataFrame:
+    """``(path, error)`` for documents that give no rows because they are no JSON objects, repeated keys included."""
+    parsed = F.try_parse_json(F.col(doc))
+    error = F.when(parsed.isNull(), "not JSON, or a key is repeated").otherwise("not an object")
+    return docs.filter(F.col(doc).isNotNull() & parsed.try_cast(OBJECT).isNull()).select(key, error.alias("error"))
+
+
 def search_metadata(rows: DataFrame, query: str, key: str = "path") -> DataFrame:
     """Rows whose key or value contains the text, case-insensitive, sorted by key within each file."""
     hit = contains_text(F.col("key"), query) | contains_text(F.col("value"), query)

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as C
 from ..functions.cascade import detector_region, fallback_region
-from ..functions.geometry import RECT, crop_window, eye_box, head_box, padded_extent, rect_intersect
+from ..functions.geometry import RECT, crop_window, eye_box, flip_rect, head_box, head_from_body, padded_extent, rect_intersect
 from ..functions.labels import normalise_label
 from ..functions.scoring import subject_size_confidence
+from .detections import largest_box, top_label
 
 
 def _padded(wanted: Column, x: Column, y: Column, pad: float) -> Column:
@@ -25,7 +26,7 @@ def pose_regions(joints: DataFrame, *keys: str, gate: float = C.JOINT_GATE) -> D
     """
     keys = keys or ("image_id",)
     name = F.lower(F.col("joint"))
-    sure = F.col("confidence") > gate
+    sure = (F.col("confidence") > gate) & ~F.isnan("confidence")
     eye = sure & name.contains("eye")
     head = eye | (sure & (name.contains("ear") | name.contains("nose") | name.contains("head")))
     x, y = F.col("x"), 1.0 - F.col("y")
@@ -67,6 +68,38 @@ def face_eye_box(faces: DataFrame, landmarks: DataFrame, image: str = "image_id"
     return faces.join(extent, image).select(image, eye.alias("eye"))
 
 
+def animal_result(
+    joints: DataFrame, boxes: DataFrame, labels: DataFrame, image: str = "image_id", pose: str = "pose"
+) -> DataFrame:
+    """``(image_id, eye, head, body, label)`` for ``assemble_regions``: the pose if it has a body, else the largest box.
+
+    ``boxes`` are animals ``(image_id, ord, box)`` counted from the bottom, the head is the top of the box;
+    ``labels`` are ``(image_id, ord, label, confidence)`` of those boxes. A pose takes the best label of the
+    image, a box its own.
+    """
+    poses = animal_regions(joints, image, pose).filter(F.col("body").isNotNull())
+    best = top_label(labels, [image]).select(image, F.col("label").alias("_any"))
+    own = top_label(labels.select(image, "ord", "label", "confidence"), [image, "ord"]).select(image, "ord", F.col("label").alias("_own"))
+    largest = largest_box(boxes.select(image, "ord", flip_rect(F.col("box")).alias("_box")), image, box="_box")
+    named = largest.join(own, [image, "ord"], "left").drop("ord")
+    joined = poses.join(named, image, "full").join(best, image, "left")
+    posed = F.col("body").isNotNull()
+    return joined.select(
+        image, "eye", F.when(posed, F.col("head")).otherwise(head_from_body(F.col("_box"))).alias("head"),
+        F.coalesce("body", "_box").alias("body"), F.when(posed, F.col("_any")).otherwise(F.col("_own")).alias("label"))
+
+
+def human_result(faces: DataFrame, landmarks: DataFrame, image: str = "image_id") -> DataFrame:
+    """``(image_id, eye, face)`` for ``assemble_regions``: the largest face, with an eye box if it has landmarks.
+
+    ``faces`` is ``(image_id, ord, box)`` and ``landmarks`` ``(image_id, ord, x, y)``, both from the bottom.
+    """
+    largest = largest_box(faces.select(image, "ord", "box"), image)
+    here = landmarks.join(largest.select(image, "ord"), [image, "ord"], "left_semi")
+    eyes = face_eye_box(largest, here, image)
+    return largest.join(eyes, image, "left").select(image, "eye", flip_rect(F.col("box")).alias("face"))
+
+
 def af_subject_overlap(subjects: DataFrame, af: DataFrame, image: str = "image_id", box: str = "box") -> DataFrame:
     """Adds ``af_rect`` and its intersection ``overlap`` with the subject's box; one row per image on both sides."""
     return subjects.join(af.select(image, "af_rect"), image, "left").withColumn(

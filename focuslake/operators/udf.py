@@ -101,17 +101,20 @@ def laplacian_udf(image: pd.DataFrame, block: pd.Series, window: pd.DataFrame) -
 def grid_moments_udf(grid: pd.Series, width: pd.Series, window: pd.DataFrame) -> pd.DataFrame:
     """Moments of row-major integer arrays inside ``struct<x0, y0, x1, y1>`` windows.
 
-    Arrays of one shape are stacked and done in one step, each under the mask of its own window.
+    Arrays of one shape are stacked and done in one step, each under the mask of its own window. An array
+    that holds a null, or whose size is no multiple of its width, has no moments.
     """
     import numpy as np
 
+    grid = pd.Series([None if g is None or pd.isna(g).any() else g for g in grid], index=grid.index)
+
     out = pd.DataFrame(pd.NA, index=grid.index, columns=list(MOMENTS), dtype="Int64")
     shapes = pd.DataFrame({
         "size": [-1 if g is None else len(g) for g in grid], "width": width.to_numpy(),
         "known": window["x0"].notna().to_numpy()}, index=grid.index)
     for (size, w), part in shapes[shapes["known"]].groupby(["size", "width"]):
         w = int(w)
-        if size < 9 or w < 3 or size // w < 3:
+        if size < 9 or w < 3 or size // w < 3 or size % w:
             continue
         g = np.stack(grid.loc[part.index].to_numpy()).reshape(len(part), -1, w).astype(np.int64)
         x0, y0, x1, y1 = [window.loc[part.index, k].to_numpy().astype(np.int64)[:, None] for k in ("x0", "y0", "x1", "y1")]

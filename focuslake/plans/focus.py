@@ -14,14 +14,17 @@ from ..operators.udf import full_window, grid_moments_udf, laplacian_udf, shrink
 
 
 def plan_regions(
-    images: DataFrame, detections: DataFrame, animal: DataFrame, human: DataFrame, af: DataFrame, image: str = "image_id"
+    images: DataFrame, detections: DataFrame, animal: DataFrame, human: DataFrame, af: DataFrame, image: str = "image_id",
+    k: int | None = C.MAX_DETECTIONS,
 ) -> DataFrame:
     """Images with the region to score: ``rect, region, window, size_conf, label, det_conf``.
 
     ``images`` needs ``width`` and ``height`` in analysis pixels. Detections are gated, ranked and
     reduced to one row per image before they are joined; the other inputs have one row per image.
+    Only the ``k`` most confident detections of an image can be chosen, all of them for None.
     """
-    best = best_detection(top_detections(confidence_gate(detections), image=image), image)
+    gated = confidence_gate(detections)
+    best = best_detection(top_detections(gated, k, image) if k else gated, image)
     assembled = assemble_regions(images, animal, human, af, image)
     return crop_failure(pick_path(assembled, best, image))
 

@@ -156,12 +156,11 @@ def analyze_images(spark, folder):
 
 @register("analyze_stream", FLAGSHIP_SQL, "fx_grid")
 def analyze_stream(spark, folder):
-    """The flagship over a stream of the embedding files, stored batch by batch."""
+    """The flagship over a stream of files of the embeddings, one to a batch, stored batch by batch."""
     root = shared_folder(spark, "stream")
-    schema = table(spark, folder, "embeddings").schema
-    arriving = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").option("maxFilesPerTrigger", 4)
-        .parquet(folder))
+    rows = table(spark, folder, "embeddings")
+    rows.repartition(3, "vec_id").write.parquet(f"{root}/arriving")
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/arriving")
 
     def analyze(batch: DataFrame) -> DataFrame:
         level = "transform(embedding, e -> cast(floor((cast(e as double) + 1e0) * 64e0) as int))"
@@ -170,7 +169,7 @@ def analyze_stream(spark, folder):
 
     query = run_stream(arriving, analyze, f"{root}/results", f"{root}/checkpoint")
     query.awaitTermination()
-    return tidy(stored_results(spark, f"{root}/results", "vec_id").drop("batch_id"))
+    return tidy(stored_results(spark, f"{root}/results", "vec_id"))
 
 
 def bright_area():

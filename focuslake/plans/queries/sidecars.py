@@ -12,7 +12,7 @@ from ...functions.files import file_name
 from ...operators.detections import best_detection, confidence_gate
 from ...session import shared_folder
 from ...sources import sidecars as S
-from ...sources.listing import CatalogWalk
+from ...sources.listing import walk
 from ..views import view
 from .detections import BEST_SQL, detections
 from .geometry import REGION_SQL
@@ -140,7 +140,6 @@ def write_sidecars(spark, folder):
     files = best_files(spark, folder, f"{root}/files")
     outcome = f"{root}/outcome"
     S.write_sidecars(S.sidecar_table(files)).write.parquet(outcome)
-    spark.dataSource.register(CatalogWalk)
-    found = spark.read.format("catalog_walk").option("extensions", "xmp").load(f"{root}/files")
+    found = walk(spark, f"{root}/files", ["xmp"])
     flagged = S.sidecar_exists(spark.read.parquet(outcome), found)
     return flagged.select(file_name(F.col("path")).alias("name"), "status", "error", "xmp_written")

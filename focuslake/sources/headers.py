@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as C
 from ..functions.binding import bind
-from ..functions.files import file_stem
 from ..session import spread
+from .files import store_file
 from .listing import open_filesystem
 
 BATCH_BYTES = 64 * 1024 * 1024
@@ -79,14 +80,43 @@ def carve_embedded_jpeg(content: Column) -> Column:
     return F.when(F.length(content) > 3, found)
 
 
-def embedded_jpegs(files: DataFrame, tasks: int | None = None) -> DataFrame:
-    """``(path, content)``: the JPEG inside every raw file that holds one, to be stored beside it.
+def jpeg_in(data: bytes) -> bytes | None:
+    """``carve_embedded_jpeg`` over bytes, for tasks that hold the file."""
+    first, last = data.find(b"\xff\xd8\xff"), data.rfind(b"\xff\xd9")
+    return data[first:last + 2] if len(data) > 3 and 0 <= first <= last else None
 
-    Written with ``write_files``, these are the previews that ``read_images`` finds.
+
+def preview_name(path: str) -> str:
+    """A name no other file has, and that Spark's image source sees."""
+    stem = path.rpartition("/")[2].rpartition(".")[0]
+    return f"{hashlib.sha256(path.encode()).hexdigest()[:20]}-{stem}.jpg"
+
+
+def embedded_jpegs(files: DataFrame, root: str, tasks: int | None = None) -> DataFrame:
+    """Writes the JPEG inside every raw file below ``root``: ``(path, preview, error)`` for all files.
+
+    A file is read, cut and its preview written by one task, so no content leaves it. Previews are named by
+    a digest of the whole path: they never meet a photo, and files of one stem do not meet each other.
+    ``preview`` is null where there is nothing to write or writing failed. Nothing happens until the result is read.
     """
-    whole = read_bytes(files, None, tasks)
-    preview = F.concat(file_stem(F.col("path")), F.lit(".jpg")).alias("path")
-    return whole.select(preview, carve_embedded_jpeg(F.col("content")).alias("content")).filter(F.col("content").isNotNull())
+    root = root.rstrip("/")
+
+    def write(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        schema = pa.schema([("path", pa.string()), ("preview", pa.string()), ("error", pa.string())])
+        for batch in batches:
+            rows = []
+            for path in batch.column("path").to_pylist():
+                data = _head(path, None)
+                jpeg = jpeg_in(data) if data is not None else None
+                target = f"{root}/{preview_name(path)}" if jpeg else None
+                error = store_file(target, jpeg) if target else "unreadable" if data is None else None
+                rows.append((path, None if error else target, error))
+            if rows:
+                yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+
+    return spread(files.select("path"), "path", tasks).mapInArrow(write, "path string, preview string, error string")
 
 
 def _unsigned(data: Column, at: Column | int, size: int, little: Column | bool) -> Column:
@@ -186,12 +216,18 @@ def directory_tags(box: Column, little: Column) -> Column:
     return bind(bind(_unsigned(box, 4, 4, little), heading), walk)
 
 
-def extract_af_tags(headers: DataFrame, key: str = "path") -> DataFrame:
-    """``(path, entry, tag, cnt, vals)`` from ``(path, content)``; every step stays inside its row."""
+def tag_array(content: Column) -> Column:
+    """The focus-point tags of a header in order of preference, null without any."""
 
     def tags(box: Column) -> Column:
         return bind(F.hex(F.substring(box, 1, 1)) == "49", lambda little: directory_tags(box, little))
 
-    found = headers.select(key, bind(find_box(F.col("content")), tags).alias("_tags"))
+    return bind(find_box(content), tags)
+
+
+def extract_af_tags(headers: DataFrame, key: str = "path") -> DataFrame:
+    """``(path, entry, tag, cnt, vals)`` from ``(path, content)``; every step stays inside its row."""
+
+    found = headers.select(key, tag_array(F.col("content")).alias("_tags"))
     # The outer form keeps Spark from testing the array in a filter of its own, which would parse twice.
     return found.select(key, F.inline_outer("_tags")).filter(F.col("tag").isNotNull())

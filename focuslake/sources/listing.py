@@ -1,40 +1,54 @@
 """File listings.
 
 Spark's own file sources drop names that start with an underscore, which is how many cameras name
-photos in a wide colour space. ``catalog_walk`` lists them; it works on every filesystem that Arrow
-can open (local, HDFS, object stores).
+photos in a wide colour space. ``walk`` lists them; it works on every filesystem that Arrow can open
+(local, HDFS, object stores).
 """
 
 from __future__ import annotations
 
 import os
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import UTC, datetime
+from functools import lru_cache, reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import constants as C
 from ..functions.files import has_raw_ext
 from ..operators.catalog import union_listings
+from ..session import shared_folder, spread
 
 LISTING = "path string, size bigint, mtime timestamp"
+LEVEL = f"{LISTING}, is_folder boolean"
 BATCH_ROWS = 10_000
-FILES_PER_SHARE = 100_000
+
+
+@lru_cache(maxsize=64)
+def _store(address: str):
+    """The filesystem of a scheme and host, and the path of its root; opened once per process."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(f"{address}/")
 
 
 def open_filesystem(location: str):
-    """``(filesystem, path, prefix)``; ``prefix + path`` is the location in the caller's spelling."""
+    """``(filesystem, path, prefix)``; ``prefix + path`` is the location in the caller's spelling.
+
+    Only scheme and host are read as an address. The rest is a plain key, so spaces, ``#`` and ``%`` stay.
+    """
     from pyarrow import fs
 
     if location.startswith("file:"):
         path = "/" + location.removeprefix("file:").lstrip("/")
         return fs.LocalFileSystem(), path, location.removesuffix(path)
     if "://" in location:
-        filesystem, path = fs.FileSystem.from_uri(location)
-        return filesystem, path, location[: len(location) - len(path)]
+        scheme, _, rest = location.partition("://")
+        host, slash, key = rest.partition("/")
+        filesystem, base = _store(f"{scheme}://{host}")
+        path = f"{base.rstrip('/')}{slash}{key}"
+        return filesystem, path, location.removesuffix(path)
     return fs.LocalFileSystem(), location, ""
 
 
@@ -47,9 +61,11 @@ class Entry(NamedTuple):
 
 
 def visible_entries(location: str, wanted: Callable[[str], bool] = lambda name: True) -> Iterator[Entry]:
-    """Folders, and the wanted files, of one folder; hidden ones left out, none if it cannot be read.
+    """Folders, and the wanted files, of one folder; hidden ones left out.
 
-    Local folders are walked entry by entry, and only wanted files are looked at more closely.
+    A folder that is missing, forbidden or no folder has none. Any other error is raised, so the task
+    that lists is tried again. Local folders are walked entry by entry, and only wanted files are looked
+    at more closely.
     """
     from pyarrow import fs
 
@@ -59,7 +75,7 @@ def visible_entries(location: str, wanted: Callable[[str], bool] = lambda name:
             yield from _local_entries(path, prefix, wanted)
             return
         found = filesystem.get_file_info(fs.FileSelector(path))
-    except OSError:
+    except (FileNotFoundError, PermissionError, NotADirectoryError):
         return
     for e in found:
         folder = e.type == fs.FileType.Directory
@@ -72,7 +88,9 @@ def _local_entries(path: str, prefix: str, wanted: Callable[[str], bool]) -> Ite
         for e in listed:
             if e.name.startswith("."):
                 continue
-            if e.is_dir():
+            if e.is_symlink() and e.is_dir():
+                continue  # links to folders are not followed: they may lead back up
+            if e.is_dir(follow_symlinks=False):
                 yield Entry(prefix + e.path, e.name, True, None, None)
             elif wanted(e.name):
                 yield Entry(prefix + e.path, e.name, False, *_size_and_mtime(e))
@@ -87,100 +105,52 @@ def _size_and_mtime(e: os.DirEntry) -> tuple[int | None, datetime | None]:
     return stat.st_size, datetime.fromtimestamp(stat.st_mtime, UTC)
 
 
-class _Folder(InputPartition):
-    """One folder's own files, a share of them, or everything below it."""
-
-    def __init__(self, location: str, recursive: bool, share: int = 0, shares: int = 1):
-        self.location = location
-        self.recursive = recursive
-        self.share = share
-        self.shares = shares
-
+def walk(spark: SparkSession, root: str, extensions: Iterable[str] = (), tasks: int | None = None, folder: str | None = None) -> DataFrame:
+    """All files below a root whose extension is wanted: ``(path, size, mtime)``.
 
-class CatalogWalkReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.root = options["path"].rstrip("/")
-        self.extensions = frozenset(e for e in options.get("extensions", "").lower().split(",") if e)
-        self.folders = int(options.get("minPartitions", "64"))
-        self.files_per_share = int(options.get("filesPerPartition", str(FILES_PER_SHARE)))
+    One job for each level of folders. Every folder is listed once, by one task, and the folders of a
+    level are dealt out evenly, so a crowded branch is spread as soon as it has folders of its own.
+    Levels are stored in the shared folder; nothing is listed on the driver.
+    """
+    folder = folder or shared_folder(spark, "listing")
+    kept = frozenset(e.lower() for e in extensions)
 
-    def wanted(self, name: str) -> bool:
+    def wanted(name: str) -> bool:
         stem, dot, ext = name.rpartition(".")
-        return not self.extensions or bool(stem and dot) and ext.lower() in self.extensions
-
-    def partitions(self) -> list[InputPartition]:
-        """Opens folders level by level until there are enough of them to share out.
-
-        Only folder names are kept here; files are counted, so that a folder with very many of them
-        is shared out by name, and looked at by the tasks.
-        """
-        opened, level = [], [self.root]
-        while level and len(opened) + len(level) < self.folders:
-            below = []
-            for folder in level:
-                files = 0
-
-                def count(name: str) -> bool:
-                    nonlocal files
-                    files += self.wanted(name)
-                    return False
-
-                below += [e.location for e in visible_entries(folder, count)]
-                shares = -(-files // self.files_per_share)
-                opened += [_Folder(folder, False, i, shares) for i in range(shares)]
-            level = below
-        return opened + [_Folder(f, True) for f in level] or [_Folder(self.root, False)]
-
-    def read(self, part: _Folder) -> Iterator:
-        import pyarrow as pa
-
-        schema = pa.schema([("path", pa.string()), ("size", pa.int64()), ("mtime", pa.timestamp("us", "UTC"))])
-
-        def mine(name: str) -> bool:
-            return self.wanted(name) and zlib.crc32(name.encode()) % part.shares == part.share
-
-        waiting, rows = [part.location], []
-        while waiting:
-            for e in visible_entries(waiting.pop(), mine):
-                if e.is_folder:
-                    if part.recursive:
-                        waiting.append(e.location)
-                    continue
-                rows.append((e.location, e.size, e.mtime))
-                if len(rows) == BATCH_ROWS:
-                    yield _batch(rows, schema)
-                    rows = []
+        return not kept or bool(stem and dot) and ext.lower() in kept
+
+    def entries(batches: Iterator) -> Iterator:
+        rows = []
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                for e in visible_entries(path, wanted):
+                    rows.append((e.location, e.size, e.mtime, e.is_folder))
+                    if len(rows) == BATCH_ROWS:
+                        yield _batch(rows)
+                        rows = []
         if rows:
-            yield _batch(rows, schema)
+            yield _batch(rows)
+
+    level, levels = spark.createDataFrame([(root.rstrip("/") or "/",)], "path string"), []
+    while not levels or not level.isEmpty():
+        at = f"{folder}/level-{len(levels)}"
+        spread(level, "path", tasks).mapInArrow(entries, LEVEL).write.parquet(at)
+        listed = spark.read.schema(LEVEL).parquet(at)
+        levels.append(listed.where(~F.col("is_folder")).drop("is_folder"))
+        level = listed.where("is_folder").select("path")
+    return reduce(DataFrame.union, levels)
 
 
-def _batch(rows: list[tuple], schema):
+def _batch(rows: list[tuple]):
     import pyarrow as pa
 
+    schema = pa.schema([("path", pa.string()), ("size", pa.int64()), ("mtime", pa.timestamp("us", "UTC")), ("is_folder", pa.bool_())])
     return pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
 
-class CatalogWalk(DataSource):
-    """``spark.read.format("catalog_walk").option("extensions", "cr3,nef").load(root)``"""
-
-    @classmethod
-    def name(cls) -> str:
-        return "catalog_walk"
-
-    def schema(self) -> str:
-        return LISTING
-
-    def reader(self, schema) -> DataSourceReader:
-        return CatalogWalkReader(self.options)
-
-
-def scan_catalog(spark: SparkSession, root: str, min_partitions: int = 64) -> DataFrame:
+def scan_catalog(spark: SparkSession, root: str, tasks: int | None = None) -> DataFrame:
     """Raw files below a root: recursive, hidden entries skipped, empty for an unreadable root."""
-    spark.dataSource.register(CatalogWalk)
-    return (
-        spark.read.format("catalog_walk").option("extensions", ",".join(C.RAW_EXTENSIONS))
-        .option("minPartitions", str(min_partitions)).load(root)
-    )
+    return walk(spark, root, C.RAW_EXTENSIONS, tasks)
 
 
 def scan_many_roots(spark: SparkSession, *roots: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import constants as C
 from ..sources.images import DECODABLE, decoded
 from ..operators.catalog import apply_results, latest_results, pending
 
@@ -15,23 +16,24 @@ IMAGE_SOURCE = "struct<origin:string,height:int,width:int,nChannels:int,mode:int
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def stream_files(spark: SparkSession, root: str, per_batch: int = C.FILES_PER_BATCH, glob: str | None = None) -> DataFrame:
-    """New files below a folder, a few per micro-batch; raise ``per_batch`` with the cluster.
+def stream_files(spark: SparkSession, root: str, per_batch: int | None = None, glob: str | None = None) -> DataFrame:
+    """New files below a folder, at most ``per_batch`` in a micro-batch.
 
     Spark's file source does not see names that start with an underscore.
     """
-    reader = (
-        spark.readStream.format("binaryFile").schema(BINARY_FILE)
-        .option("maxFilesPerTrigger", per_batch).option("recursiveFileLookup", True)
-    )
+    reader = _limited(spark.readStream.format("binaryFile").schema(BINARY_FILE), per_batch)
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
 
 
-def stream_images(spark: SparkSession, root: str, per_batch: int = C.FILES_PER_BATCH) -> DataFrame:
+def _limited(reader, per_batch: int | None):
+    reader = reader.option("recursiveFileLookup", True)
+    return reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader
+
+
+def stream_images(spark: SparkSession, root: str, per_batch: int | None = None) -> DataFrame:
     """``(path, image)`` of new JPEG and PNG files; ``image`` is null where decoding failed."""
-    reader = spark.readStream.format("image").schema(f"image {IMAGE_SOURCE}")
-    visible = reader.option("recursiveFileLookup", True).option("pathGlobFilter", DECODABLE)
-    loaded = visible.option("maxFilesPerTrigger", per_batch).load(root)
+    reader = _limited(spark.readStream.format("image").schema(f"image {IMAGE_SOURCE}"), per_batch)
+    loaded = reader.option("pathGlobFilter", DECODABLE).load(root)
     return loaded.select(F.col("image.origin").alias("path"), decoded(F.col("image")).alias("image"))
 
 
@@ -40,12 +42,16 @@ def analyze_stream(
 ) -> StreamingQuery:
     """Applies a batch analysis to every micro-batch and appends the results below ``sink``.
 
-    Each batch owns one folder and overwrites it, so a batch that is run again leaves no copies.
-    ``trigger`` is passed on, ``availableNow=True`` by default.
+    Each batch owns the folder ``run=<id>/batch_id=<n>`` and overwrites it, so a batch that is run again
+    leaves no copies. The id is that of the checkpoint: a stream that goes on keeps it, one with a new
+    checkpoint, whose batches count from 0 again, gets another. ``trigger`` is passed on,
+    ``availableNow=True`` by default.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        analyze(batch).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        about = batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0]
+        results = analyze(batch).withColumn("stored_at", F.current_timestamp())
+        results.write.mode("overwrite").parquet(f"{sink}/run={json.loads(about)['id']}/batch_id={batch_id}")
 
     return (
         files.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
@@ -53,17 +59,36 @@ def analyze_stream(
     )
 
 
+def all_results(spark: SparkSession, sink: str) -> DataFrame:
+    return spark.read.parquet(sink)
+
+
 def stored_results(spark: SparkSession, sink: str, key: str = "path") -> DataFrame:
-    """All results so far, the latest batch winning for a file that was analysed more than once."""
-    return latest_results(spark.read.parquet(sink), "batch_id", key)
+    """One result per file, the one stored last for a file that was analysed more than once."""
+    last = latest_results(all_results(spark, sink), ["stored_at", "batch_id", "run"], key)
+    return last.drop("stored_at", "batch_id", "run")
 
 
-def progress(query: StreamingQuery, total: int) -> float:
-    """Share of ``total`` files that the finished batches have covered."""
-    done = sum(p["numInputRows"] for p in query.recentProgress)
+def progress(spark: SparkSession, sink: str, total: int, key: str = "path") -> float:
+    """Share of ``total`` files that have a result in the sink, whichever run stored it."""
+    done = all_results(spark, sink).select(key).distinct().count()
     return min(done / total, 1.0) if total else 1.0
 
 
-def rescan(catalog: DataFrame, results: DataFrame, key: str = "path") -> tuple[DataFrame, DataFrame]:
-    """A new listing with the results that are still valid, and the files left to analyse."""
+def rescan(
+    catalog: DataFrame, results: DataFrame, key: str = "path", again: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """A new listing with the results that are still valid, and the files left to analyse.
+
+    Results that carry ``size`` and ``mtime`` hold for that state of the file only; ``again`` names
+    files to be analysed anew in any case.
+    """
+    if again is not None:
+        results = results.join(again.select(key).distinct(), key, "left_anti")
+    same = [c for c in ("size", "mtime") if c in results.columns and c in catalog.columns]
+    if same:
+        state = catalog.select(key, *[F.col(c).alias(f"_{c}") for c in same])
+        unchanged = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same]
+        valid = results.join(state, key).where(reduce(lambda a, b: a & b, unchanged))
+        results = valid.drop(*same, *[f"_{c}" for c in same])
     return apply_results(catalog, results, key), pending(catalog, results, key)

@@ -7,9 +7,8 @@ from focuslake.functions import constants as C
 from focuslake.functions.files import file_ext, file_stem, is_raw_name
 from focuslake.functions.labels import sidecar_path
 from focuslake.operators import attempts as T, catalog as K
-from focuslake.sources.files import write_files
-from focuslake.sources.headers import embedded_jpegs, read_bytes
-from focuslake.sources.listing import CatalogWalk, scan_binary_listing, scan_catalog, scan_many_roots
+from focuslake.sources.headers import carve_embedded_jpeg, embedded_jpegs, jpeg_in, read_bytes
+from focuslake.sources.listing import open_filesystem, scan_binary_listing, scan_catalog, scan_many_roots, visible_entries, walk
 
 
 @pytest.fixture(scope="module")
@@ -38,17 +37,43 @@ def test_scan(spark, card, prefix, parts):
     assert all(r.path.startswith(f"{prefix}{card}/") and r.mtime is not None for r in rows)
 
 
-def test_crowded_folder_is_shared_out(spark, tmp_path):
-    spark.dataSource.register(CatalogWalk)
-    (tmp_path / "sub").mkdir()
-    names = [f"{i}.cr3" for i in range(50)]
-    for n in names:
-        (tmp_path / n).write_bytes(b"x")
-        (tmp_path / "sub" / n).write_bytes(b"x")
-    listing = spark.read.format("catalog_walk").option("extensions", "cr3").option("filesPerPartition", "9").load(str(tmp_path))
-    assert listing.rdd.getNumPartitions() == 12
-    assert sorted(r.path for r in listing.collect()) == sorted(f"{tmp_path}/{d}{n}" for d in ("", "sub/") for n in names)
-    assert len({r[0] for r in listing.select(F.spark_partition_id()).distinct().collect()}) > 8
+def test_levels_are_listed_by_tasks(spark, tmp_path):
+    """A crowded branch below many folders; each folder listed once."""
+    for k in range(70):
+        (tmp_path / "c" / f"f{k}").mkdir(parents=True)
+        (tmp_path / "c" / f"f{k}" / "a b#1%20.cr3").write_bytes(b"x")
+    found = walk(spark, str(tmp_path), ["cr3"], 8, str(tmp_path / ".levels"))
+    assert sorted(r.path for r in found.collect()) == sorted(f"{tmp_path}/c/f{k}/a b#1%20.cr3" for k in range(70))
+    assert len(list((tmp_path / ".levels").iterdir())) == 3
+    assert len(list((tmp_path / ".levels" / "level-2").glob("part-*.parquet"))) > 4
+
+
+def test_links_to_folders_are_not_followed(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.cr3").write_bytes(b"x")
+    (tmp_path / "d" / "up").symlink_to(tmp_path)
+    (tmp_path / "d" / "b.cr3").symlink_to(tmp_path / "d" / "a.cr3")
+    assert sorted(r.path for r in scan_catalog(spark, str(tmp_path)).collect()) == [f"{tmp_path}/d/{n}.cr3" for n in "ab"]
+
+
+def test_errors_other_than_missing_are_raised(tmp_path, monkeypatch):
+    assert list(visible_entries(str(tmp_path / "missing"))) == []
+    (tmp_path / "file").write_bytes(b"x")
+    assert list(visible_entries(str(tmp_path / "file"))) == []
+
+    def slow(path):
+        raise TimeoutError(path)
+
+    monkeypatch.setattr("os.scandir", slow)
+    with pytest.raises(TimeoutError):
+        list(visible_entries(str(tmp_path)))
+
+
+def test_keys_are_taken_literally():
+    for key in ("a b#1%20.cr3", "x?y.cr3"):
+        filesystem, path, prefix = open_filesystem(f"mock://host/dir/{key}")
+        assert path.endswith(f"dir/{key}") and prefix + path == f"mock://host/dir/{key}"
+        assert open_filesystem(f"mock://host/{key}")[0] is filesystem
 
 
 def test_link_to_nowhere_is_listed(spark, tmp_path):
@@ -92,13 +117,25 @@ def test_prefix_read(spark, card):
     assert got["_MG_0003.CR3"] == b"thre" and got["IMG_0002.cr3"] == b"" and got["a.CR3"] is None
 
 
-def test_previews_beside_raw_files(spark, tmp_path):
-    jpeg = b"\xff\xd8\xff\xe0" + b"pixels" * 500_000 + b"\xff\xd9"
-    (tmp_path / "a.cr3").write_bytes(b"head" * 9 + jpeg + b"tail")
-    (tmp_path / "b.cr3").write_bytes(b"nothing here")
-    outcome = write_files(embedded_jpegs(scan_catalog(spark, str(tmp_path)))).collect()
-    assert [(r.path, r.error) for r in outcome] == [(f"{tmp_path}/a.jpg", None)]
-    assert (tmp_path / "a.jpg").read_bytes() == jpeg and not (tmp_path / "b.jpg").exists()
+def test_previews_never_meet_a_photo(spark, tmp_path):
+    jpeg, card, root = b"\xff\xd8\xff\xe0" + b"pixels" * 500_000 + b"\xff\xd9", tmp_path / "card", tmp_path / "previews"
+    card.mkdir()
+    for name in ("_MG_1.CR3", "_MG_1.DNG"):
+        (card / name).write_bytes(b"head" * 9 + jpeg + name.encode())
+    (card / "_MG_1.jpg").write_bytes(b"the camera's own")
+    (card / "b.cr3").write_bytes(b"nothing here")
+    outcome = embedded_jpegs(scan_catalog(spark, str(card)), str(root)).collect()
+    assert {r.path.rsplit("/", 1)[1]: (r.preview is not None, r.error) for r in outcome} == {
+        "_MG_1.CR3": (True, None), "_MG_1.DNG": (True, None), "b.cr3": (False, None)}
+    previews = [r.preview for r in outcome if r.preview]
+    assert len(set(previews)) == 2 and all(open(p, "rb").read() == jpeg for p in previews)
+    assert (card / "_MG_1.jpg").read_bytes() == b"the camera's own" and not any(p.rsplit("/", 1)[1].startswith("_") for p in previews)
+
+
+@pytest.mark.parametrize("data", [b"", b"\xff\xd8\xff", b"\xff\xd9\xff\xd8\xff", b"a\xff\xd8\xffb\xff\xd9c\xff\xd9d", b"\xff\xd8\xff\xd9"])
+def test_carving_in_bytes_equals_the_column(spark, data):
+    row = spark.createDataFrame([(data,)], "content binary").select(carve_embedded_jpeg(F.col("content")).alias("j")).first()
+    assert jpeg_in(data) == (None if row.j is None else bytes(row.j))
 
 
 @pytest.mark.parametrize("path, ext, raw, sidecar", [

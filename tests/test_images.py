@@ -2,6 +2,7 @@
 
 import struct
 import zlib
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -101,10 +102,10 @@ def test_whole_analysis(spark, photos):
 def test_stream_equals_batch(spark, photos, tmp_path):
     root, _ = photos
     sink, checkpoint = str(tmp_path / "sink"), str(tmp_path / "checkpoint")
-    query = analyze_stream(stream_images(spark, str(root)), analyze, sink, checkpoint)
+    query = analyze_stream(stream_images(spark, str(root), 4), analyze, sink, checkpoint)
     query.awaitTermination()
     sizes = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
-    assert len(sizes) == 3 and progress(query, 10) == 1.0
+    assert len(sizes) == 3 and progress(spark, sink, stored_results(spark, sink).count()) == 1.0
     batch = {name_of(r.path): (r.status, r.score, r.blur_type) for r in analyze(read_images(spark, str(root))).collect()}
     stream = {name_of(r.path): (r.status, r.score, r.blur_type) for r in stored_results(spark, sink).collect()}
     assert stream == batch
@@ -132,10 +133,39 @@ def test_stream_goes_on_where_it_stopped(spark, photos, tmp_path):
     assert {name_of(r.path): r.status == C.NOT_ANALYZED for r in merged.collect()} == {"0.png": False, "1.png": False, "2.png": True}
 
 
-def test_later_batches_win(spark, tmp_path):
-    for n, score in ((0, 0.1), (1, 0.2), (10, 0.3)):
-        spark.createDataFrame([("a", score)], "path string, score double").write.parquet(f"{tmp_path}/s/batch_id={n}")
-    assert [r.score for r in stored_results(spark, f"{tmp_path}/s").collect()] == [0.3]
+def test_changed_and_chosen_files_are_left(spark):
+    known = "path string, size long, mtime timestamp_ntz, status string"
+    at = datetime(2024, 1, 1)
+    results = spark.createDataFrame([("same", 1, at, "Sharp"), ("grown", 1, at, "Sharp"), ("touched", 1, at, "Sharp"), ("chosen", 1, at, "Sharp")], known)
+    listing = spark.createDataFrame(
+        [("same", 1, at), ("grown", 2, at), ("touched", 1, datetime(2024, 1, 2)), ("chosen", 1, at), ("new", 1, at)],
+        "path string, size long, mtime timestamp_ntz")
+    merged, left = rescan(listing, results, again=spark.createDataFrame([("chosen",)], "path string"))
+    assert {r.path for r in left.collect()} == {"grown", "touched", "chosen", "new"}
+    assert {r.path: r.status for r in merged.collect()} == {
+        "same": "Sharp", **dict.fromkeys(("grown", "touched", "chosen", "new"), C.NOT_ANALYZED)}
+
+
+def test_later_results_win(spark, tmp_path):
+    for run, n, day, score in (("a", 7, 1, 0.1), ("a", 10, 2, 0.2), ("b", 0, 3, 0.3)):
+        rows = spark.createDataFrame([("p", score, datetime(2024, 1, day))], "path string, score double, stored_at timestamp")
+        rows.write.parquet(f"{tmp_path}/s/run={run}/batch_id={n}")
+    assert [tuple(r) for r in stored_results(spark, f"{tmp_path}/s").collect()] == [("p", 0.3)]
+
+
+def test_two_checkpoints_share_a_sink(spark, tmp_path):
+    """Each has a batch 0; also more batches than Spark remembers progress of."""
+    sink, n = str(tmp_path / "sink"), 104
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    for k in range(n):
+        (tmp_path / "a" / f"{k}.txt").write_text("x")
+    (tmp_path / "b" / "x.txt").write_text("y")
+    for name in "ab":
+        stream = stream_files(spark, str(tmp_path / name), 1)
+        analyze_stream(stream, lambda b: b.select("path").coalesce(1), sink, str(tmp_path / f"check-{name}")).awaitTermination()
+    assert stored_results(spark, sink).count() == n + 1
+    assert progress(spark, sink, 2 * (n + 1)) == 0.5
 
 
 def test_stream_of_files(spark, photos, tmp_path):

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from focuslake.operators import pixels as P
-from focuslake.operators.skew import with_per_key
 
 FOLDER = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
@@ -94,21 +93,6 @@ def test_filters_reach_the_scan(large):
     assert any("LessThanOrEqual(l_linenumber,2)" in p for p in pushed)
 
 
-def test_hot_keys_are_not_shuffled(spark):
-    """One key with a third of the rows and one that never appears twice: same result, hot rows stay put."""
-    rows = spark.range(30_000).selectExpr("if(id % 3 = 0, -1L, id) as k", "id as v")
-    got = with_per_key(rows, ["k"], F.max("v").alias("top"), hot_rows=1000, hot_keys=5)
-    assert got.count() == 30_000
-    assert got.filter("k = -1").select("top").distinct().first().top == 29_997
-    assert got.filter("k <> -1 and top <> v").count() == 0
-    plan = plan_of(got)
-    assert plan.count("BroadcastHashJoin") >= 2 and "TakeOrderedAndProject" in plan
-    # More hot keys than are broadcast: the others take the ordinary way.
-    many = spark.range(10_000).selectExpr("id % 10 as k", "id as v")
-    assert with_per_key(many, ["k"], F.min("v").alias("low"), hot_rows=10, hot_keys=3).filter("low <> k").count() == 0
-    assert with_per_key(many, ["k"], F.min("v").alias("low"), hot_rows=10, hot_keys=3).count() == 10_000
-
-
 def test_tiles_do_not_depend_on_image_size(spark):
     big = spark.range(100 * 300).selectExpr("1 as image_id", "int(id div 300) as y", "int(id % 300) as x", "1 as g")
     most = P.with_tiles(big, 32).groupBy("ty", "tx").count().agg(F.max("count")).first()[0]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from focuslake.functions import constants as C, labels as L
 from focuslake.operators.metadata import flatten_metadata, search_metadata
 from focuslake.sources import sidecars as S
-from focuslake.sources.listing import CatalogWalk
+from focuslake.sources.listing import walk
 
 
 @pytest.mark.parametrize("region, label, group", [
@@ -88,8 +88,7 @@ def test_files(spark, tmp_path):
     S.write_sidecars(table).collect()  # again: same files, nothing left over
     assert sorted(os.listdir(root)) == ["a.xmp", "old.xmp", "sub"] and os.listdir(f"{root}/sub") == ["b.xmp"]
 
-    spark.dataSource.register(CatalogWalk)
-    listed = spark.read.format("catalog_walk").option("extensions", "xmp").load(root)
+    listed = walk(spark, root, ["xmp"])
     flags = {r.path.rsplit("/", 1)[1]: r.xmp_written for r in S.sidecar_exists(files, listed).collect()}
     # A sidecar from before counts, even where writing failed now.
     assert flags == {"a.CR3": True, "b.CR3": True, "c.CR3": False, "d.CR3": False, "e.CR3": False, "old.CR3": True}
