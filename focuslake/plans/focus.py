@@ -82,19 +82,35 @@ def shrunk(images: DataFrame, max_side: int = C.ANALYSIS_SIDE, buffer: str = "im
 
 
 def analyze_images(
-    images: DataFrame, picked: DataFrame, key: str = "path", max_side: int = C.ANALYSIS_SIDE, buffer: str = "image"
+    images: DataFrame, picked: DataFrame, key: str = "path", max_side: int = C.ANALYSIS_SIDE, buffer: str = "image",
+    result: str | None = None,
 ) -> DataFrame:
     """Scores decoded images against the region picked for each file.
 
     ``picked`` comes from ``pick_path`` over the listing and never sees a pixel. Images are made gray
     and small where they are read, so a join moves at most one byte per analysis pixel; where
-    ``picked`` is small enough for Spark to broadcast it, nothing moves at all.
+    ``picked`` is small enough for Spark to broadcast it, nothing moves at all. There is one row for each
+    row of ``picked``, named by its column ``result``, which is ``key`` by default.
     """
     w, h = F.col(f"{buffer}.width"), F.col(f"{buffer}.height")
     joined = picked.join(shrunk(images, max_side, buffer).select(key, buffer), key, "left")
     cut = crop_failure(joined.withColumn("width", w).withColumn("height", h))
     m = laplacian_udf(F.col(buffer), F.lit(1), F.col("window"))
-    return focus_results(with_variances(cut.withColumn("_m", m).select("*", "_m.*")), key)
+    return focus_results(with_variances(cut.withColumn("_m", m).select("*", "_m.*")), result or key)
+
+
+def analyze_card(
+    picked: DataFrame, previews: DataFrame, images: DataFrame, max_side: int = C.ANALYSIS_SIDE, path: str = "path"
+) -> DataFrame:
+    """One result for each file of ``picked``, named by its path.
+
+    ``previews`` says which image to score for a file: ``(path, preview)``, as ``embedded_jpegs`` gives it, or
+    the file itself. ``images`` is ``(path, image)`` by the images' own paths, spelled as in ``preview``. Files
+    of one stem stay apart, and only names meet before the pixels do. A file without an image gets the
+    values of one that was never analysed.
+    """
+    named = picked.join(previews.select(path, F.col("preview").alias("_preview")), path, "left")
+    return analyze_images(images.withColumnRenamed("path", "_preview"), named, "_preview", max_side, result=path)
 
 
 def focus_from_grids(grids: DataFrame, image: str = "vec_id") -> DataFrame:

@@ -11,7 +11,7 @@ from ...sources import headers as H
 from ...sources.files import write_files
 from ...sources.images import read_images as load_images
 from ...streaming.analysis import analyze_stream as run_stream, stored_results
-from ..focus import analyze_images as score_images, focus_from_grids
+from ..focus import analyze_card as score_card, analyze_images as score_images, focus_from_grids
 from ..views import af_tags, grids, table
 from .pixels import FLAGSHIP_SQL, LAPLACIAN_SQL, with_grid_regions
 from .regions import RESULT_SQL, picked
@@ -154,6 +154,19 @@ def analyze_images(spark, folder):
     return tidy(score_images(numbered, picked(spark, folder).drop("width", "height"), "image_id"))
 
 
+@register("analyze_card", RESULT_SQL, "fx_detections", "fx_rects", "fx_grid")
+def analyze_card(spark, folder):
+    """The same for a card whose files are named by their paths; names begin with an underscore, previews lie elsewhere."""
+    root = image_folder(spark, folder)
+    loaded = load_images(spark, root)
+    number = F.col("image_id").cast("string")
+    by_path = picked(spark, folder).drop("width", "height").withColumn("path", F.concat(F.lit("/card/_MG_"), number, F.lit(".CR3")))
+    previews = loaded.select(F.concat(F.lit("/card/_MG_"), F.expr(IMAGE_NUMBER), F.lit(".CR3")).alias("path"), F.col("path").alias("preview"))
+    scored = score_card(by_path, previews, loaded)
+    file_number = F.regexp_extract("path", r"_([0-9]+)[.]CR3$", 1).cast("bigint")
+    return tidy(scored.select(file_number.alias("image_id"), *scored.columns[1:]))
+
+
 @register("analyze_stream", FLAGSHIP_SQL, "fx_grid")
 def analyze_stream(spark, folder):
     """The flagship over a stream of files of the embeddings, one to a batch, stored batch by batch."""

@@ -9,7 +9,7 @@ from focuslake.operators.metadata import flatten_metadata, unreadable_metadata
 from focuslake.operators.regions import animal_result, human_result
 from focuslake.operators.udf import full_window, grid_moments_udf
 from focuslake.functions.geometry import RECT
-from focuslake.plans.focus import plan_regions
+from focuslake.plans.focus import analyze_card, plan_regions
 from focuslake.sources.headers import extract_af_tags
 from test_focus_points import LEGACY, OLD, PAD, PRECISE, STUB, box, tiff
 
@@ -106,3 +106,17 @@ def test_any_rank_may_be_chosen(spark, k, label):
     af = spark.createDataFrame([], f"image_id long, af_rect {RECT}")
     row = plan_regions(images, found, animals, humans, af, k=k).first()
     assert row.label == label if label else row.label != "Cat"
+
+
+def test_files_of_one_stem_stay_apart(spark):
+    picked = spark.createDataFrame(
+        [(p, None, "Full Image", None, None, "fallback", None) for p in ("/c/_IMG_1.CR3", "/c/_IMG_1.DNG", "/c/2.CR3")],
+        f"path string, rect {RECT}, region string, label string, det_conf float, path_taken string, box {RECT}")
+    previews = spark.createDataFrame([("/c/_IMG_1.CR3", "file:/p/a.jpg"), ("/c/_IMG_1.DNG", "file:/p/b.jpg"), ("/c/2.CR3", None)], "path string, preview string")
+    noise = bytes((i * i * 7919) % 251 for i in range(400))
+    images = spark.createDataFrame(
+        [("file:/p/a.jpg", (20, 20, 1, noise)), ("file:/p/b.jpg", (20, 20, 1, bytes(400)))],
+        "path string, image struct<width: int, height: int, channels: int, data: binary>")
+    got = {r.path: r for r in analyze_card(picked, previews, images).collect()}
+    assert len(got) == 3 and got["/c/_IMG_1.CR3"].score > got["/c/_IMG_1.DNG"].score == 0
+    assert got["/c/_IMG_1.DNG"].status == "Blurry" and got["/c/2.CR3"].status == "Not Analyzed"
