@@ -73,12 +73,15 @@ def tag_priority(spark, folder):
 TIER = "case when in_focus then 0 when selected then 1 else 2 end"
 
 
-@register("af_rects", f"""with {POINTS_SQL}, c as (select image_id, min(case tag when 16403 then 1 else 2 end) as k from p group by image_id),
+AF_RECTS_SQL = f"""with {POINTS_SQL}, c as (select image_id, min(case tag when 16403 then 1 else 2 end) as k from p group by image_id),
     s as (select p.*, {TIER} as tier from p join c on p.image_id = c.image_id and case tag when 16403 then 1 else 2 end = k),
     b as (select image_id, min(tier) as best from s group by image_id),
     v as (select s.image_id, min(rect.x) as x0, min(rect.y) as y0, max(rect.x + rect.w) as x1, max(rect.y + rect.h) as y1
       from s join b on s.image_id = b.image_id and tier = best group by s.image_id)
-    select image_id, {flat_sql(rect_sql('x0', 'y0', 'x1 - x0', 'y1 - y0'), 'af_rect')} from v""", "fx_tags")
+    select image_id, {flat_sql(rect_sql('x0', 'y0', 'x1 - x0', 'y1 - y0'), 'af_rect')} from v"""
+
+
+@register("af_rects", AF_RECTS_SQL, "fx_tags")
 def af_rects(spark, folder):
     return tidy(A.af_rects(af_tags(spark, folder), "image_id"))
 

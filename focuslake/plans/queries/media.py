@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ...operators import pixels as P
+from ...operators.afpoints import header_af_rects as rects_of_headers
 from ...operators.udf import detect_with as run_detector, full_window, laplacian_udf
 from ...session import shared_folder
 from ...sources import headers as H
@@ -13,6 +14,7 @@ from ...sources.images import read_images as load_images
 from ...streaming.analysis import analyze_stream as run_stream, stored_results
 from ..focus import analyze_card as score_card, analyze_images as score_images, focus_from_grids
 from ..views import af_tags, grids, table
+from .focus_points import AF_RECTS_SQL
 from .pixels import FLAGSHIP_SQL, LAPLACIAN_SQL, with_grid_regions
 from .regions import RESULT_SQL, picked
 from .registry import r6, register, tidy
@@ -87,6 +89,12 @@ def extract_af_tags(spark, folder):
         "vals", F.array_join(F.col("vals").cast("array<string>"), ","))
 
 
+@register("header_af_rects", AF_RECTS_SQL, "fx_tags")
+def header_af_rects(spark, folder):
+    """Focus points straight from the headers, each within its row."""
+    return tidy(rects_of_headers(containers(spark, folder), "image_id"))
+
+
 def buffers(spark, folder) -> DataFrame:
     """Gray images as one byte per pixel."""
     levels = F.unhex(F.array_join(F.transform("grid", lambda v: F.lpad(F.hex(v), 2, "0")), ""))
@@ -99,11 +107,13 @@ def _png(width: int, height: int, levels: bytes) -> bytes:
     import struct
     import zlib
 
+    import numpy as np
+
     def chunk(kind: bytes, body: bytes) -> bytes:
         return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
-    lines = b"".join(
-        b"\0" + b"".join(bytes([v, v, v]) for v in levels[y * width:(y + 1) * width]) for y in range(height))
+    pixels = np.frombuffer(levels, np.uint8).reshape(height, width)
+    lines = np.pad(np.repeat(pixels, 3, axis=1), ((0, 0), (1, 0))).tobytes()   # each line begins with its filter, none
     head = struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
 

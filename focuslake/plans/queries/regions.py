@@ -11,6 +11,7 @@ from ...operators import regions as R
 from ...operators.afpoints import preferred_union
 from ...operators.detections import best_detection, confidence_gate, largest_box, top_detections
 from ...operators.pixels import pixels_from_arrays
+from ...session import shared_folder
 from ..focus import analyze_focus, analyze_grids, plan_regions
 from ..views import grids, view
 from .detections import GATE, KNOWN_ANIMALS
@@ -128,7 +129,9 @@ def humans(spark, folder) -> DataFrame:
 
 
 def focus_rects(spark, folder) -> DataFrame:
-    return preferred_union(points(spark, folder).filter(F.col("image_id") % 3 != 0))
+    """Every third image has no focus point."""
+    united = preferred_union(points(spark, folder))
+    return united.withColumn("af_rect", F.when(F.col("image_id") % 3 != 0, F.col("af_rect")))
 
 
 def images(spark, folder) -> DataFrame:
@@ -146,8 +149,8 @@ HUMANS_SQL = f"""select image_id + 200 as image_id, ord, case when ord % 4 <> 0
     case when ord % 3 = 0 then {rect_sql('f.x', 'f.y', 'f.w * 4e-1', 'f.h * 1e-1')} end as eye
     from (select *, {FLIPPED} as f from (select *, row_number() over (partition by image_id order by w * h desc, ord) as r
       from fx_detections where label = 'person') where r = 1)"""
-AF_SQL = f"""with {PREFERRED_SQL.replace('from fx_rects', 'from fx_rects where image_id % 3 <> 0')}
-    select image_id, {rect_sql('x0', 'y0', 'x1 - x0', 'y1 - y0')} as af from u"""
+AF_SQL = f"""with {PREFERRED_SQL}
+    select image_id, case when image_id % 3 <> 0 then {rect_sql('x0', 'y0', 'x1 - x0', 'y1 - y0')} end as af from u"""
 PICK_SQL = f"""select image_id, ord, label, confidence, {rect_sql('x', 'y', 'w', 'h')} as box,
     case when ord % 3 = 0 then {rect_sql(
         'greatest(0e0, x - 5e-2)', 'greatest(0e0, y - 5e-2)',
@@ -317,7 +320,10 @@ def analyze_arrays(spark, folder):
 
 @register("analyze_focus_pixels", RESULT_SQL, "fx_detections", "fx_rects", "fx_grid")
 def analyze_pixels(spark, folder):
-    plan = planned(spark, folder).drop("grid")
+    # Windows and results both need the plan; stored, it is worked out once.
+    stored = f"{shared_folder(spark, 'plan')}/planned"
+    planned(spark, folder).drop("grid").write.parquet(stored)
+    plan = spark.read.parquet(stored)
     pixels = pixels_from_arrays(images(spark, folder).select("image_id", "grid", "width"))
     return tidy(analyze_focus(plan, pixels))
 
