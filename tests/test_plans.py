@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from focuslake.operators import pixels as P
+from focuslake.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
@@ -28,12 +29,12 @@ def large(spark):
 
 
 IN_PYTHON = {
-    "focus_from_grids", "analyze_focus", "review_note", "laplacian_udf", "detect_with", "read_images", "analyze_images",
+    "focus_from_grids", "analyze_focus", "review_note", "laplacian_udf", "detect_with", "read_images", "analyze_images", "analyze_card",
     "scan_catalog", "scan_many_roots", "read_bytes", "write_sidecars"}
 
 
 @needs_tables
-@pytest.mark.parametrize("name", [n for n in queries() if n not in IN_PYTHON | {"analyze_stream"}])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in IN_PYTHON | {"analyze_stream"}])
 def test_no_python_and_no_pairs(large, name):
     plan = plan_of(queries()[name](large, FOLDER))
     assert not re.search(r"Python|InPandas|InArrow", plan)
