@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import shared_folder
 from .components import components, roots, runs, stored
+from .urls import BROADCAST_BLOCKS, blocks_for, bloom_filter, possible
 from .words import batch, mix, repeat_ranges, run_hashes, slices, span_hashes, texts, words
 
 WORDS = 5
@@ -36,8 +37,9 @@ DEPTH = 4        # splits after which a bucket is kept whole
 BLOCK = 256      # members of a block in the exact comparison
 _BITS = 44       # of a shingle's hash; the rest of 64 bits counts the rows of a slice
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.large_binary()), ("sig", pa.large_binary())])
-SIGNED = "doc_id long, n long, key binary, sig binary"
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.large_binary()), ("sig", pa.large_binary()),
+                     ("short", pa.large_binary())])
+SIGNED = "doc_id long, n long, key binary, sig binary, short binary"
 _MULTIPLIERS = np.random.default_rng(5).integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -76,14 +78,15 @@ def signatures(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, key, sig) for each row: size, identity and signature of its set."""
+    """(doc_id, n, key, sig, short) for each row: size, identity and signature of its set, and a byte of each coordinate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in slices(b.column(1)):
                 sets, bounds = shingle_sets(s)
+                sig = signatures(sets, bounds)
                 yield batch(_SIGNED, b.column(0).slice(s.first, s.rows), np.diff(bounds),
-                            _binary(set_keys(sets, bounds)), _binary(signatures(sets, bounds)))
+                            _binary(set_keys(sets, bounds)), _binary(sig), _binary(sig.astype(np.uint8)))
 
     return texts(docs).mapInArrow(run, SIGNED)
 
@@ -147,12 +150,12 @@ def _paths(rows: DataFrame, similarity: float, first_runs: int) -> DataFrame:
 
 
 def _alike(rows: DataFrame, least: float) -> DataFrame:
-    """Edges (a, b) from each member of a small bucket to the first of those its signature resembles."""
+    """Edges (a, b) from each member of a small bucket (bucket, key, short) to the first of those its signature resembles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
         for t in runs(batches):
-            sig, keys = _matrix(t.column(2), np.uint32), t.column(1).combine_chunks()
+            sig, keys = _matrix(t.column(2), np.uint8), t.column(1).combine_chunks()
             equal = (sig[:, None] == sig[None]).sum(2)
             left, right = np.nonzero(np.triu(equal >= least * COORDINATES, 1))
             if len(left):
@@ -160,7 +163,7 @@ def _alike(rows: DataFrame, least: float) -> DataFrame:
                 member = np.flatnonzero(root != np.arange(len(sig)))
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(member)), keys.take(pa.array(root[member]))], schema=schema)
 
-    return (rows.select("bucket", "key", "sig").repartition("bucket").sortWithinPartitions("bucket")
+    return (rows.select("bucket", "key", "short").repartition("bucket").sortWithinPartitions("bucket")
             .mapInArrow(run, "a binary, b binary"))
 
 
@@ -175,7 +178,7 @@ def candidate_edges(classes: DataFrame, folder: str, similarity: float, recall:
         sizes = stored(paths.groupBy("bucket").agg(F.count("*").alias("size"), F.min("key").alias("first")).where("size > 1"),
                        f"{folder}/sizes-{level}")
         shared = paths.join(sizes, "bucket")
-        small = shared.where(F.col("size") <= BUCKET).select("bucket", "key").join(classes.select("key", "sig"), "key")
+        small = shared.where(F.col("size") <= BUCKET).select("bucket", "key").join(classes.select("key", "short"), "key")
         edges = _alike(small, least)
         level += 1
         large = shared.where(F.col("size") > BUCKET)
@@ -259,6 +262,10 @@ def exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, similari
     members = groups.join(sizes, "root").select(F.col("node").alias("key"), F.col("root").alias("comp"), "blocks")
     wanted = members.join(classes.select("key", "class_id"), "key")
     texts = docs.select(F.col("doc_id").cast("long").alias("own"), F.col("text").cast("string").alias("text"))
+    # A filter of bounded size keeps most texts that no group wants out of the shuffle; the join decides.
+    ids = wanted.select(F.col("class_id").alias("canonical")).distinct()
+    blocks = min(blocks_for(ids.count()), BROADCAST_BLOCKS)
+    texts = possible(texts, F.col("own"), bloom_filter(ids, blocks), blocks).where("__possible").drop("__possible")
     sets = _sets_of(wanted.join(texts, F.col("class_id").eqNullSafe(F.col("own"))))
     block = F.pmod(F.xxhash64("key"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
@@ -277,7 +284,7 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     """
     folder = folder or shared_folder(docs.sparkSession, "jaccard")
     sign = stored(signed(docs), f"{folder}/signed")
-    classes = stored(sign.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("n"), F.first("sig").alias("sig")),
+    classes = stored(sign.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("n"), F.first("sig").alias("sig"), F.first("short").alias("short")),
                      f"{folder}/classes")
     edges = candidate_edges(classes.where("n > 0"), f"{folder}/paths", similarity, recall)
     groups = stored(components(edges, f"{folder}/candidates"), f"{folder}/groups")

@@ -94,6 +94,17 @@ def bloom_filter(listed: DataFrame, blocks: int) -> DataFrame:
     return bits.groupBy("block").agg(*words)
 
 
+def possible(rows: DataFrame, key: Column, bloom: DataFrame, blocks: int) -> DataFrame:
+    """``rows`` with ``__possible``: false only where the filter rules the key out."""
+    probed = rows.withColumn("__key", key).withColumn("__block", _block(F.col("__key"), blocks)).join(
+        (F.broadcast(bloom) if blocks <= BROADCAST_BLOCKS else bloom).withColumnRenamed("block", "__block"), "__block", "left")
+    words = F.array(*[F.col(f"w{j}") for j in range(_WORDS)])
+    hit = F.col("w0").isNotNull()
+    for w, b in _bits(F.col("__key")):
+        hit = hit & (F.call_function("shiftright", F.get(words, w), b).bitwiseAND(1) == 1)
+    return probed.withColumn("__possible", F.coalesce(hit, F.lit(False))).drop("__key", "__block", *[f"w{j}" for j in range(_WORDS)])
+
+
 def _or_of(word: int):
     def step(found: Column, probe: Column) -> Column:
         return F.when(probe["word"] == word, found.bitwiseOR(probe["bit"])).otherwise(found)
@@ -115,14 +126,8 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], url: str
     parsed = pages.select(*[F.col(f"`{c}`") for c in kept], host(F.col(f"`{url}`")).alias("host"), path(F.col(f"`{url}`")).alias("path"))
     text, verdict = best_rule(rules, F.col("host"), F.col("path"))
     parsed = parsed.select("*", text.alias("rule"), verdict.alias("verdict"), canonical(F.col("host"), F.col("path")).alias("__url"))
-    probed = parsed.withColumn("__block", _block(F.col("__url"), blocks)).join(
-        (F.broadcast(bloom) if blocks <= BROADCAST_BLOCKS else bloom).withColumnRenamed("block", "__block"), "__block", "left")
-    words = F.array(*[F.col(f"w{j}") for j in range(_WORDS)])
-    hits = [F.call_function("shiftright", F.get(words, w), b).bitwiseAND(1) == 1 for w, b in _bits(F.col("__url"))]
-    possible = F.col("w0").isNotNull() & F.col("__url").isNotNull()
-    for hit in hits:
-        possible = possible & hit
-    probed = probed.withColumn("__possible", F.coalesce(possible, F.lit(False)))
+    probed = possible(parsed, F.col("__url"), bloom, blocks)
+    probed = probed.withColumn("__possible", F.col("__possible") & F.col("__url").isNotNull())
     columns = [*[F.col(f"`{c}`") for c in kept], "host", "path", "rule", "verdict"]
     missed = probed.where(~F.col("__possible")).select(*columns, F.lit(False).alias("listed"))
     # The exact join: rows that only share bits with a listed URL find no partner.
