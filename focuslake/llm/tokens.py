@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from ..session import shared_folder
-from .words import batch, repeat_ranges, slices, span_hashes, texts, words
+from .words import SLICE_BYTES, batch, repeat_ranges, slices, span_hashes, texts, words
 
 END_ID = 2
 SHARD_IDS = 4_000_000
@@ -80,29 +80,31 @@ class Encoder:
 
     def _clear_parts(self) -> None:
         self.parts: dict[str, int] = {"\n": 0}
-        self.part_ids: list[int] = []
-        self.part_stop: list[int] = [0]
-
-    def _part(self, part: str) -> int:
-        shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.shown)
-        self.part_ids.extend([t.id for t in self.model.tokenize(shown)])
-        self.part_stop.append(len(self.part_ids))
-        n = self.parts[part] = len(self.part_stop) - 1
-        return n
+        self.part_ids = np.zeros(0, np.uint32)
+        self.part_stop = np.zeros(1, np.int64)   # where the ids of each part end; part 0 has none
+
+    def _learn(self, parts: set[str]) -> None:
+        """Ids of parts not met before."""
+        tokenize, ids, stop = self.model.tokenize, [], []
+        for part in parts:
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.shown)
+            ids += [t.id for t in tokenize(shown)]
+            stop.append(len(ids))
+            self.parts[part] = len(self.parts)
+        self.part_stop = np.concatenate([self.part_stop, len(self.part_ids) + np.array(stop, np.int64)])
+        self.part_ids = np.concatenate([self.part_ids, np.array(ids, np.uint32)])
 
     def _plain(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids on end and their number for each of some plain chunks."""
         if len(self.parts) > CACHE_PARTS:
             self._clear_parts()
         cut = self.cut("\n".join(chunks).lower())
-        for part in set(cut) - self.parts.keys():
-            self._part(part)
+        self._learn(set(cut) - self.parts.keys())
         known = self.parts
         numbers = np.array([known[x] for x in cut] + [0], np.int64)
-        stop = np.array(self.part_stop, np.int64)
-        start = np.concatenate([[0], stop[:-1]])
-        counts = (stop - start)[numbers]
-        ids = np.array(self.part_ids, np.uint32)[repeat_ranges(start[numbers], counts)]
+        start = np.concatenate([[0], self.part_stop[:-1]])
+        counts = (self.part_stop - start)[numbers]
+        ids = self.part_ids[repeat_ranges(start[numbers], counts)]
         return ids, np.diff(np.cumsum(counts)[numbers == 0], prepend=0)
 
     def _store(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -128,7 +130,11 @@ class Encoder:
         if len(fresh):
             data, where = s.data.tobytes(), first[fresh]
             new = [data[i:j].decode("utf-8", "replace") for i, j in zip(w.start[where].tolist(), w.end[where].tolist())]
-            plain = np.array([self.plain(x) is not None and "<|" not in x for x in new])
+            whole = "".join(new)   # mostly plain, and then no chunk is asked by itself
+            if self.plain(whole) and "<|" not in whole:
+                plain = np.ones(len(new), bool)
+            else:
+                plain = np.array([self.plain(x) is not None and "<|" not in x for x in new])
             slots = np.empty(len(new), np.int64)
             if plain.any():
                 slots[plain] = self._store(*self._plain([x for x, p in zip(new, plain) if p]))
@@ -180,7 +186,7 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             encoder = _encoder(tokenizer)
-            for s in slices(b.column(1)):
+            for s in slices(b.column(1), 2 * SLICE_BYTES):
                 ids, counts = encoder.encode(s)
                 raw = ids.astype(f"<u{width}").tobytes()
                 at = np.concatenate([[0], np.cumsum(counts)]) * width
