@@ -61,11 +61,16 @@ _SETS = r"""
     reach as (select k as a, k as b from classes union select r.a, l.b from reach r join paired l on r.b = l.a),
     lows as (select r.a as k, min(c.class_id) as group_id from reach r join classes c on c.k = r.b group by 1),
     counts as (select a as k, count(*) as n_links from paired group by 1)
-    select d.doc_id, c.class_id, l.group_id, coalesce(n.n_links, 0) as n_links
+    select d.doc_id, l.group_id as class_id, c.class_id as copy_id, coalesce(n.n_links, 0) as n_links
     from keyed d join classes c using (k) join lows l using (k) left join counts n using (k)""")
 def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    """Class, group and number of links of every document at a shingle similarity of 0.8."""
-    return jaccard.similar(table(spark, folder, "documents"))
+    """Every document with its class of near copies, its exact copies and its number of links, at a similarity of 0.8.
+
+    ``class_id`` is the least id of all documents that links connect, ``copy_id`` that of the documents
+    with the same shingles, ``n_links`` counts the other sets of shingles it is linked to.
+    """
+    found = jaccard.similar(table(spark, folder, "documents"))
+    return found.select("doc_id", F.col("group_id").alias("class_id"), F.col("class_id").alias("copy_id"), "n_links")
 
 
 @register("op10_line_dedup", r"""
