@@ -301,7 +301,7 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The row with the least ``doc_id`` of each group; all columns of ``docs``."""
+    """The row with the least ``doc_id`` of each group; all columns of ``docs``. Rows with one ``doc_id`` are one document."""
     kept = similar(docs, **options).where("doc_id <=> group_id").select(F.col("doc_id").alias("kept_id")).distinct()
     rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
     return rows.dropDuplicates(["doc_id"])
