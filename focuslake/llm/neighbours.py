@@ -3,7 +3,9 @@
 Vectors are rotated so that signs lose least (principal axes, then rotations fitted in turns to the signs of
 a bounded sample), and several such rotations give a code of ROTATIONS bits per dimension. A code is cut
 into substrings of 16 bits, and the index holds a row for each substring, its value and the code. A query's
-radius is read off the distances to the sample, so that about CANDIDATES codes fall within it; by the
+radius is read off the distances to the sample, so that a share of all codes falls within it. The share is
+measured on the table: PROBES queries are compared with every vector, and it is the least that covers
+COVERED of their true neighbours (and never less than CANDIDATES codes). By the
 pigeonhole principle a code within the radius r agrees with the query in some of the m substrings up to
 r // m bits, so probing all such buckets finds every code within the radius. Those are ranked by their
 distance in double precision on the original vectors. A query that got too few neighbours is asked again
@@ -29,7 +31,9 @@ from .components import stored
 
 K = 10
 ROTATIONS = 4
-CANDIDATES = 800
+CANDIDATES = 800       # codes within a radius at least
+PROBES = 400           # queries at most whose true neighbours are worked out to set the radii
+COVERED = 0.97         # of those neighbours
 SAMPLE = 16_000        # vectors at most that fit the rotations and the radii
 SAMPLE_NUMBERS = 4_000_000
 QUERIES = 20_000       # queries at a time in a task
@@ -93,6 +97,45 @@ def radii(queries: np.ndarray, sample: np.ndarray, share: float) -> np.ndarray:
     return np.array([np.partition(hamming(q, sample), n)[n] for q in queries], np.int32)
 
 
+def true_neighbours(found: DataFrame, probes: np.ndarray, codes: Codes, k: int = K) -> DataFrame:
+    """(probe, apart): distance of codes from each probe to its k nearest other vectors, found among all rows in blocks."""
+    shared = found.sparkSession.sparkContext.broadcast((codes.mean, codes.rotations, probes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        *model, probes = shared.value
+        model = Codes(*model)
+        asked, length = model.of(probes), (probes ** 2).sum(1)[:, None]
+        score, apart = np.zeros((len(probes), 0)), np.zeros((len(probes), 0), np.int32)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v = _matrix(b.column(1))
+            square = length + (v ** 2).sum(1) - 2 * probes @ v.T
+            near = np.argpartition(square, min(k, len(v) - 1), 1)[:, :k + 1]
+            score = np.concatenate([score, np.take_along_axis(square, near, 1)], 1)
+            apart = np.concatenate([apart, hamming(asked[:, None], model.of(v)[near])], 1)
+            best = np.argsort(score, 1, kind="stable")[:, :k + 1]
+            score, apart = np.take_along_axis(score, best, 1), np.take_along_axis(apart, best, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(probes)), score.shape[1])), pa.array(score.ravel()),
+                                          pa.array(apart.ravel())], names=["probe", "score", "apart"])
+
+    every = found.select("entry", "v").mapInArrow(run, "probe long, score double, apart int")
+    # The nearest of the k + 1 is the probe itself: entries are distinct vectors.
+    order = Window.partitionBy("probe").orderBy("score", "apart")
+    return every.withColumn("n", F.row_number().over(order)).where(F.col("n").between(2, k + 1)).select("probe", "apart")
+
+
+def covering_share(probes: np.ndarray, probe: np.ndarray, apart: np.ndarray, sample: np.ndarray) -> float:
+    """The share of the sample that radii must hold to cover COVERED of the neighbours at these distances from the probes."""
+    if not len(apart):
+        return 0.0
+    below = np.zeros(len(apart), np.int64)
+    for i in np.unique(probe):
+        mine = probe == i
+        below[mine] = np.searchsorted(np.sort(hamming(probes[i], sample)), apart[mine])
+    return float(np.quantile(below, COVERED, method="higher")) / len(sample)
+
+
 def build_index(found: DataFrame, codes: Codes) -> DataFrame:
     """(part, value, entry, code): every entry once for each substring of its code."""
     shared = found.sparkSession.sparkContext.broadcast((codes.mean, codes.rotations))
@@ -165,6 +208,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec
     size = min(SAMPLE, max(1, SAMPLE_NUMBERS // width))
     sample = _matrix(found.orderBy(F.xxhash64("entry", F.lit(3)), "entry").limit(size).select("v").toArrow().column(0))
     codes = Codes.fit(sample)
+    some = asked.orderBy(F.xxhash64("query_id", F.lit(5)), "query_id").limit(min(PROBES, max(1, SAMPLE_NUMBERS // width))).toArrow()
+    share = CANDIDATES / n
+    if some.num_rows and share < 1:
+        probes = _matrix(some.column(1))
+        near = true_neighbours(found, probes, codes, k).toArrow()
+        share = max(share, covering_share(codes.of(probes), np.asarray(near.column(0)), np.asarray(near.column(1)), codes.of(sample)))
     index = stored(build_index(found, codes), f"{folder}/index")
     blocks = max(1, -(-asked.count() // QUERIES))
     results = []
@@ -172,7 +221,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec
         part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).orderBy("query_id").toArrow()
         ids = np.asarray(part.column(0).combine_chunks() if part.num_rows else pa.array([], pa.int64()))
         query = codes.of(_matrix(part.column(1))) if len(ids) else codes.of(np.zeros((0, width)))
-        radius = radii(query, codes.of(sample), CANDIDATES / n)
+        radius = radii(query, codes.of(sample), share)
         first = stored(_ranked(probe(index, ids, query, radius), found, asked, k), f"{folder}/ranked-{block}")
         # All candidates if they are fewer than k, so every query has as many as any other can have.
         full = min(k, rows.count() - 1)

@@ -77,3 +77,10 @@ def test_probing_finds_every_code_within_the_radius(spark):
     got = sorted((x.query_id, x.entry) for x in neighbours.probe(neighbours.build_index(df, codes), np.arange(20), query, radius).collect())
     assert got == [(i, j) for i in range(20) for j in range(300) if hamming(query[i], code[j]) <= radius[i]]
     assert radii(query, code, 1.0).tolist() == [64] * 20 and (radii(query, code, 0.1) < 40).all()
+
+
+def test_radii_cover_the_true_neighbours(spark, tmp_path, monkeypatch):
+    """A radius of a fixed number of codes loses them; the measured one does not."""
+    monkeypatch.setattr(neighbours, "CANDIDATES", 12)
+    v = np.random.default_rng(7).normal(size=(3000, 16)).astype(np.float32)
+    assert compare(spark, [(i, x.tolist()) for i, x in enumerate(v)], tmp_path)[2] >= 0.95
