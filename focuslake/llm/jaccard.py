@@ -22,11 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, StructType
 
 from ..session import shared_folder
 from .components import components, roots, runs, stored
 from .urls import BROADCAST_BLOCKS, blocks_for, bloom_filter, possible
-from .words import batch, mix, repeat_ranges, run_hashes, slices, span_hashes, texts, words
+from .words import batch, bound_batches, mix, repeat_ranges, run_hashes, slices, span_hashes, texts, words
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -282,6 +283,11 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     ``class_id`` is the least ``doc_id`` with the same set, ``n_links`` the number of other classes whose
     similarity reaches the limit, ``group_id`` the least ``doc_id`` of all that links connect.
     """
+    return _grouped(docs, similarity, recall, folder).select("doc_id", "class_id", "group_id", "n_links")
+
+
+def _grouped(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, folder: str | None = None) -> DataFrame:
+    """The same with the key of the row's set and the root of its group."""
     folder = folder or shared_folder(docs.sparkSession, "jaccard")
     sign = stored(signed(docs), f"{folder}/signed")
     classes = stored(sign.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("n"), F.first("sig").alias("sig"), F.first("short").alias("short")),
@@ -296,12 +302,30 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
              .select("key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "key").alias("root")))
     known = stored(known, f"{folder}/known")
     lowest = known.groupBy("root").agg(F.min("class_id").alias("group_id"))
-    result = known.join(lowest, "root").select("key", "class_id", "group_id", "n_links")
-    return sign.select("doc_id", "key").join(result, "key").select("doc_id", "class_id", "group_id", "n_links")
+    result = known.join(lowest, "root").select("key", "root", "class_id", "group_id", "n_links")
+    return sign.select("doc_id", "key").join(result, "key")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the key of each row's set as the last column, ``__key``."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in slices(b.column(at).cast(pa.string())):
+                yield pa.RecordBatch.from_arrays([*b.slice(s.first, s.rows).columns, _binary(set_keys(*shingle_sets(s))).cast(pa.binary())],
+                                                 names=[*b.schema.names, "__key"])
+
+    return bound_batches(docs).mapInArrow(run, StructType([*docs.schema.fields]).add("__key", BinaryType()))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The row with the least ``doc_id`` of each group; all columns of ``docs``. Rows with one ``doc_id`` are one document."""
-    kept = similar(docs, **options).where("doc_id <=> group_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """The row with the least ``doc_id`` of each group, of those the one with the least key; all columns of ``docs``.
+
+    Only rows of one group remove each other: rows of different texts stay, whether ``doc_id`` is null or repeated.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("f")
+    kept = _grouped(docs, **options).groupBy("root").agg(first).select(F.col("f.doc_id").alias("kept_id"), F.col("f.key").alias("kept_key"))
+    rows = _keyed(docs)
+    same = rows["doc_id"].cast("long").eqNullSafe(F.col("kept_id")) & (rows["__key"] == F.col("kept_key"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__key"]).drop("__key")

@@ -95,3 +95,14 @@ def test_components_of_a_long_chain(spark, tmp_path):
     for x in found:
         sizes[x.root] = sizes.get(x.root, 0) + 1
     assert sorted(sizes.values()) == [1, 100, 101] and len({x.node for x in found}) == len(found)
+
+
+def test_only_rows_of_one_group_remove_each_other(spark, documents, prose, tmp_path):
+    """Different texts without an id, or with the same id, all stay; copies and near copies of them go."""
+    a, b, c, d = (prose(60, 800 + k) for k in range(4))
+    near = lambda text: text + " tail"
+    rows = [(None, a), (None, near(a)), (None, b), (None, b), (5, c), (5, d), (6, near(c)), (7, near(d)), (None, near(d)), (9, near(b))]
+    kept = keep_first(documents(rows, extra=True), folder=str(tmp_path / "k")).collect()
+    got = [(r.doc_id, r.text) for r in kept]
+    assert sorted(x for x in got if x[0] is not None) == sorted([(5, c), (5, d), (9, near(b))])
+    assert len(got) == 4 and [t for i, t in got if i is None][0] in (a, near(a))
