@@ -97,6 +97,22 @@ def radii(queries: np.ndarray, sample: np.ndarray, share: float) -> np.ndarray:
     return np.array([np.partition(hamming(q, sample), n)[n] for q in queries], np.int32)
 
 
+def questions(asked: DataFrame, codes: Codes, sample: np.ndarray, share: float) -> DataFrame:
+    """(query_id, code, radius) for each query, worked out by the tasks."""
+    shared = asked.sparkSession.sparkContext.broadcast((codes.mean, codes.rotations, codes.of(sample)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        *model, near = shared.value
+        model = Codes(*model)
+        for b in batches:
+            if b.num_rows:
+                code = model.of(_matrix(b.column(1)))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in code], pa.binary()),
+                                                  pa.array(radii(code, near, share))], names=["query_id", "code", "radius"])
+
+    return asked.select("query_id", "v").mapInArrow(run, "query_id long, code binary, radius int")
+
+
 def true_neighbours(found: DataFrame, probes: np.ndarray, codes: Codes, k: int = K) -> DataFrame:
     """(probe, apart): distance of codes from each probe to its k nearest other vectors, found among all rows in blocks."""
     shared = found.sparkSession.sparkContext.broadcast((codes.mean, codes.rotations, probes))
@@ -215,13 +231,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec
         near = true_neighbours(found, probes, codes, k).toArrow()
         share = max(share, covering_share(codes.of(probes), np.asarray(near.column(0)), np.asarray(near.column(1)), codes.of(sample)))
     index = stored(build_index(found, codes), f"{folder}/index")
-    blocks = max(1, -(-asked.count() // QUERIES))
+    coded = stored(questions(asked, codes, sample, share), f"{folder}/asked")
+    blocks = max(1, -(-coded.count() // QUERIES))
     results = []
     for block in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).orderBy("query_id").toArrow()
-        ids = np.asarray(part.column(0).combine_chunks() if part.num_rows else pa.array([], pa.int64()))
-        query = codes.of(_matrix(part.column(1))) if len(ids) else codes.of(np.zeros((0, width)))
-        radius = radii(query, codes.of(sample), share)
+        part = coded.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).orderBy("query_id").toArrow()
+        ids, radius = np.asarray(part.column(0)), np.asarray(part.column(2))
+        query = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(len(ids), -(-width * ROTATIONS // _BITS))
         first = stored(_ranked(probe(index, ids, query, radius), found, asked, k), f"{folder}/ranked-{block}")
         # All candidates if they are fewer than k, so every query has as many as any other can have.
         full = min(k, rows.count() - 1)

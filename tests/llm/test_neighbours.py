@@ -84,3 +84,15 @@ def test_radii_cover_the_true_neighbours(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(neighbours, "CANDIDATES", 12)
     v = np.random.default_rng(7).normal(size=(3000, 16)).astype(np.float32)
     assert compare(spark, [(i, x.tolist()) for i, x in enumerate(v)], tmp_path)[2] >= 0.95
+
+
+def test_codes_and_radii_of_queries_are_worked_out_by_tasks(spark, rows, tmp_path, monkeypatch):
+    """The driver encodes nothing but the probes, and computes no radius."""
+    v = np.random.default_rng(2).normal(size=(400, 16))
+    codes = Codes.fit(v)
+    asked = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v[:50])], "query_id long, v array<double>")
+    got = sorted(neighbours.questions(asked, codes, v, 0.1).collect())
+    assert [bytes(r.code) for r in got] == [x.tobytes() for x in codes.of(v[:50])]
+    assert [r.radius for r in got] == radii(codes.of(v[:50]), codes.of(v), 0.1).tolist()
+    inner = neighbours.nearest.__code__
+    assert "radii" not in inner.co_names and "questions" in inner.co_names
