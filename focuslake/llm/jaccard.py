@@ -108,12 +108,25 @@ def _matrix(column, kind) -> np.ndarray:
 
 # --- chosen paths ---------------------------------------------------------------------------------
 
-def repeats(recall: float = RECALL, depth: int = 3) -> int:
-    """Runs after which a pair at the limit is found: a branching process with one child on average."""
-    alive = 1.0
+def _agreements(similarity: float) -> np.ndarray:
+    """Probability of each number of coordinates in which the signatures of a pair of the similarity agree."""
+    n = np.arange(COORDINATES + 1)
+    return np.array([math.comb(COORDINATES, i) for i in n], float) * similarity ** n * (1 - similarity) ** (COORDINATES - n)
+
+
+def repeats(recall: float = RECALL, depth: int = DEPTH, similarity: float = SIMILARITY) -> int:
+    """Runs after which a pair at the limit is found: a branching process with one child on average.
+
+    A pair's signatures are the same in all runs, so the recall is that of each number of agreeing coordinates, averaged.
+    """
+    agree, likely = np.arange(COORDINATES + 1), _agreements(similarity)
+    alive = np.ones(COORDINATES + 1)
     for _ in range(depth):
-        alive = 1 - math.exp(-alive)
-    return math.ceil(math.log(1 - recall) / math.log(1 - alive))
+        alive = 1 - (1 - alive * min(1.0, 1 / (similarity * COORDINATES))) ** agree
+    n = 1
+    while likely @ (1 - alive) ** n > 1 - recall:
+        n += 1
+    return n
 
 
 def chosen(seed: int, similarity: float) -> np.ndarray:
@@ -173,7 +186,7 @@ def candidate_edges(classes: DataFrame, folder: str, similarity: float, recall:
     rows, found, level = classes.select(F.lit(0).cast("long").alias("bucket"), "key", "sig"), None, 0
     # Four standard deviations of a signature's estimate below the limit.
     least = similarity - 4 * math.sqrt(similarity * (1 - similarity) / COORDINATES)
-    runs_ = repeats(recall)
+    runs_ = repeats(recall, DEPTH, similarity)
     while True:
         paths = stored(_paths(rows, similarity, runs_ if level == 0 else 0), f"{folder}/paths-{level}")
         sizes = stored(paths.groupBy("bucket").agg(F.count("*").alias("size"), F.min("key").alias("first")).where("size > 1"),

@@ -106,3 +106,18 @@ def test_only_rows_of_one_group_remove_each_other(spark, documents, prose, tmp_p
     got = [(r.doc_id, r.text) for r in kept]
     assert sorted(x for x in got if x[0] is not None) == sorted([(5, c), (5, d), (9, near(b))])
     assert len(got) == 4 and [t for i, t in got if i is None][0] in (a, near(a))
+
+
+def test_runs_reach_the_recall_through_all_splits():
+    """Pairs at the limit with the spread of real signatures, in buckets that split until DEPTH; 15 runs lose too many."""
+    r = np.random.default_rng(4)
+    agree, runs_ = r.binomial(jaccard.COORDINATES, 0.8, 200_000), repeats()
+
+    def lost(n):
+        some = np.repeat(agree, n)
+        paths = np.ones(len(some), np.int64)
+        for _ in range(jaccard.DEPTH):
+            paths = r.binomial(paths * some, 1 / (0.8 * jaccard.COORDINATES))
+        return 1 - paths.reshape(-1, n).any(1).mean()
+
+    assert lost(15) > 0.003 and lost(runs_) < 0.0013
