@@ -4,10 +4,12 @@ Texts are sequences of words (A-Z lower-cased). The embedding walks along a sequ
 per step and word: at step t it writes the word under the pointer and moves on if the bit is 1. Two
 sequences at a small edit distance fall into step again after each edit, so their embeddings differ in
 few places. A sampled key is the words that the embedding wrote at a few steps; items and windows with an
-equal key are candidates, and walks and samples are repeated up to the wanted recall. Every word of a
-document begins a window as long as the items of a class (sizes within a factor of two), and all
-windows of a slice walk at once: two pointers that meet stay together, so after t steps only about
-1 in sqrt(3 t) are left to move.
+equal key are candidates. Every word of a document begins a window, and all windows of a slice walk at once.
+
+An item that takes at most e edits keeps one of its e + 1 parts as it was, wherever the edits are. So an item
+walks from the beginning of each part to its end, about twice the part's words, and has one sample from each:
+all of them find every place of the edits. The wanted recall says how many of the parts are taken, by size:
+with s of e + 1 drawn at random, e edits in the worst places miss an item with probability 1 - s / (e + 1).
 
 Candidates are verified by the edit distance in words between the item and the best part of the
 document's text around the window: a document holds an item if it takes at most ``share`` of the item's
@@ -32,10 +34,8 @@ from pyspark.sql.types import ArrayType, LongType, StructType
 from .words import bound_batches, mix, repeat_ranges, slices, span_hashes, texts, words
 
 SHARE = 0.15   # edits allowed, as a share of the item's words
-WALKS = 4
-SAMPLES = 4    # keys per walk
-STEPS = 3      # embedding steps per key
-REACH = 1.6    # steps walked per word of the shortest item of a class
+RECALL = 0.999  # of items with the most edits that are allowed, in the worst places
+LAST = 16      # steps at most that a walk takes: more add nothing, keys may be shorter than parts
 BLOCK = 5_000
 _NONE = np.iinfo(np.int64).max
 
@@ -56,80 +56,76 @@ def bits(codes: np.ndarray, walk: int, step: int) -> np.ndarray:
     return ((codes * np.uint64(odd)) >> np.uint64(63)).astype(np.int32)
 
 
+def parts(n: int, edits: int, recall: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of an item's parts, one more than its edits, and which of them are taken for the recall."""
+    count = min(edits + 1, n)
+    taken = min(count, max(1, int(np.ceil(recall * count - 1e-9))))
+    chosen = np.arange(count) if taken == count else np.sort(np.random.default_rng(seed).choice(count, taken, replace=False))
+    return n * np.arange(count + 1) // count, chosen
+
+
 class Items:
-    """Items of one block: their words, and the keys of their embeddings by class, walk and sample."""
+    """Items of one block: their words, and the keys of their embeddings by the last step within a part."""
 
-    def __init__(self, ids: list[int], codes: list[np.ndarray], share: float):
+    def __init__(self, ids: list[int], codes: list[np.ndarray], share: float, recall: float = RECALL):
         self.ids, self.codes = np.array(ids, np.int64), codes
         self.sizes = np.array([len(c) for c in codes], np.int64)
         self.distinct = [np.unique(c) for c in codes]
         self.edits = np.floor(self.sizes * share + 1e-9).astype(np.int64)
         marks = [mix(c ^ mix(np.array([i + 1], np.uint64))) for i, c in enumerate(codes)]
         self.vocabulary = np.unique(np.concatenate(marks)) if marks else np.zeros(0, np.uint64)
-        self.classes = sorted({int(n).bit_length() - 1 for n in self.sizes})
-        self.samples: dict[tuple[int, int], list] = {}
-        for c in self.classes:
-            members = np.flatnonzero((self.sizes >= 1 << c) & (self.sizes < 2 << c))
-            steps = max(1, int(REACH * (1 << c)))
-            for walk in range(WALKS):
-                written = np.zeros((len(members), steps), np.uint64)
-                for r, m in enumerate(members):
-                    line, at = np.append(codes[m], np.uint64(0)), 0
-                    for t in range(steps):
-                        written[r, t] = line[at]
-                        at += int(bits(line[at:at + 1], walk, t)[0])
-                random = np.random.default_rng(1000 * c + walk)
-                for _ in range(SAMPLES):
-                    at = np.sort(random.choice(steps, min(STEPS, steps), replace=False))
-                    sound = (written[:, at] != 0).all(1)
-                    keys = _key(written[sound][:, at].T)
-                    order = np.argsort(keys, kind="stable")
-                    seen = np.zeros((len(at), 1 << 16), bool)
-                    for k, t in enumerate(at):
-                        seen[k, _short(written[sound][:, t])] = True
-                    self.samples.setdefault((c, walk), []).append((at, seen, keys[order], members[sound][order]))
+        self.samples: list[tuple] = []
+        if not len(codes):
+            return
+        member, begin, end, offset, at = [], [], [], [], 0
+        for i, n in enumerate(self.sizes.tolist()):
+            bounds, taken = parts(n, int(self.edits[i]), recall, i)
+            member.append(np.full(len(taken), i))
+            begin.append(at + bounds[taken])
+            end.append(at + bounds[taken + 1])
+            offset.append(bounds[taken])
+            at += n
+        member, place, end, offset = (np.concatenate(x) for x in (member, begin, end, offset))
+        line, written = np.append(np.concatenate(codes), np.uint64(0)), []
+        for t in range(LAST + 1):
+            written.append(np.where(place < end, line[place], np.uint64(0)))
+            place = place + bits(written[-1], 0, t)
+        written = np.stack(written, 1)
+        last = (written != 0).sum(1) - 1
+        for t in np.unique(last):
+            mine = np.flatnonzero(last == t)
+            at = np.unique([0, (int(t) + 1) // 2, int(t)])
+            keys = _key(written[mine][:, at].T)
+            order = np.argsort(keys, kind="stable")
+            seen = np.zeros((len(at), 1 << 16), bool)
+            for k, u in enumerate(at):
+                seen[k, _short(written[mine, u])] = True
+            self.samples.append((at, seen, keys[order], member[mine][order], offset[mine][order]))
 
     def candidates(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first start, last start, item) of windows whose embedding has a key of the item."""
-        low, high, item = [], [], []
-        for walk in range(WALKS):
-            todo = [x for c in self.classes for x in self.samples[c, walk]]
-            wanted = {int(t) for at, *_ in todo for t in at}
-            levels = {}
-            place = np.arange(len(codes), dtype=np.int32)
-            start = place
-            for t in range(max(wanted) + 1):
-                here = codes[place]
-                if t in wanted:
-                    levels[t] = (start, here)
-                place = place + bits(here, walk, t)
-                new = np.empty(len(place), bool)
-                new[0] = True
-                np.not_equal(place[1:], place[:-1], out=new[1:])
-                place, start = place[new], start[new]
-            for at, seen, keys, members in todo:
-                if not len(keys):
-                    continue
-                begin, here = levels[at[0]]
-                some = np.flatnonzero(seen[0][_short(here)])
-                parts = [here[some]]
-                for k, t in enumerate(at[1:], 1):  # windows go on while their words are words of some item there
-                    later, written = levels[t]
-                    more = written[np.searchsorted(later, begin[some], "right") - 1]
-                    ok = seen[k][_short(more)]
-                    some, parts = some[ok], [x[ok] for x in (*parts, more)]
-                found = _key(parts)
-                lo, hi = np.searchsorted(keys, found), np.searchsorted(keys, found, "right")
-                hit = np.flatnonzero(hi > lo)
-                count = (hi - lo)[hit]
-                group = np.repeat(some[hit], count)
-                low.append(begin[group].astype(np.int64))
-                high.append(np.where(group + 1 < len(begin), begin[np.minimum(group + 1, len(begin) - 1)], len(codes)).astype(np.int64) - 1)
-                item.append(members[repeat_ranges(lo[hit], count)])
-        if not low:
+        """(start, item, offset) of windows whose embedding has a key of the item's part at that offset."""
+        begin, item, offset = [], [], []
+        place, levels, short = np.arange(len(codes), dtype=np.int32), [], []
+        for t in range(max((int(at[-1]) for at, *_ in self.samples), default=-1) + 1):
+            levels.append(codes[place])
+            short.append(_short(levels[-1]))
+            place = place + bits(levels[-1], 0, t)
+        for at, seen, keys, members, offsets in self.samples:
+            some = np.flatnonzero(seen[-1][short[at[-1]]])
+            for k, t in enumerate(at[:-1]):    # windows go on while their words are words of some part there
+                some = some[seen[k][short[t][some]]]
+            found = _key([levels[t][some] for t in at])
+            lo, hi = np.searchsorted(keys, found), np.searchsorted(keys, found, "right")
+            hit = np.flatnonzero(hi > lo)
+            count = (hi - lo)[hit]
+            mine = repeat_ranges(lo[hit], count)
+            begin.append(np.repeat(some[hit], count))
+            item.append(members[mine])
+            offset.append(offsets[mine])
+        if not begin:
             none = np.zeros(0, np.int64)
             return none, none, none
-        return np.concatenate(low), np.concatenate(high), np.concatenate(item)
+        return np.concatenate(begin), np.concatenate(item), np.concatenate(offset)
 
     def find(self, s) -> tuple[np.ndarray, ...]:
         """row, item, edits, first word of the items that the rows of a slice hold."""
@@ -137,11 +133,11 @@ class Items:
         none = np.zeros(0, np.int64)
         if not len(self.ids) or not len(codes):
             return none, none, none, none
-        low, high, item = self.candidates(codes)
-        row = np.searchsorted(begin, low, "right") - 1
-        # A window may begin some edits before or behind the item's first word.
-        low = np.maximum(low - self.edits[item], begin[row])
-        high = np.minimum(high + self.sizes[item] + self.edits[item], begin[row + 1] - 1)
+        start, item, offset = self.candidates(codes)
+        row = np.searchsorted(begin, start, "right") - 1
+        # A part may stand some edits before or behind its place in the item.
+        low = np.maximum(start - offset - self.edits[item], begin[row])
+        high = np.minimum(start - offset + self.sizes[item] + self.edits[item], begin[row + 1] - 1)
         unique = np.unique(np.stack([row, item, low, high], 1), axis=0) if len(row) else np.zeros((0, 4), np.int64)
         row, item, low, high = unique.T
         ok = self._enough(codes, item, low, high)
@@ -223,13 +219,14 @@ def _items(rows: list, share: float) -> tuple[list, list]:
     return ids, codes
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block: int = BLOCK) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block: int = BLOCK,
+               recall: float = RECALL) -> DataFrame:
     """(doc_id, item_id, edits, first_word, item_words): a row for each item that a document holds."""
     def per_block(rows: list) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(_items(rows, share))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = Items(*shared.value, share)
+            items = Items(*shared.value, share, recall)
             for b in batches:
                 for s in slices(b.column(1)):
                     row, item, edits, first = items.find(s)
@@ -245,7 +242,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, bloc
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 
 
-def mark_leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks", share: float = SHARE, block: int = BLOCK) -> DataFrame:
+def mark_leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks", share: float = SHARE, block: int = BLOCK,
+               recall: float = RECALL) -> DataFrame:
     """``docs`` with an array of the ids of the items that each row's text holds; no shuffle."""
     schema = StructType([f for f in docs.schema.fields if f.name != column]).add(column, ArrayType(LongType()))
     docs = docs.drop(column).withColumn(column, F.array().cast("array<long>"))
@@ -254,7 +252,7 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks", sha
         shared = docs.sparkSession.sparkContext.broadcast(_items(rows, share))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = Items(*shared.value, share)
+            items = Items(*shared.value, share, recall)
             for b in batches:
                 held = b.column(b.num_columns - 1).to_pylist()
                 for s in slices(b.column(at).cast(pa.string())):

@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from focuslake.llm import decontaminate
-from focuslake.llm.decontaminate import bits, find_leaks, mark_leaks
+from focuslake.llm.decontaminate import Items, _items, bits, find_leaks, mark_leaks, parts
+from focuslake.llm.words import slices
 
 
 def edits_in(text, item):
@@ -83,3 +85,28 @@ def test_empty_tables(spark, documents, bench):
 def test_bits_are_fair_and_stay_at_the_end():
     codes = np.random.default_rng(1).integers(1, 1 << 63, 4000, dtype=np.uint64) | np.uint64(1)
     assert all(0.45 < bits(codes, 1, t).mean() < 0.55 for t in range(20)) and bits(np.zeros(3, np.uint64), 0, 0).sum() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 6, 7, 13, 14, 20, 27, 40, 48, 59, 63, 127, 300])
+def test_edits_in_one_part_lose_no_item(n):
+    """Edits at the front, in the middle, at the end or anywhere; very short items verbatim."""
+    r, size = random.Random(n), 60
+    new = lambda: f"w{r.randrange(5000)}"
+    items = [[new() for _ in range(n)] for _ in range(size)]
+    e = int(n * decontaminate.SHARE + 1e-9)
+    index = Items(*_items([{"item_id": i, "text": " ".join(t)} for i, t in enumerate(items)], decontaminate.SHARE), decontaminate.SHARE)
+    for begin in (0, (n - e) // 2, n - e, None):
+        rows = []
+        for t in items:
+            t = edited(t, e, r) if begin is None else [*t[:begin], *(f"zz{r.randrange(10 ** 6)}" for _ in range(e)), *t[begin + e:]]
+            rows.append(" ".join([new() for _ in range(r.randrange(90))] + t + [new() for _ in range(r.randrange(90))]))
+        held = set()
+        for s in slices(pa.array(rows)):
+            row, item, edits, _ = index.find(s)
+            assert (edits <= e).all()
+            held |= set(zip((row + s.first).tolist(), item.tolist()))
+        assert {(i, i) for i in range(size)} <= held
+
+
+def test_parts_follow_the_recall():
+    assert [len(parts(59, 8, r, 1)[1]) for r in (0.5, 0.9, 0.999, 1)] == [5, 9, 9, 9] and len(parts(2, 0, 0.5, 1)[1]) == 1
