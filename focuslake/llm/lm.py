@@ -8,7 +8,7 @@ how often the longer contexts were met, and an adaptive map per decision refines
 decisions' probabilities add up to that of the text.
 
 Training is one pass: a task predicts each slice from the counts it has so far, moves the weights by the
-error (on every MIX_SHARE-th distinct context of every slice) and the refinement by the outcome, and only then
+error and the refinement by the outcome of all its bits, and only then
 adds the slice's bits to its counts. Counts and refinements are added up over tasks, weights averaged by
 the bits they saw. The tables have a fixed size; what tasks send is in proportion to their number.
 
@@ -36,7 +36,6 @@ from .words import _FOLDED, _RANDOM, _power, bound_batches, mix, slices, span_ha
 
 HOT = 1_000_000        # words at most whose counts are sent to all tasks: 16 MB
 TABLE_BITS = (18, 20, 21, 23)   # of the four contexts' tables
-MIX_SHARE = 8
 MERGE = 4              # input partitions to a training task
 _CONTEXTS = 4
 _BUCKETS = 33          # of the refinement, over logits of -8..8
@@ -133,7 +132,6 @@ class Distinct:
         at = at[chosen]
         self.symbol = x[at].astype(np.int64)
         self.context = [mix(c[at] + salt) for c, salt in zip(contexts, salts)]
-        self.key = order[chosen]
 
     def decisions(self, code: Code, some: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
         """owner, node, bit of all binary decisions of (some of) the pairs."""
@@ -186,32 +184,36 @@ class Learner:
 
     def learn(self, s) -> None:
         d = Distinct(s)
-        some = np.flatnonzero(d.key % np.uint64(MIX_SHARE) == 0)
-        if len(some):
-            self._mix(d, some)
         owner, node, bit = d.decisions(self.code)
-        weight = d.count[owner].astype(np.uint32)
+        weight, slots = d.count[owner].astype(np.uint32), d.slots(owner, node)
+        self._mix(node, bit, weight, slots)
         self.bits += int(weight.sum())
-        for k, slot in enumerate(d.slots(owner, node)):
+        for k, slot in enumerate(slots):
             np.add.at(self.counts[k], 2 * slot + bit, weight)
 
-    def _mix(self, d: Distinct, some: np.ndarray) -> None:
-        owner, node, bit = d.decisions(self.code, some)
-        logits, levels = np.empty((len(owner), _CONTEXTS)), []
-        for k, slot in enumerate(d.slots(owner, node)):
-            no, yes = self.counts[k][2 * slot], self.counts[k][2 * slot + 1]
-            logits[:, k] = np.clip(np.log((yes + _PRIOR) / (no + _PRIOR)), -7.9, 7.9)
-            levels.append(level(no + yes))
-        gate = gates(self.code.depth[node], levels)
-        mixed = np.clip((self.weights[gate] * logits).sum(1), -12, 12)
-        weight, p = d.count[owner].astype(float), 1 / (1 + np.exp(-mixed))
-        self.refined += np.bincount((node * _BUCKETS + _bucket(mixed)) * 2 + bit, weights=weight, minlength=self.refined.size).reshape(self.refined.shape)
+    def _mix(self, node: np.ndarray, bit: np.ndarray, weight: np.ndarray, slots: list[np.ndarray], piece: int = 1 << 17) -> None:
+        """One step by all decisions of a slice, worked out piece by piece."""
+        weights, (slope, bend) = self.weights.astype(np.float32), np.zeros((2, _GATES, _CONTEXTS))
+        for at in range(0, len(node), piece):
+            some = slice(at, at + piece)
+            logits, levels = [], []
+            for k, slot in enumerate(slots):
+                pair = self.counts[k].reshape(-1, 2)[slot[some]]
+                log = np.log(pair.astype(np.float32) + np.float32(_PRIOR))
+                logits.append(np.clip(log[:, 1] - log[:, 0], -7.9, 7.9))
+                levels.append(level(pair[:, 0] + pair[:, 1]))
+            gate = gates(self.code.depth[node[some]], levels)
+            mixed = np.clip(sum(weights[gate, k] * x for k, x in enumerate(logits)), -12, 12)
+            n, p = weight[some].astype(np.float32), 1 / (1 + np.exp(-mixed))
+            cell = (node[some] * _BUCKETS + _bucket(mixed)) * 2 + bit[some]
+            self.refined += np.bincount(cell, weights=n, minlength=self.refined.size).reshape(self.refined.shape)
+            error, bent = (bit[some] - p) * n, p * (1 - p) * n
+            for k, x in enumerate(logits):
+                slope[:, k] += np.bincount(gate, weights=error * x, minlength=_GATES)
+                bend[:, k] += np.bincount(gate, weights=bent * x * x, minlength=_GATES)
         # A step towards the minimum along each weight, by the curvature of what was seen lately.
-        error, bend = (bit - p) * weight, p * (1 - p) * weight
-        self.curve *= 0.98
-        for k in range(_CONTEXTS):
-            self.curve[:, k] += np.bincount(gate, weights=bend * logits[:, k] ** 2, minlength=_GATES)
-            self.weights[:, k] += 0.5 * np.bincount(gate, weights=error * logits[:, k], minlength=_GATES) / self.curve[:, k]
+        self.curve = 0.98 * self.curve + bend
+        self.weights += 0.5 * slope / self.curve
 
 
 def train(training: DataFrame, code: Code, folder: str) -> Model:

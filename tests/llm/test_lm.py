@@ -105,3 +105,14 @@ def test_learns_and_does_not_depend_on_slices(prose):
     assert -a / len(known) < 0.55 * -b / len(new) and -a / math.log10(2) / len(known) < 2.2
     each = [score(model, [t])[0] for t in (known, new, "", "a")]
     assert np.allclose(score(model, [known, new, "", "a"]), each, rtol=1e-6)
+
+
+def test_every_decision_of_the_training_text_moves_weights_and_refinement(prose):
+    text = prose(300, 1)
+    code = Code(np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=257))
+    learner = Learner(code)
+    for _ in range(2):
+        for s in slices(pa.array([text, "other text"])):
+            learner.learn(s)
+    decisions = 2 * sum(int(code.length[list(t.encode()) + [256]].sum()) for t in (text, "other text"))
+    assert learner.bits == decisions and learner.refined.sum() == decisions
