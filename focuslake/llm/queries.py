@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard, lines, lm, mixing, neighbours, secret_scan, tokens, toxicity, urls
+from . import bpe, decontaminate, jaccard, lines, lm, mixing, neighbours, secret_scan, tokens, toxicity, urls, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,25 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def split_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+@register("op12_byte_bpe")
+def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every text under a byte-level vocabulary, and the bytes they decode to, as digests."""
+    ranks = tokenizer_path("byte_bpe_50k.tiktoken")
+    return bpe.digest(bpe.decode(bpe.encode(table(spark, folder, "documents"), ranks, split_pattern()), ranks))
+
+
+@register("op13_whitening")
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every embedding on the 16 first principal components, at unit variance."""
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 @register("op8_token_ids")
 def op8_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every text, written to files by frequency rank and read back."""
