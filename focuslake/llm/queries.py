@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, jaccard, lines, lm, mixing, neighbours, secret_scan, tokens, toxicity, urls, whitening
+from . import bpe, decontaminate, jaccard, lines, lm, mixing, neighbours, phrases, secret_scan, tokens, toxicity, urls, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,30 @@ def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digest(bpe.decode(bpe.encode(table(spark, folder, "documents"), ranks, split_pattern()), ranks))
 
 
+@register("op11_collocations", r"""
+    with pieces as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p from documents),
+    worded as (select lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') as ws from pieces),
+    spans as (select lang, ws, unnest(range(1, len(ws) + 1)) as i from worded),
+    grams as (select lang, unnest([ws[i:i], ws[i:i + 1], ws[i:i + 2]]) as g, unnest([1, 2, 3]) as k, i, len(ws) as size from spans),
+    f as (select lang, g, count(*) as f from grams where i + k - 1 <= size group by all),
+    totals as (select lang, sum(f) as n from f where len(g) = 1 group by 1),
+    found as (select lang, g, f as a from f where len(g) > 1 and f >= 10),
+    cuts as (select lang, g, a, unnest(range(1, len(g))) as k from found),
+    parts as (select c.*, x.f as l, y.f as r, (1000000::hugeint * a * a) // (x.f::hugeint * y.f) as score from cuts c
+        join f x on x.lang = c.lang and x.g = c.g[1:k] join f y on y.lang = c.lang and y.g = c.g[k + 1:]),
+    worst as (select lang, g, any_value(a) as a, arg_min(l, score * 10 + k) as l, arg_min(r, score * 10 + k) as r, min(score) as score
+        from parts group by 1, 2),
+    longer as (select lang, s as g, max(a) as b from (select lang, a, unnest([g[1:2], g[2:3]]) as s from found where len(g) = 3) group by 1, 2),
+    ranked as (select w.*, array_to_string(w.g, ' ') as phrase, row_number() over (partition by w.lang
+            order by score desc, a desc, array_to_string(w.g, ' ')) as rank
+        from worst w left join longer o on o.lang = w.lang and o.g = w.g where b is null or 100 * b < 50 * a)
+    select lang, rank, phrase, a, l, r, n::bigint as n, score::bigint as score from ranked join totals using (lang) where rank <= 2000""")
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2,000 strongest phrases of two and three words in every language."""
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
 @register("op13_whitening")
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     """Every embedding on the 16 first principal components, at unit variance."""
