@@ -269,9 +269,13 @@ def collocations(docs: DataFrame, order: int = 3, least: int = 10, share: int =
 
     named = vocab.where(F.col("n") >= least).select("lang", "word", "key").mapInArrow(number, "id long, lang string, word string")
     spoken_in = scored(grams, share).join(named.select(F.col("id").alias("lead"), "lang"), F.col("ids")[0] == F.col("lead")).drop("lead")
-    order_by = [F.desc("score"), F.desc("a")]
-    # All that tie with the last one stay until their words are known.
-    best = spoken_in.withColumn("rank", F.rank().over(Window.partitionBy("lang").orderBy(*order_by))).where(F.col("rank") <= top).drop("rank")
+    # All that tie with the last one stay until their words are known, so values are ranked here and not phrases.
+    value, order_by = ["lang", "score", "a"], [F.desc("score"), F.desc("a")]
+    by_value = Window.partitionBy("lang").orderBy(*order_by)
+    values = spoken_in.groupBy(*value).agg(F.count("*").alias("phrases"))
+    values = values.withColumn("rank", F.row_number().over(by_value)).where(F.col("rank") <= top)
+    before = F.sum("phrases").over(by_value.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("phrases")
+    best = spoken_in.join(values.withColumn("before", before).where(F.col("before") < top).select(*value), value, "left_semi")
     each = best.select("*", F.posexplode("ids").alias("at", "id")).join(named.select("id", "word"), "id")
     spelled = each.groupBy("ids", "lang", "a", "l", "r", "score").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("spelled"))
     spelled = spelled.withColumn("phrase", F.array_join(F.transform("spelled", lambda x: x["word"]), " "))
