@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as C
+from ..functions.files import file_name
 from ..functions.geometry import RECT
 from ..functions.scoring import blur_type, focus_score, focus_status, region_thresholds
 from ..operators.detections import best_detection, confidence_gate, top_detections
 from ..operators.pixels import directional_laplacian, downscale_factor, with_variances
 from ..operators.regions import assemble_regions, crop_failure, pick_path
 from ..operators.udf import full_window, grid_moments_udf, laplacian_udf, shrink_udf
+from ..session import shared_folder
+from ..sources.images import read_images
+from ..sources.previews import place_digits
+
+# Picks, of some hundred bytes each, that may be sent to all tasks at once.
+SHARD_PICKS = 100_000
 
 
 def plan_regions(
@@ -81,6 +88,14 @@ def shrunk(images: DataFrame, max_side: int = C.ANALYSIS_SIDE, buffer: str = "im
     return images.withColumn(buffer, small)
 
 
+def score_joined(joined: DataFrame, buffer: str, result: str) -> DataFrame:
+    """Results of picks that stand beside their image, which is null where there is none."""
+    w, h = F.col(f"{buffer}.width"), F.col(f"{buffer}.height")
+    cut = crop_failure(joined.withColumn("width", w).withColumn("height", h))
+    m = laplacian_udf(F.col(buffer), F.lit(1), F.col("window"))
+    return focus_results(with_variances(cut.withColumn("_m", m).select("*", "_m.*")), result)
+
+
 def analyze_images(
     images: DataFrame, picked: DataFrame, key: str = "path", max_side: int = C.ANALYSIS_SIDE, buffer: str = "image",
     result: str | None = None,
@@ -90,27 +105,66 @@ def analyze_images(
     ``picked`` comes from ``pick_path`` over the listing and never sees a pixel. Images are made gray
     and small where they are read, so a join moves at most one byte per analysis pixel; where
     ``picked`` is small enough for Spark to broadcast it, nothing moves at all. There is one row for each
-    row of ``picked``, named by its column ``result``, which is ``key`` by default.
+    row of ``picked``, named by its column ``result``, which is ``key`` by default. For cards of any size whose
+    images are previews, ``analyze_card`` moves none.
     """
-    w, h = F.col(f"{buffer}.width"), F.col(f"{buffer}.height")
     joined = picked.join(shrunk(images, max_side, buffer).select(key, buffer), key, "left")
-    cut = crop_failure(joined.withColumn("width", w).withColumn("height", h))
-    m = laplacian_udf(F.col(buffer), F.lit(1), F.col("window"))
-    return focus_results(with_variances(cut.withColumn("_m", m).select("*", "_m.*")), result or key)
+    return score_joined(joined, buffer, result or key)
+
+
+def score_shard(picks: DataFrame, images: DataFrame, max_side: int = C.ANALYSIS_SIDE, path: str = "path") -> DataFrame:
+    """Results of a bounded number of picks ``(path, _name, ..)``, where the images are read: no pixel moves."""
+    small = shrunk(images, max_side).select(file_name(F.col("path")).alias("_name"), "image")
+    return score_joined(small.join(F.broadcast(picks), "_name"), "image", path)
+
+
+def shards(counts: dict[str, int], most: int, prefix: str = "") -> list[tuple[str, int, int]]:
+    """(digits, part, parts): folders of previews to score together, none with more than ``most`` picks.
+
+    A folder with more is taken apart into those below it, and one at the bottom is scored in parts.
+    """
+    held = {k: n for k, n in counts.items() if k.startswith(prefix)}
+    total = sum(held.values())
+    if total <= most or prefix in held:
+        parts = -(-total // most)
+        return [(prefix, i, parts) for i in range(parts)]
+    return [s for d in sorted({k[len(prefix)] for k in held}) for s in shards(held, most, prefix + d)]
 
 
 def analyze_card(
-    picked: DataFrame, previews: DataFrame, images: DataFrame, max_side: int = C.ANALYSIS_SIDE, path: str = "path"
+    picked: DataFrame, previews: DataFrame, root: str, max_side: int = C.ANALYSIS_SIDE, path: str = "path", most: int = SHARD_PICKS,
+    folder: str | None = None,
 ) -> DataFrame:
     """One result for each file of ``picked``, named by its path.
 
-    ``previews`` says which image to score for a file: ``(path, preview)``, as ``embedded_jpegs`` gives it, or
-    the file itself. ``images`` is ``(path, image)`` by the images' own paths, spelled as in ``preview``. Files
-    of one stem stay apart, and only names meet before the pixels do. A file without an image gets the
-    values of one that was never analysed.
+    ``previews`` is what ``write_previews`` gave for ``root``, ``(path, preview)``. The folders of previews are scored one after
+    another, or several together: their picks, at most ``most`` small rows, go to the tasks that read the images. A shuffle
+    only ever sees picks and results. Files of one stem stay apart. A file without a preview, or whose preview cannot be found, gets the values of
+    one that was never analysed. Results are stored in ``folder``.
     """
+    spark = picked.sparkSession
+    folder = folder or shared_folder(spark, "card")
     named = picked.join(previews.select(path, F.col("preview").alias("_preview")), path, "left")
-    return analyze_images(images.withColumnRenamed("path", "_preview"), named, "_preview", max_side, result=path)
+    named = named.withColumns({"_name": file_name(F.col("_preview")), "_digits": place_digits(F.col("_preview"))})
+    named.write.parquet(f"{folder}/picks")
+    named = spark.read.schema(named.schema).parquet(f"{folder}/picks")
+    counts = {r["_digits"]: r["count"] for r in named.where("_digits is not null").groupBy("_digits").count().collect()}
+    done = []
+    for n, (digits, part, parts) in enumerate(shards(counts, most)):
+        mine = (F.col("_digits").startswith(digits)) & (F.pmod(F.xxhash64(path), F.lit(parts)) == part)
+        images = read_images(spark, "/".join([root.rstrip("/"), *digits]))
+        score_shard(named.where(mine), images, max_side, path).write.parquet(f"{folder}/results-{n}")
+        done.append(f"{folder}/results-{n}")
+    if not done:
+        return never_scored(named, path)
+    results = spark.read.parquet(*done)
+    return results.unionByName(never_scored(named.join(results.select(path), path, "left_anti"), path))
+
+
+def never_scored(named: DataFrame, path: str) -> DataFrame:
+    """The results of picks without an image."""
+    image = F.lit(None).cast("struct<width: int, height: int, channels: int, data: binary>")
+    return score_joined(named.withColumn("image", image), "image", path)
 
 
 def focus_from_grids(grids: DataFrame, image: str = "vec_id") -> DataFrame:

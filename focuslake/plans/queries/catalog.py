@@ -11,9 +11,11 @@ from ...functions.scoring import is_rejected as rejected_column
 from ...operators import attempts as T, catalog as K
 from ...operators.metadata import flatten_metadata as flatten, search_metadata as search
 from ...session import shared_folder
+from ...sources.catalog_walk import read_catalog
 from ...sources.files import write_files
 from ...sources.headers import read_bytes as read_heads
 from ...sources.listing import scan_catalog as scan, scan_many_roots as scan_roots
+from ...streaming.changes import changed_files as changes
 from ..views import VIEWS, results_view, table, view
 from .registry import r6, register, tidy
 
@@ -47,6 +49,13 @@ def scan_catalog(spark, folder):
     return _listed(scan(spark, card(spark, folder, "card")))
 
 
+@register("catalog_walk", f"select * from ({FILES_SQL}) where size > 1500 and ext <> '3FR'", "fx_catalog")
+def catalog_walk(spark, folder):
+    """The listing as a data source, which applies the filters on extension and size while it lists."""
+    files = read_catalog(spark, card(spark, folder, "card")).where("size > 1500 and name like '%.%'")
+    return files.where("ext <> '3FR'").select("name", "ext", "size")
+
+
 @register("scan_many_roots", f"select * from ({FILES_SQL}) union all select * from ({FILES_SQL})", "fx_catalog")
 def scan_many_roots(spark, folder):
     root = card(spark, folder, "card")
@@ -62,6 +71,38 @@ def read_bytes(spark, folder):
         file_name(F.col("path")).alias("name"), F.length("content").cast("bigint").alias("size"), F.md5("content").alias("digest"))
 
 
+@register("catalog_content", f"""select {NAME_SQL} as name, md5(array_slice(encode(html), 1, 700)) as digest from (
+    select c.path, p.html from fx_catalog c join pages p on cast(p.page_id as string) = regexp_extract(c.path, '([0-9]+)[.][^.]+$', 1))
+    where {RAW_SQL}""", "fx_catalog")
+def catalog_content(spark, folder):
+    """The first bytes of every raw file, read while listing."""
+    files = read_catalog(spark, card(spark, folder, "card"), 700)
+    return files.where("error is null").select("name", F.md5("content").alias("digest"))
+
+
+@register("changed_files", """with l as (select concat('/card/', cast(page_id as string)) as path, cast(length(html) as bigint) as size, page_id from pages)
+    select path, size, count(*) as times from (
+      select path, size from l
+      union all select path, size + 1 from l where page_id % 3 = 0
+      union all select path, size from l where page_id % 6 = 0
+      union all select path || 'x', size from l where page_id % 5 = 0) group by 1, 2""")
+def changed_files(spark, folder):
+    """Three listings of a card in three micro-batches: whole, with changes and repeats, and with some files as they were and some new ones."""
+    root = shared_folder(spark, "listings")
+    pages = table(spark, folder, "pages").selectExpr(
+        "page_id", "concat('/card/', page_id) as path", "cast(length(html) as bigint) as size", "timestamp'2024-01-01 00:00:00' as mtime")
+    grown = pages.withColumn("size", F.expr("if(page_id % 3 = 0, size + 1, size)"))
+    back = pages.withColumn("size", F.expr("if(page_id % 3 = 0 and page_id % 6 <> 0, size + 1, size)"))
+    more = pages.where("page_id % 5 = 0").withColumn("path", F.concat("path", F.lit("x")))
+    schema = pages.schema
+    for listing in (pages, grown.union(grown), back.union(more)):
+        listing.coalesce(1).write.mode("append").parquet(f"{root}/listings")
+        files = spark.readStream.schema(schema).parquet(f"{root}/listings")
+        query = changes(files).writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").outputMode("append")
+        query.trigger(availableNow=True).start(f"{root}/changes").awaitTermination()
+    return spark.read.parquet(f"{root}/changes").groupBy("path", "size").agg(F.count("*").alias("times"))
+
+
 @register("raw_files", f"select path, size from fx_catalog where {RAW_SQL}", "fx_catalog")
 def raw_files(spark, folder):
     return K.raw_files(view(spark, folder, "fx_catalog")).select("path", "size")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ...operators import pixels as P
@@ -9,9 +11,12 @@ from ...operators.afpoints import header_af_rects as rects_of_headers
 from ...operators.udf import detect_with as run_detector, full_window, laplacian_udf
 from ...session import shared_folder
 from ...sources import headers as H
+from ...sources.catalog_walk import read_catalog, stream_catalog as stream_files
 from ...sources.files import write_files
 from ...sources.images import read_images as load_images
-from ...streaming.analysis import analyze_stream as run_stream, stored_results
+from ...sources.previews import write_previews
+from ...streaming.analysis import analyze_stream as run_stream, score_arrivals, stored_results
+from ...streaming.current import current_results
 from ..focus import analyze_card as score_card, analyze_images as score_images, focus_from_grids
 from ..views import af_tags, grids, table
 from .focus_points import AF_RECTS_SQL
@@ -118,7 +123,7 @@ def _png(width: int, height: int, levels: bytes) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
 
 
-def png_files(images: DataFrame, root: str) -> DataFrame:
+def png_files(images: DataFrame, root: str, prefix: str = "") -> DataFrame:
     """``(path, content)``: every image as a PNG file below a folder."""
 
     def encode(batches):
@@ -126,7 +131,7 @@ def png_files(images: DataFrame, root: str) -> DataFrame:
 
         for batch in batches:
             rows = [
-                (f"{root}/{r['vec_id']}.png", _png(r["image"]["width"], r["image"]["height"], r["image"]["data"]))
+                (f"{root}/{prefix}{r['vec_id']}.png", _png(r["image"]["width"], r["image"]["height"], r["image"]["data"]))
                 for r in batch.to_pylist()]
             if rows:
                 yield pa.RecordBatch.from_arrays(
@@ -135,10 +140,11 @@ def png_files(images: DataFrame, root: str) -> DataFrame:
     return images.mapInArrow(encode, "path string, content binary")
 
 
-def image_folder(spark, folder) -> str:
-    """Writes every image as a PNG file named by its number; returns the folder."""
-    root = shared_folder(spark, "images")
-    if not write_files(png_files(buffers(spark, folder), root)).filter("error is not null").isEmpty():
+def image_folder(spark, folder, root: str | None = None, prefix: str = "", wanted: Column | None = None) -> str:
+    """Writes every wanted image as a PNG file named by its number; returns the folder."""
+    root = root or shared_folder(spark, "images")
+    images = buffers(spark, folder) if wanted is None else buffers(spark, folder).where(wanted)
+    if not write_files(png_files(images, root, prefix)).filter("error is not null").isEmpty():
         raise OSError("could not write the images")
     return root
 
@@ -164,17 +170,39 @@ def analyze_images(spark, folder):
     return tidy(score_images(numbered, picked(spark, folder).drop("width", "height"), "image_id"))
 
 
+def card_picks(spark, folder, root: str) -> DataFrame:
+    """The regions picked for the images of a card whose names begin with an underscore."""
+    path = F.concat(F.lit(f"{root}/_MG_"), F.col("image_id").cast("string"), F.lit(".png"))
+    return picked(spark, folder).drop("width", "height").withColumn("path", path)
+
+
+def _by_number(results: DataFrame) -> DataFrame:
+    rest = [c for c in results.columns if c != "path"]
+    return tidy(results.select(F.expr(IMAGE_NUMBER).cast("bigint").alias("image_id"), *rest))
+
+
 @register("analyze_card", RESULT_SQL, "fx_detections", "fx_rects", "fx_grid")
 def analyze_card(spark, folder):
-    """The same for a card whose files are named by their paths; names begin with an underscore, previews lie elsewhere."""
-    root = image_folder(spark, folder)
-    loaded = load_images(spark, root)
-    number = F.col("image_id").cast("string")
-    by_path = picked(spark, folder).drop("width", "height").withColumn("path", F.concat(F.lit("/card/_MG_"), number, F.lit(".CR3")))
-    previews = loaded.select(F.concat(F.lit("/card/_MG_"), F.expr(IMAGE_NUMBER), F.lit(".CR3")).alias("path"), F.col("path").alias("preview"))
-    scored = score_card(by_path, previews, loaded)
-    file_number = F.regexp_extract("path", r"_([0-9]+)[.]CR3$", 1).cast("bigint")
-    return tidy(scored.select(file_number.alias("image_id"), *scored.columns[1:]))
+    """The same for a card on disk whose names begin with an underscore: listed, previews written apart, scored folder by folder."""
+    root = shared_folder(spark, "card")
+    image_folder(spark, folder, f"{root}/DCIM", "_MG_")
+    write_previews(read_catalog(spark, f"{root}/DCIM", raw=False), f"{root}/previews").write.parquet(f"{root}/previews-table")
+    previews = spark.read.parquet(f"{root}/previews-table")
+    return _by_number(score_card(card_picks(spark, folder, f"{root}/DCIM"), previews, f"{root}/previews", most=400))
+
+
+@register("stream_catalog", RESULT_SQL, "fx_detections", "fx_rects", "fx_grid")
+def stream_catalog(spark, folder):
+    """The same for a card that fills up while a stream watches it, over a stop in between; the stream lists names with underscores too."""
+    root, third = shared_folder(spark, "filling"), F.col("vec_id") % 3
+    plan = card_picks(spark, folder, f"{root}/DCIM")
+    for wanted in (third == 0, third != 0):
+        image_folder(spark, folder, f"{root}/DCIM", "_MG_", wanted)
+        time.sleep(1)
+        files = stream_files(spark, f"{root}/DCIM", settle="0.5")
+        analyze = score_arrivals(lambda batch: plan.join(batch.select("path"), "path", "left_semi"), f"{root}/previews")
+        run_stream(files, analyze, f"{root}/results", f"{root}/checkpoint", current=f"{root}/current").awaitTermination()
+    return _by_number(current_results(spark, f"{root}/current").drop("stored_at", "batch_id", "run"))
 
 
 @register("analyze_stream", FLAGSHIP_SQL, "fx_grid")

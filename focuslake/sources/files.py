@@ -1,7 +1,8 @@
-"""Small files: one per row, written by the tasks that hold the rows."""
+"""Single files: read from the beginning, and written one per row by the tasks that hold the rows."""
 
 from __future__ import annotations
 
+import errno
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +12,25 @@ from ..session import spread
 from .listing import open_filesystem
 
 
+# Reading such a file again would end the same way.
+HOPELESS = {errno.ENOENT, errno.EACCES, errno.EPERM, errno.ENOTDIR, errno.EISDIR, errno.ELOOP, errno.ENAMETOOLONG}
+
+
+def read_head(location: str, limit: int | None) -> tuple[bytes | None, str | None]:
+    """The first ``limit`` bytes of a file, or all of it, or the reason why there are none.
+
+    Only a file that is missing or forbidden has no content. Any other error is raised, so that the task runs again.
+    """
+    filesystem, path, _ = open_filesystem(location)
+    try:
+        with filesystem.open_input_stream(path) as stream:
+            return stream.read(limit), None
+    except OSError as e:
+        if isinstance(e, (FileNotFoundError, PermissionError)) or e.errno in HOPELESS:
+            return None, str(e)
+        raise
+
+
 def store_file(location: str, data: bytes) -> str | None:
     """Writes to a temporary name and renames, so repeating it is harmless. Returns an error text."""
     filesystem, path, _ = open_filesystem(location)

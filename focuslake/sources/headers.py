@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,15 +9,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import constants as C
 from ..functions.binding import bind
 from ..session import spread
-from .files import store_file
-from .listing import open_filesystem
+from .files import read_head
 
 BATCH_BYTES = 64 * 1024 * 1024
 
 
 def read_bytes(files: DataFrame, limit: int | None = C.HEADER_BYTES, tasks: int | None = None) -> DataFrame:
-    """``(path, content)``: the first ``limit`` bytes of every file, or all of it; null if it cannot be read.
+    """``(path, content, error)``: the first ``limit`` bytes of every file, or all of it.
 
+    Content is null, and ``error`` says why, for files that are missing or forbidden; other errors fail the task, which is run again.
     Only the prefix is fetched, which for raw files is a small part of the whole. Paths are dealt out
     evenly first, so a folder with very many files keeps no task busy alone. Batches are cut by size
     so that a task holds a bounded amount of content.
@@ -27,12 +26,12 @@ def read_bytes(files: DataFrame, limit: int | None = C.HEADER_BYTES, tasks: int
     def fetch(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
+        schema = pa.schema([("path", pa.string()), ("content", pa.binary()), ("error", pa.string())])
         for batch in batches:
             rows, held = [], 0
             for path in batch.column("path").to_pylist():
-                data = _head(path, limit)
-                rows.append((path, data))
+                data, error = read_head(path, limit)
+                rows.append((path, data, error))
                 held += len(data or b"")
                 if held >= BATCH_BYTES:
                     yield pa.record_batch(list(zip(*rows)), schema=schema)
@@ -40,16 +39,7 @@ def read_bytes(files: DataFrame, limit: int | None = C.HEADER_BYTES, tasks: int
             if rows:
                 yield pa.record_batch(list(zip(*rows)), schema=schema)
 
-    return spread(files.select("path"), "path", tasks).mapInArrow(fetch, "path string, content binary")
-
-
-def _head(path: str, limit: int | None) -> bytes | None:
-    filesystem, local, _ = open_filesystem(path)
-    try:
-        with filesystem.open_input_stream(local) as stream:
-            return stream.read(limit)
-    except OSError:
-        return None
+    return spread(files.select("path"), "path", tasks).mapInArrow(fetch, "path string, content binary, error string")
 
 
 def latin1(content: Column) -> Column:
@@ -86,39 +76,6 @@ def jpeg_in(data: bytes) -> bytes | None:
     return data[first:last + 2] if len(data) > 3 and 0 <= first <= last else None
 
 
-def preview_name(path: str) -> str:
-    """A name no other file has, and that Spark's image source sees."""
-    stem = path.rpartition("/")[2].rpartition(".")[0]
-    return f"{hashlib.sha256(path.encode()).hexdigest()[:20]}-{stem}.jpg"
-
-
-def embedded_jpegs(files: DataFrame, root: str, tasks: int | None = None) -> DataFrame:
-    """Writes the JPEG inside every raw file below ``root``: ``(path, preview, error)`` for all files.
-
-    A file is read, cut and its preview written by one task, so no content leaves it. Previews are named by
-    a digest of the whole path: they never meet a photo, and files of one stem do not meet each other.
-    ``preview`` is null where there is nothing to write or writing failed. Nothing happens until the result is read.
-    """
-    root = root.rstrip("/")
-
-    def write(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        schema = pa.schema([("path", pa.string()), ("preview", pa.string()), ("error", pa.string())])
-        for batch in batches:
-            rows = []
-            for path in batch.column("path").to_pylist():
-                data = _head(path, None)
-                jpeg = jpeg_in(data) if data is not None else None
-                target = f"{root}/{preview_name(path)}" if jpeg else None
-                error = store_file(target, jpeg) if target else "unreadable" if data is None else None
-                rows.append((path, None if error else target, error))
-            if rows:
-                yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
-
-    return spread(files.select("path"), "path", tasks).mapInArrow(write, "path string, preview string, error string")
-
-
 def _unsigned(data: Column, at: Column | int, size: int, little: Column | bool) -> Column:
     """Unsigned integer at a 0-based byte place, 0 where the bytes are missing."""
     at = F.lit(at) if isinstance(at, int) else at

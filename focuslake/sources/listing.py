@@ -58,6 +58,7 @@ class Entry(NamedTuple):
     is_folder: bool
     size: int | None
     mtime: datetime | None
+    arrived: int | None = None   # microseconds: when the file came or was last written
 
 
 def visible_entries(location: str, wanted: Callable[[str], bool] = lambda name: True) -> Iterator[Entry]:
@@ -80,7 +81,7 @@ def visible_entries(location: str, wanted: Callable[[str], bool] = lambda name:
     for e in found:
         folder = e.type == fs.FileType.Directory
         if not e.base_name.startswith(".") and (folder or wanted(e.base_name)):
-            yield Entry(prefix + e.path, e.base_name, folder, e.size, e.mtime)
+            yield Entry(prefix + e.path, e.base_name, folder, e.size, e.mtime, e.mtime_ns // 1000 if e.mtime_ns is not None else None)
 
 
 def _local_entries(path: str, prefix: str, wanted: Callable[[str], bool]) -> Iterator[Entry]:
@@ -93,16 +94,17 @@ def _local_entries(path: str, prefix: str, wanted: Callable[[str], bool]) -> Ite
             if e.is_dir(follow_symlinks=False):
                 yield Entry(prefix + e.path, e.name, True, None, None)
             elif wanted(e.name):
-                yield Entry(prefix + e.path, e.name, False, *_size_and_mtime(e))
+                yield Entry(prefix + e.path, e.name, False, *_state(e))
 
 
-def _size_and_mtime(e: os.DirEntry) -> tuple[int | None, datetime | None]:
-    """Both null for a file that cannot be looked at, e.g. a link to nowhere: it is listed all the same."""
+def _state(e: os.DirEntry) -> tuple[int | None, datetime | None, int | None]:
+    """All null for a file that cannot be looked at, e.g. a link to nowhere: it is listed all the same."""
     try:
         stat = e.stat()
     except OSError:
-        return None, None
-    return stat.st_size, datetime.fromtimestamp(stat.st_mtime, UTC)
+        return None, None, None
+    # A copy may keep the time of its original; its change time is that of the copy.
+    return stat.st_size, datetime.fromtimestamp(stat.st_mtime, UTC), max(stat.st_mtime_ns, stat.st_ctime_ns) // 1000
 
 
 def walk(spark: SparkSession, root: str, extensions: Iterable[str] = (), tasks: int | None = None, folder: str | None = None) -> DataFrame:

@@ -7,8 +7,9 @@ from focuslake.functions import constants as C
 from focuslake.functions.files import file_ext, file_stem, is_raw_name
 from focuslake.functions.labels import sidecar_path
 from focuslake.operators import attempts as T, catalog as K
-from focuslake.sources.headers import carve_embedded_jpeg, embedded_jpegs, jpeg_in, read_bytes
+from focuslake.sources.headers import carve_embedded_jpeg, jpeg_in, read_bytes
 from focuslake.sources.listing import open_filesystem, scan_binary_listing, scan_catalog, scan_many_roots, visible_entries, walk
+from focuslake.sources.previews import preview_place, write_previews
 
 
 @pytest.fixture(scope="module")
@@ -124,7 +125,7 @@ def test_previews_never_meet_a_photo(spark, tmp_path):
         (card / name).write_bytes(b"head" * 9 + jpeg + name.encode())
     (card / "_MG_1.jpg").write_bytes(b"the camera's own")
     (card / "b.cr3").write_bytes(b"nothing here")
-    outcome = embedded_jpegs(scan_catalog(spark, str(card)), str(root)).collect()
+    outcome = write_previews(scan_catalog(spark, str(card)), str(root)).collect()
     assert {r.path.rsplit("/", 1)[1]: (r.preview is not None, r.error) for r in outcome} == {
         "_MG_1.CR3": (True, None), "_MG_1.DNG": (True, None), "b.cr3": (False, None)}
     previews = [r.preview for r in outcome if r.preview]
