@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ...functions.cascade import detector_region as detector_choice, fallback_region as fallback_choice
 from ...functions.files import review_note as review_columns
-from ...functions.geometry import eye_box, flip_rect, head_box, head_from_body, rect
+from ...functions.geometry import eye_box, head_box, rect
 from ...operators import regions as R
 from ...operators.afpoints import preferred_union
 from ...operators.detections import best_detection, confidence_gate, largest_box, top_detections
@@ -110,22 +110,33 @@ def chosen_detections(spark, folder) -> DataFrame:
     return best_detection(top_detections(confidence_gate(subjects(spark, folder))))
 
 
+KINDS = "label in ('bird', 'cat', 'kite')"
+POSED = "image_id % 2 = 0"                      # images with poses, of which those below have no joint that counts
+FAINT = "if(image_id % 6 = 0, 1e-1, confidence)"
+NAMED = "ord % 7 <> 0"                          # boxes that a classifier names, every second of them twice
+SECOND = "cast(6123e-4 as float)"
+
+
 def animals(spark, folder) -> DataFrame:
-    found = largest_box(_boxes(spark, folder).filter(F.col("label").isin("bird", "cat", "kite"))
-                        .select("image_id", "ord", "label", "box"))
-    body = flip_rect(F.col("box"))
-    eye = F.when(F.col("ord") % 3 == 0, rect(body["x"], body["y"], body["w"] * 0.3, body["h"] * 0.1))
-    head = F.when(F.col("ord") % 5 != 0, head_from_body(body))
-    return found.select(
-        (F.col("image_id") + 100).alias("image_id"), eye.alias("eye"), head.alias("head"), body.alias("body"), "label")
+    """Animals of images 100 and up: poses with a body, poses without, boxes alone; boxes with two labels, one or none."""
+    poses = joints(spark, folder).where(POSED).withColumn("confidence", F.expr(FAINT))
+    boxes = _boxes(spark, folder).where(KINDS)
+    named = boxes.where(NAMED).select("image_id", "ord", "label", "confidence")
+    second = named.where("ord % 2 = 0").withColumns({"label": F.lit("fox"), "confidence": F.expr(SECOND)})
+    found = [t.withColumn("image_id", F.col("image_id") + 100) for t in (poses, boxes.select("image_id", "ord", "box"), named.union(second))]
+    return R.animal_result(*found)
 
 
 def humans(spark, folder) -> DataFrame:
-    found = largest_box(_boxes(spark, folder).filter(F.col("label") == "person").select("image_id", "ord", "box"))
-    face = flip_rect(F.col("box"))
-    eye = F.when(F.col("ord") % 3 == 0, rect(face["x"], face["y"], face["w"] * 0.4, face["h"] * 0.1))
-    return found.select(
-        (F.col("image_id") + 200).alias("image_id"), eye.alias("eye"), F.when(F.col("ord") % 4 != 0, face).alias("face"))
+    """People of images 200 and up: faces with landmarks, and faces without."""
+    people = _boxes(spark, folder).where("label = 'person'").withColumn("image_id", F.col("image_id") + 200)
+    marks = people.where("ord % 3 <> 0").select("image_id", "ord", F.inline(F.expr(LANDMARKS)))
+    return R.human_result(people.select("image_id", "ord", "box"), marks)
+
+
+# Two eyes within the face, counted from its lower left corner.
+MARKS = [("(ord % 10) / 1e1", "(ord % 8) / 8e0"), ("(ord % 9) / 9e0", "5e-1")]
+LANDMARKS = f"array({', '.join(f'struct({x} as x, {y} as y)' for x, y in MARKS)})"
 
 
 def focus_rects(spark, folder) -> DataFrame:
@@ -140,15 +151,41 @@ def images(spark, folder) -> DataFrame:
 
 
 FLIPPED = rect_sql("x", "1e0 - (y + h)", "w", "h")
-ANIMALS_SQL = f"""select image_id + 100 as image_id, label, body, ord,
-    case when ord % 3 = 0 then {rect_sql('body.x', 'body.y', 'body.w * 3e-1', 'body.h * 1e-1')} end as eye,
-    case when ord % 5 <> 0 then {rect_sql('body.x', 'body.y', 'body.w', 'body.h * 3e-1')} end as head
-    from (select *, {FLIPPED} as body from (select *, row_number() over (partition by image_id order by w * h desc, ord) as r
-      from fx_detections where label in ('bird', 'cat', 'kite')) where r = 1)"""
-HUMANS_SQL = f"""select image_id + 200 as image_id, ord, case when ord % 4 <> 0 then f end as face,
-    case when ord % 3 = 0 then {rect_sql('f.x', 'f.y', 'f.w * 4e-1', 'f.h * 1e-1')} end as eye
-    from (select *, {FLIPPED} as f from (select *, row_number() over (partition by image_id order by w * h desc, ord) as r
-      from fx_detections where label = 'person') where r = 1)"""
+ANIMALS_SQL = f"""with j as (select image_id + 100 as image_id, pose, joint, x, y, case when image_id % 6 = 0 then 1e-1 else confidence end as confidence
+      from ({JOINTS_SQL}) where {POSED}), p as ({POSES_SQL}),
+    rich as (select *, row_number() over (partition by image_id order by joints desc, pose) as r from p),
+    posed as (select image_id, {POSE_RECTS} from rich where r = 1),
+    boxed as (select image_id + 100 as image_id, ord, {FLIPPED} as box, row_number() over (partition by image_id order by w * h desc, ord) as r
+      from fx_detections where {KINDS}),
+    named as (select image_id + 100 as image_id, ord, label, confidence from fx_detections where {KINDS} and {NAMED}
+      union all select image_id + 100, ord, 'fox', {SECOND} from fx_detections where {KINDS} and {NAMED} and ord % 2 = 0),
+    firsts as (select *, row_number() over (partition by image_id order by confidence desc, ord) as of_image,
+      row_number() over (partition by image_id, ord order by confidence desc) as of_box from named),
+    both_parts as (select image_id, p.eye, p.head, p.body as posed_body, b.ord, b.box from (select * from posed where body is not null) p
+      full join (select * from boxed where r = 1) b using (image_id))
+    select image_id, eye, case when posed_body is not null then head else {rect_sql('box.x', 'box.y', 'box.w', 'box.h * 3e-1')} end as head,
+      coalesce(posed_body, box) as body, case when posed_body is not null then i.label else o.label end as label
+    from both_parts left join (select image_id, label from firsts where of_image = 1) i using (image_id)
+      left join (select image_id, ord, label from firsts where of_box = 1) o using (image_id, ord)"""
+HUMANS_SQL = f"""with faces as (select image_id + 200 as image_id, ord, x, y, w, h, {FLIPPED} as face,
+      row_number() over (partition by image_id order by w * h desc, ord) as r from fx_detections where label = 'person'),
+    marks as (select *, 1e0 - (y + (p).y * h) as py, x + (p).x * w as px from (select *, unnest([{', '.join(
+        "{'x': " + x + ", 'y': " + y + "}" for x, y in MARKS)}]) as p from faces where r = 1 and ord % 3 <> 0)),
+    ends as (select image_id, min(px) as eye_x0, max(px) as eye_x1, min(py) as eye_y0, max(py) as eye_y1 from marks group by image_id),
+    eyes as (select image_id, {_padded('eye', '4e-2')} from ends)
+    select image_id, eye, face from faces left join eyes using (image_id) where r = 1"""
+
+
+@register("animal_result", f"""with a as ({ANIMALS_SQL}) select image_id, {POSE_FLAT}, label from a""", "fx_detections", "fx_rects")
+def animal_result(spark, folder):
+    return tidy(animals(spark, folder))
+
+
+@register("human_result", f"""with h as ({HUMANS_SQL}) select image_id, {flat_sql('eye', 'eye')}, {flat_sql('face', 'face')} from h""", "fx_detections")
+def human_result(spark, folder):
+    return tidy(humans(spark, folder))
+
+
 AF_SQL = f"""with {PREFERRED_SQL}
     select image_id, case when image_id % 3 <> 0 then {rect_sql('x0', 'y0', 'x1 - x0', 'y1 - y0')} end as af from u"""
 PICK_SQL = f"""select image_id, ord, label, confidence, {rect_sql('x', 'y', 'w', 'h')} as box,
