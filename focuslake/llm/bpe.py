@@ -249,13 +249,18 @@ class Bytes:
 _tables: dict[str, Bytes] = {}
 
 
+def byte_table(path: str) -> Bytes:
+    """One table for all tasks of a Python worker."""
+    if path not in _tables:
+        _tables[path] = Bytes(read_ranks(path))
+    return _tables[path]
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with ``decoded``: the bytes of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _tables:
-            _tables[path] = Bytes(read_ranks(path))
-        table = _tables[path]
+        table = byte_table(path)
 
         def rows(b):
             for i, n, raw in zip(*(c.to_pylist() for c in b.columns)):
