@@ -63,6 +63,7 @@ DETECTION_GATE = 0.35
 KEYPOINT_GATE = 0.3
 JOINT_GATE = 0.2
 MAX_DETECTIONS = 10
+DETECTOR_SIDE = 640
 MAX_AF_POINTS = 1024
 HEADER_BYTES = 2 * 1024 * 1024
 ANALYSIS_SIDE = 1536

@@ -37,9 +37,19 @@ def contains_text(text: Column, query: str) -> Column:
     return F.contains(F.lower(text), F.lit(query.lower()))
 
 
-def search_name(files: DataFrame, query: str) -> DataFrame:
-    """Case-insensitive search in names; an empty query keeps all."""
-    return files.filter(contains_text(F.col("name"), query)) if query else files
+def contains_in(text: Column, query: str, collation: str) -> Column:
+    """Substring search by a collation, e.g. ``UNICODE_CI`` (letters of any case) or ``UNICODE_CI_AI`` (any accent as well)."""
+    return F.contains(F.collate(text, collation), F.collate(F.lit(query), collation))
+
+
+def search_name(files: DataFrame, query: str, collation: str | None = None) -> DataFrame:
+    """Case-insensitive search in names; an empty query keeps all.
+
+    With a collation letters are compared as in its locale, e.g. ``tr_CI``: two spellings of one accented letter are the same then.
+    """
+    if not query:
+        return files
+    return files.filter(contains_in(F.col("name"), query, collation) if collation else contains_text(F.col("name"), query))
 
 
 def filter_mode(files: DataFrame, mode: str = "All") -> DataFrame:
@@ -70,9 +80,11 @@ def sort_catalog(files: DataFrame, order: str = "Name", key: str = "path") -> Da
     return files.orderBy(first, F.col(key).asc())
 
 
-def browse(files: DataFrame, query: str = "", mode: str = "All", order: str = "Name", key: str = "path") -> DataFrame:
+def browse(
+    files: DataFrame, query: str = "", mode: str = "All", order: str = "Name", key: str = "path", collation: str | None = None
+) -> DataFrame:
     """Search, then filter, then sort."""
-    return sort_catalog(filter_mode(search_name(files, query), mode), order, key)
+    return sort_catalog(filter_mode(search_name(files, query, collation), mode), order, key)
 
 
 def status_summary(files: DataFrame) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, FloatType, IntegerType, LongType, StructField, StructType
 
-from .pixels import MOMENTS
+from ..functions import constants as C
+from .pixels import MOMENTS, downscale_factor
 
 DETECTION = (
     "ord int, label string, confidence float, box struct<x:double,y:double,w:double,h:double>, "
@@ -142,6 +145,13 @@ def full_window(width: Column, height: Column) -> Column:
 
 
 Detector = Callable[..., list[tuple]]
+_models: dict[str, object] = {}      # of this Python worker, which many tasks share
+
+
+def model_of(name: str, load: Callable):
+    if name not in _models:
+        _models[name] = load()
+    return _models[name]
 
 
 def detect_with(
@@ -149,14 +159,15 @@ def detect_with(
 ) -> DataFrame:
     """Runs a detector over images and returns ``(path, ord, label, confidence, box, eye_kps, nose)``.
 
-    ``load`` runs once per task and returns a function from a gray array to detections
+    ``load`` runs once per Python worker and returns a function from a gray array to detections
     ``(label, confidence, (x, y, w, h), eye points, nose point or None)``, or None if there is no
-    model; the result is empty then. Detections are numbered in the order they are given.
+    model; the result is empty then. Detections are numbered in the order they are given. Images keep their size and are
+    given one by one; ``detect_in_batches`` is for models of a fixed size.
     """
-    key_type = dict(images.dtypes)[key]
+    key_type, name = dict(images.dtypes)[key], uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        detector = load()
+        detector = model_of(name, load)
         for batch in batches:
             rows = []
             if detector is not None:
@@ -173,6 +184,64 @@ def detect_with(
     return flat.mapInPandas(run, f"{key} {key_type}, {DETECTION}")
 
 
+@F.pandas_udf(ArrayType(FloatType()))
+def letterbox_udf(image: pd.DataFrame, block: pd.Series, side: pd.Series) -> pd.Series:
+    """Gray, downscaled, in the upper left corner of a black square of ``side`` pixels, row by row, 0..1."""
+    import numpy as np
+
+    out = []
+    for w, h, c, data, k, n in zip(image["width"], image["height"], image["channels"], image["data"], block, side):
+        if data is None or pd.isna(w):
+            out.append(None)
+            continue
+        g = block_mean(gray_image(int(w), int(h), int(c), data), int(k))
+        square = np.zeros((n, n), np.float32)
+        square[:g.shape[0], :g.shape[1]] = g / np.float32(255)
+        out.append(square.ravel())
+    return pd.Series(out)
+
+
+def detect_in_batches(
+    images: DataFrame, load: Callable[[], Callable], labels: list[str], side: int = C.DETECTOR_SIDE, batch: int = 32, key: str = "path",
+    image: str = "image",
+) -> DataFrame:
+    """The same rows from a model that takes many images of one size at once.
+
+    ``load`` runs once per Python worker and returns a function from a numpy array ``[n, side, side]`` of gray levels (0..1) to
+    n lists of ``[class, confidence, x, y, w, h]``, in pixels of the square from the upper left. Images are made small by whole
+    blocks and fill the square from its corner; boxes are given back as parts of the image. An image that cannot be decoded has no detections.
+    """
+
+    def make() -> Callable:
+        import numpy as np
+
+        predict = load()
+        # Six numbers for each detection, on end.
+        return lambda squares: [{"found": np.array([v for row in found for v in row], np.float32)} for found in predict(squares)]
+
+    model = predict_batch_udf(
+        make, return_type=StructType([StructField("found", ArrayType(FloatType()))]), batch_size=batch, input_tensor_shapes=[[side, side]])
+    width, height = F.col(f"{image}.width"), F.col(f"{image}.height")
+    block = downscale_factor(width, height, side)
+    squares = images.where(width.isNotNull()).select(
+        key, block.alias("_block"), (width / block).alias("_w"), (height / block).alias("_h"),
+        letterbox_udf(F.col(image), block, F.lit(side)).alias("_square"))
+    found = squares.where(F.col("_square").isNotNull()).select(key, "_w", "_h", model("_square").alias("_model"))
+    ends = F.filter(F.sequence(F.lit(0), F.size("_model.found"), F.lit(6)), lambda i: i < F.size("_model.found"))
+    rows = found.select(key, "_w", "_h", F.posexplode(F.transform(ends, lambda i: F.slice("_model.found", i + 1, F.lit(6)))).alias("ord", "_row"))
+
+    def part(i: int, size: str) -> Column:
+        return (F.col("_row")[i] / F.col(size)).cast("double")
+
+    box = F.struct(part(2, "_w").alias("x"), part(3, "_h").alias("y"), part(4, "_w").alias("w"), part(5, "_h").alias("h"))
+    label = F.get(F.array(*map(F.lit, labels)), F.col("_row")[0].cast("int"))
+    fields = StructType.fromDDL(DETECTION)
+    return rows.select(
+        key, "ord", F.coalesce(label, F.lit("unknown")).alias("label"), F.col("_row")[1].alias("confidence"),
+        box.cast(fields["box"].dataType).alias("box"), F.array().cast(fields["eye_kps"].dataType).alias("eye_kps"),
+        F.lit(None).cast(fields["nose"].dataType).alias("nose"))
+
+
 def _as_rect(box) -> dict:
     return dict(zip("xywh", map(float, box)))
 

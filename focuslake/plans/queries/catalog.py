@@ -152,6 +152,23 @@ def sidecar_path(spark, folder):
     return view(spark, folder, "fx_catalog").select("path", sidecar_column(F.col("path")).alias("sidecar"))
 
 
+# Names in several spellings: letters of both cases, composed and decomposed accents, and words without them.
+ACCENTED = """concat(case doc_id % 6 when 0 then 'ÉTÉ_' when 1 then 'été-' when 2 then concat('E', chr(769), 'te', chr(769), ' ')
+    when 3 then 'ete ' when 4 then 'Straße ' else 'ЛЕТО ' end, source, '/', lang, cast(doc_id as string))"""
+
+
+@register("search_by_locale", f"""with n as (select doc_id, {ACCENTED} as name from documents)
+    select 'case' as kind, doc_id from n where contains(lower(nfc_normalize(name)), 'été')
+    union all select 'accents', doc_id from n where contains(strip_accents(lower(nfc_normalize(name))), 'ete')
+    union all select 'cyrillic', doc_id from n where contains(lower(name), 'лето')""")
+def search_by_locale(spark, folder):
+    """Names by a collation, with accents and without."""
+    names = table(spark, folder, "documents").selectExpr("doc_id", f"{ACCENTED.replace('chr(769)', "decode(X'CC81', 'UTF-8')")} as name")
+    searches = {"case": ("éTé", "UNICODE_CI"), "accents": ("Ete", "UNICODE_CI_AI"), "cyrillic": ("Лето", "UNICODE_CI")}
+    found = [K.search_name(names, query, collation).select(F.lit(kind).alias("kind"), "doc_id") for kind, (query, collation) in searches.items()]
+    return found[0].union(found[1]).union(found[2])
+
+
 @register("search_name", f"select path from fx_catalog where contains(lower({NAME_SQL}), 'img_1')", "fx_catalog")
 def search_name(spark, folder):
     return K.search_name(K.catalog_columns(view(spark, folder, "fx_catalog")), "Img_1").select("path")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ...operators import pixels as P
 from ...operators.afpoints import header_af_rects as rects_of_headers
-from ...operators.udf import detect_with as run_detector, full_window, laplacian_udf
+from ...operators.udf import detect_in_batches as run_in_batches, detect_with as run_detector, full_window, laplacian_udf
 from ...session import shared_folder
 from ...sources import headers as H
 from ...sources.catalog_walk import read_catalog, stream_catalog as stream_files
@@ -240,10 +240,34 @@ def bright_area():
     return detect
 
 
-@register("detect_with", f"""with b as (select vec_id, count(*) as n, min(x) as x0, max(x) + 1 as x1, min(y) as y0, max(y) + 1 as y1
+BRIGHT_SQL = f"""with b as (select vec_id, count(*) as n, min(x) as x0, max(x) + 1 as x1, min(y) as y0, max(y) + 1 as y1
       from fx_grid where g > 76 group by vec_id)
     select vec_id, 0 as ord, 'bright' as label, {r6('cast(n / 64e0 as float)', 'confidence')}, x0 / 8e0 as box_x, y0 / 8e0 as box_y,
-      (x1 - x0) / 8e0 as box_w, (y1 - y0) / 8e0 as box_h from b""", "fx_grid")
+      (x1 - x0) / 8e0 as box_w, (y1 - y0) / 8e0 as box_h from b"""
+
+
+@register("detect_with", BRIGHT_SQL, "fx_grid")
 def detect_with(spark, folder):
     found = run_detector(buffers(spark, folder), bright_area, "vec_id")
     return tidy(found.select("vec_id", "ord", "label", "confidence", "box"))
+
+
+def bright_areas():
+    """The same for a batch of squares, of which an image fills the upper left 8 x 8 pixels."""
+
+    def predict(squares):
+        import numpy as np
+
+        found = []
+        for g in squares:
+            ys, xs = np.nonzero(np.round(g * 255) > 76)
+            found.append([[0, len(ys) / 64, xs.min(), ys.min(), xs.max() + 1 - xs.min(), ys.max() + 1 - ys.min()]] if len(ys) else [])
+        return found
+
+    return predict
+
+
+@register("detect_in_batches", BRIGHT_SQL, "fx_grid")
+def detect_in_batches(spark, folder):
+    found = run_in_batches(buffers(spark, folder), bright_areas, ["bright"], side=16, key="vec_id")
+    return tidy(found.select("vec_id", "ord", "label", "confidence", "box"))

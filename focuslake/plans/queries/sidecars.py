@@ -143,3 +143,14 @@ def write_sidecars(spark, folder):
     found = walk(spark, f"{root}/files", ["xmp"])
     flagged = S.sidecar_exists(spark.read.parquet(outcome), found)
     return flagged.select(file_name(F.col("path")).alias("name"), "status", "error", "xmp_written")
+
+
+@register("save_sidecars", f"""with {BEST_FILES_SQL}, c as (select count_if(label <> '') as written, count_if(label is null) as skipped,
+      count_if(label = '') as errors from f), s as (select count_if(label <> '') as found from f)
+    select c.*, concat(written, ' XMP file(s) written', case when skipped > 0 then concat(', ', skipped, ' skipped') else '' end,
+      case when errors > 0 then concat(', ', errors, ' error(s)') else '' end) as message, found from c, s""", "fx_detections")
+def save_sidecars(spark, folder):
+    """The same through the sink, whose tasks report what they did; the files are counted in a new listing."""
+    root = shared_folder(spark, "sidecars")
+    done = S.save_sidecars(S.sidecar_table(best_files(spark, folder, f"{root}/files")), f"{root}/summary")
+    return done.withColumn("found", F.lit(walk(spark, f"{root}/files", ["xmp"]).count()))

