@@ -63,7 +63,7 @@ _encodings: dict[tuple[str, str], object] = {}
 
 
 def encoding(path: str, pattern: str):
-    """One encoding for all tasks of a Python worker."""
+    """One encoding for all batches of a task."""
     key = (path, pattern)
     if key not in _encodings:
         import tiktoken
@@ -250,7 +250,7 @@ _tables: dict[str, Bytes] = {}
 
 
 def byte_table(path: str) -> Bytes:
-    """One table for all tasks of a Python worker."""
+    """One table for all batches of a task."""
     if path not in _tables:
         _tables[path] = Bytes(read_ranks(path))
     return _tables[path]
