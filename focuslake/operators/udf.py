@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
+from pyspark.ml.model_cache import ModelCache
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, FloatType, IntegerType, LongType, StructField, StructType
 
@@ -145,13 +146,13 @@ def full_window(width: Column, height: Column) -> Column:
 
 
 Detector = Callable[..., list[tuple]]
-_models: dict[str, object] = {}      # of this Python worker, which many tasks share
 
 
-def model_of(name: str, load: Callable):
-    if name not in _models:
-        _models[name] = load()
-    return _models[name]
+def model_of(name: uuid.UUID, load: Callable) -> object:
+    """Spark's cache of models, one for each Python worker: functions of this package are sent anew with every task."""
+    if ModelCache.get(name) is None:
+        ModelCache.add(name, (load(),))
+    return ModelCache.get(name)[0]
 
 
 def detect_with(
@@ -164,7 +165,7 @@ def detect_with(
     model; the result is empty then. Detections are numbered in the order they are given. Images keep their size and are
     given one by one; ``detect_in_batches`` is for models of a fixed size.
     """
-    key_type, name = dict(images.dtypes)[key], uuid.uuid4().hex
+    key_type, name = dict(images.dtypes)[key], uuid.uuid4()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         detector = model_of(name, load)
