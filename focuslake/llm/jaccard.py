@@ -36,6 +36,7 @@ COORDINATES = 64
 BUCKET = 128     # members up to which a bucket is compared
 DEPTH = 4        # splits after which a bucket is kept whole
 BLOCK = 256      # members of a block in the exact comparison
+FILTER_BLOCKS = 1 << 19   # 34 MB of bits, for 22 million shared buckets; beyond that more paths pass it
 _BITS = 44       # of a shingle's hash; the rest of 64 bits counts the rows of a slice
 
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.large_binary()), ("sig", pa.large_binary()),
@@ -189,18 +190,22 @@ def candidate_edges(classes: DataFrame, folder: str, similarity: float, recall:
     runs_ = repeats(recall, DEPTH, similarity)
     while True:
         paths = stored(_paths(rows, similarity, runs_ if level == 0 else 0), f"{folder}/paths-{level}")
-        sizes = stored(paths.groupBy("bucket").agg(F.count("*").alias("size"), F.min("key").alias("first")).where("size > 1"),
-                       f"{folder}/sizes-{level}")
-        shared = paths.join(sizes, "bucket")
+        sizes = stored(paths.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), f"{folder}/sizes-{level}")
+        # Most paths are alone in their bucket: a filter of bounded size keeps them out of the shuffle, the join decides.
+        blocks = min(blocks_for(sizes.count()), FILTER_BLOCKS)
+        wanted = F.broadcast(bloom_filter(sizes.select(F.col("bucket").alias("canonical")), blocks))
+        likely = possible(paths, F.col("bucket"), wanted, blocks).where("__possible").drop("__possible")
+        shared = stored(likely.join(sizes, "bucket"), f"{folder}/shared-{level}")
         small = shared.where(F.col("size") <= BUCKET).select("bucket", "key").join(classes.select("key", "short"), "key")
         edges = _alike(small, least)
         level += 1
         large = shared.where(F.col("size") > BUCKET)
         if level == DEPTH:
-            edges = edges.union(large.select(F.col("key").alias("a"), F.col("first").alias("b")))
+            whole = large.join(large.groupBy("bucket").agg(F.min("key").alias("first")), "bucket")
+            edges = edges.union(whole.select(F.col("key").alias("a"), F.col("first").alias("b")))
         edges = stored(edges.distinct(), f"{folder}/found-{level}")
         found = edges if found is None else found.union(edges)
-        if level == DEPTH or sizes.where(F.col("size") > BUCKET).isEmpty():
+        if level == DEPTH or large.isEmpty():
             return found
         rows = large.select("bucket", "key").join(classes.select("key", "sig"), "key")
 
@@ -280,7 +285,9 @@ def exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, similari
     ids = wanted.select(F.col("class_id").alias("canonical")).distinct()
     blocks = min(blocks_for(ids.count()), BROADCAST_BLOCKS)
     texts = possible(texts, F.col("own"), bloom_filter(ids, blocks), blocks).where("__possible").drop("__possible")
-    sets = _sets_of(wanted.join(texts, F.col("class_id").eqNullSafe(F.col("own"))))
+    # One text of each set, whatever its id: ids may be null or repeated.
+    one = _keyed(texts).dropDuplicates(["__key"]).select(F.col("__key").alias("key"), "text")
+    sets = _sets_of(wanted.join(one, "key"))
     block = F.pmod(F.xxhash64("key"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     spread = sets.withColumn("block", block).withColumn("other", other)

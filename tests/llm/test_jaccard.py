@@ -121,3 +121,24 @@ def test_runs_reach_the_recall_through_all_splits():
         return 1 - paths.reshape(-1, n).any(1).mean()
 
     assert lost(15) > 0.003 and lost(runs_) < 0.0013
+
+
+def test_null_and_repeated_ids_stay_linear(spark, documents, prose, tmp_path, monkeypatch):
+    """Rows without an id, and different texts under one id: every set is read once, however many there are."""
+    seen = {}
+    sets_of = jaccard._sets_of
+
+    def counting(rows):
+        stored_rows = rows.cache()
+        seen["n"] = stored_rows.count()
+        return sets_of(stored_rows)
+
+    monkeypatch.setattr(jaccard, "_sets_of", counting)
+    for n in (60, 120):
+        rows = []
+        for i in range(n):
+            text = prose(80, 1000 + i)
+            rows += [(None, text), (None, text + " one more"), (7, "x " + text)]
+        found = jaccard.similar(documents(rows), folder=str(tmp_path / str(n))).collect()
+        assert len(found) == 3 * n and {r.n_links for r in found} == {2}
+        assert seen["n"] == 3 * n
