@@ -101,6 +101,46 @@ def laplacian_udf(image: pd.DataFrame, block: pd.Series, window: pd.DataFrame) -
     return pd.DataFrame(rows, columns=list(MOMENTS)).astype("Int64")
 
 
+def running_sums(g):
+    """``[5, h + 1, w + 1]``: sums of 1, both second differences and their squares over everything above and to the left."""
+    import numpy as np
+
+    h, w = g.shape
+    out = np.zeros((len(MOMENTS), h + 1, w + 1), np.int64)
+    if h < 3 or w < 3:
+        return out
+    g = g.astype(np.int64)
+    centre = 2 * g[1:-1, 1:-1]
+    along, across = centre - g[1:-1, :-2] - g[1:-1, 2:], centre - g[:-2, 1:-1] - g[2:, 1:-1]
+    for k, d in enumerate((np.ones_like(along), along, along * along, across, across * across)):
+        out[k, 2:h, 2:w] = d.cumsum(0).cumsum(1)
+    return out
+
+
+@F.pandas_udf(ArrayType(MOMENTS_TYPE))
+def regions_udf(image: pd.DataFrame, block: pd.Series, windows: pd.Series) -> pd.Series:
+    """Moments of every window of an image, ``array<struct<x0, y0, x1, y1>>`` in downscaled pixels: the image is gone through once,
+    and each window takes four looks into its running sums. Equal to ``laplacian_udf`` for each; ``n`` is 0 where that is null.
+    """
+    import numpy as np
+
+    out = []
+    for w, h, c, data, k, regions in zip(image["width"], image["height"], image["channels"], image["data"], block, windows):
+        if data is None or pd.isna(w) or regions is None:
+            out.append(None)
+            continue
+        g = block_mean(gray_image(int(w), int(h), int(c), data), int(k))
+        sums = running_sums(g)
+        at = np.array([[r["x0"], r["y0"], r["x1"], r["y1"]] for r in regions], np.int64).reshape(-1, 4)
+        # Pixels whose neighbours all lie in the window too.
+        x0, y0 = at[:, 0] + 1, at[:, 1] + 1
+        x1, y1 = np.maximum(np.minimum(at[:, 2], g.shape[1]) - 1, x0), np.maximum(np.minimum(at[:, 3], g.shape[0]) - 1, y0)
+        x0, y0, x1, y1 = np.minimum(x0, g.shape[1]), np.minimum(y0, g.shape[0]), np.minimum(x1, g.shape[1]), np.minimum(y1, g.shape[0])
+        found = sums[:, y1, x1] - sums[:, y0, x1] - sums[:, y1, x0] + sums[:, y0, x0]
+        out.append([dict(zip(MOMENTS, column)) for column in found.T.tolist()])
+    return pd.Series(out)
+
+
 @F.pandas_udf(MOMENTS_TYPE)
 def grid_moments_udf(grid: pd.Series, width: pd.Series, window: pd.DataFrame) -> pd.DataFrame:
     """Moments of row-major integer arrays inside ``struct<x0, y0, x1, y1>`` windows.

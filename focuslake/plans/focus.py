@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as C
 from ..functions.files import file_name
-from ..functions.geometry import RECT
-from ..functions.scoring import blur_type, focus_score, focus_status, region_thresholds
+from ..functions.geometry import RECT, crop_window
+from ..functions.scoring import blur_type, focus_score, focus_status, region_thresholds, subject_size_confidence
 from ..operators.detections import best_detection, confidence_gate, top_detections
 from ..operators.pixels import directional_laplacian, downscale_factor, with_variances
 from ..operators.regions import assemble_regions, crop_failure, pick_path
-from ..operators.udf import full_window, grid_moments_udf, laplacian_udf, shrink_udf
+from ..operators.udf import full_window, grid_moments_udf, laplacian_udf, regions_udf, shrink_udf
 from ..session import shared_folder
 from ..sources.images import read_images
 from ..sources.previews import place_digits
@@ -80,6 +80,30 @@ def analyze_grids(planned: DataFrame, image: str = "image_id", grid: str = "grid
     return focus_results(stats, image)
 
 
+def score_regions(
+    images: DataFrame, candidates: DataFrame, image: str = "image_id", max_side: int = C.ANALYSIS_SIDE, buffer: str = "image"
+) -> DataFrame:
+    """``(image_id, region, rect, window, n, moments.., size_conf, score, status, blur_type)`` of every candidate region.
+
+    ``candidates`` is ``(image_id, regions)`` with ``regions`` an array of ``struct<region, rect>``, all regions that may be
+    chosen for an image. An image is made gray and small once, and its pixels are gone through once, however many
+    regions it has. A rectangle that misses the image has the whole image for its window. Regions without inner pixels have no score.
+    """
+    w, h = F.col(f"{buffer}.width"), F.col(f"{buffer}.height")
+    block = F.coalesce(downscale_factor(w, h, max_side), F.lit(1))
+    small_w, small_h = F.ceil(w / block).cast("int"), F.ceil(h / block).cast("int")
+
+    def placed(r: Column) -> Column:
+        window = F.coalesce(crop_window(r["rect"], small_w, small_h), full_window(small_w, small_h))
+        return F.struct(r["region"].alias("region"), r["rect"].alias("rect"), window.alias("window"))
+
+    joined = images.join(candidates, image).withColumn("_regions", F.transform("regions", placed))
+    m = regions_udf(F.col(buffer), block, F.col("_regions.window"))
+    each = joined.select(image, F.inline(F.arrays_zip(F.col("_regions").alias("r"), m.alias("m"))))
+    stats = with_variances(each.select(image, "r.*", "m.*"))
+    return score_columns(stats.withColumn("size_conf", subject_size_confidence(F.col("rect"))))
+
+
 def shrunk(images: DataFrame, max_side: int = C.ANALYSIS_SIDE, buffer: str = "image") -> DataFrame:
     """Replaces each image by its gray version with a longer side of at most ``max_side``."""
     image = F.col(buffer)

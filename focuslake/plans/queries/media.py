@@ -6,8 +6,10 @@ import time
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ...functions.geometry import head_from_body, rect
 from ...operators import pixels as P
 from ...operators.afpoints import header_af_rects as rects_of_headers
+from ...operators.detections import confidence_gate, top_detections
 from ...operators.udf import detect_in_batches as run_in_batches, detect_with as run_detector, full_window, laplacian_udf
 from ...session import shared_folder
 from ...sources import headers as H
@@ -17,12 +19,15 @@ from ...sources.images import read_images as load_images
 from ...sources.previews import write_previews
 from ...streaming.analysis import analyze_stream as run_stream, score_arrivals, stored_results
 from ...streaming.current import current_results
-from ..focus import analyze_card as score_card, analyze_images as score_images, focus_from_grids
-from ..views import af_tags, grids, table
+from ..focus import analyze_card as score_card, analyze_images as score_images, focus_from_grids, score_regions as score_all
+from ..views import af_tags, grids, table, view
 from .focus_points import AF_RECTS_SQL
-from .pixels import FLAGSHIP_SQL, LAPLACIAN_SQL, with_grid_regions
+from .geometry import window_sql
+from .pixels import FLAGSHIP_SQL, LAPLACIAN_SQL, laplacian_sql, with_grid_regions
 from .regions import RESULT_SQL, picked
-from .registry import r6, register, tidy
+from .registry import (
+    acceptable_sql, blur_sql, divisor_sql, flat_sql, r6, rect_sql, register, sharp_sql, size_conf_sql, status_sql, tidy,
+)
 
 CARVED = """select page_id, case when a > 0 and z > 0 and n - z - 2 >= a then substring(html, a, n - z - a + 2) end as c from (
     select page_id, html, length(html) as n, position('<body' in html) as a, position(reverse('</p>') in reverse(html)) as z from pages)"""
@@ -170,6 +175,49 @@ def analyze_images(spark, folder):
     return tidy(score_images(numbered, picked(spark, folder).drop("width", "height"), "image_id"))
 
 
+def large_images(spark, folder) -> DataFrame:
+    """Images of 16 x 16 pixels, each of four small ones side by side; one that is missing is black."""
+    small = grids(spark, folder).selectExpr("vec_id div 4 as image_id", "int(vec_id % 4) as part", "grid")
+    parts = [F.coalesce(F.max(F.when(F.col("part") == i, F.col("grid"))), F.array_repeat(F.lit(0), 64)) for i in range(4)]
+    four = small.groupBy("image_id").agg(*[p.alias(f"g{i}") for i, p in enumerate(parts)])
+
+    def line(left: str, right: str, y: int) -> list[Column]:
+        return [F.slice(left, 8 * y + 1, 8), F.slice(right, 8 * y + 1, 8)]
+
+    rows = [c for left, right in (("g0", "g1"), ("g2", "g3")) for y in range(8) for c in line(left, right, y)]
+    data = F.unhex(F.array_join(F.transform(F.concat(*rows), lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+    side = F.lit(16)
+    return four.select("image_id", F.struct(side.alias("width"), side.alias("height"), F.lit(1).alias("channels"), data.alias("data")).alias("image"))
+
+
+REGIONS_SQL = f"""top as (select *, row_number() over (partition by image_id order by confidence desc, ord) as r
+      from fx_detections where confidence >= 35e-2),
+    cand as (select image_id, r * 2 as k, 'Body (YOLO)' as region, {rect_sql('x', 'y', 'w', 'h')} as rect from top where r <= 10
+      union all select image_id, r * 2 + 1, 'Head (YOLO)', {rect_sql('x', 'y', 'w', 'h * 3e-1')} from top where r <= 10),
+    big as (select vec_id // 4 as image_id, x + 8 * (vec_id % 2) as x, y + 8 * (vec_id % 4 // 2) as y, g from fx_grid),
+    small as (select image_id, x // 2 as x, y // 2 as y, cast(sum(g) // 4 as int) as g from big group by all),
+    full_small as (select i.image_id, a.x, b.y, coalesce(s.g, 0) as g from (select distinct image_id from small) i
+      cross join (select unnest(range(8)) as x) a cross join (select unnest(range(8)) as y) b left join small s using (image_id, x, y)),
+    win as (select image_id, k, region, rect, coalesce({window_sql('rect', '8', '8')}, {{'x0': 0, 'y0': 0, 'x1': 8, 'y1': 8}}) as c from cand),
+    px as (select image_id * 100 + k as vec_id, x, y, g from full_small join win using (image_id) where x >= c.x0 and x < c.x1 and y >= c.y0 and y < c.y1),
+    {laplacian_sql('px')},
+    s as (select w.image_id, w.region, w.rect, v.*, {size_conf_sql('(rect.w * rect.h)')} as size_conf from win w join v on v.vec_id = w.image_id * 100 + w.k),
+    t as (select *, least(sqrt(greatest(var_h, 0e0) * greatest(var_v, 0e0)) / {divisor_sql('region')}, 1e0) * size_conf as sc,
+      {sharp_sql('region')} as sh, {acceptable_sql('region')} as ac from s)"""
+
+
+@register("score_regions", f"""with {REGIONS_SQL} select image_id, region, {flat_sql('rect', 'rect')}, n, sum_h, ss_h, sum_v, ss_v, {r6('sc', 'score')},
+    {status_sql('sc', 'sh', 'ac')} as status, {blur_sql('sc', 'sh', 'ac', 'var_h', 'var_v')} as blur_type from t""", "fx_detections", "fx_grid")
+def score_regions(spark, folder):
+    """Bodies and heads of the ten surest detections of an image, all scored in one pass over its pixels, which are halved first."""
+    top = top_detections(confidence_gate(view(spark, folder, "fx_detections").withColumn("box", rect("x", "y", "w", "h"))))
+    body, head = F.col("box"), head_from_body(F.col("box"))
+    both = F.array(*[F.struct(F.lit(name).alias("region"), r.alias("rect")) for name, r in (("Body (YOLO)", body), ("Head (YOLO)", head))])
+    candidates = top.groupBy("image_id").agg(F.flatten(F.collect_list(both)).alias("regions"))
+    found = score_all(large_images(spark, folder), candidates, max_side=8).where("n > 0")
+    return tidy(found.select("image_id", "region", "rect", "n", "sum_h", "ss_h", "sum_v", "ss_v", "score", "status", "blur_type"))
+
+
 def card_picks(spark, folder, root: str) -> DataFrame:
     """The regions picked for the images of a card whose names begin with an underscore."""
     path = F.concat(F.lit(f"{root}/_MG_"), F.col("image_id").cast("string"), F.lit(".png"))

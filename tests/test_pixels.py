@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from focuslake.operators import pixels as P
-from focuslake.operators.udf import block_mean, full_window, grid_moments_udf, laplacian_udf, moments
+from focuslake.operators.udf import block_mean, full_window, grid_moments_udf, laplacian_udf, moments, regions_udf
 
 MOMENT_NAMES = list(P.MOMENTS)
 
@@ -151,3 +151,41 @@ def test_one_image_with_most_pixels_is_spread(spark):
     tiles = P.with_tiles(big).groupBy("image_id", "ty", "tx").count().collect()
     assert len(tiles) >= 16 and max(r["count"] for r in tiles) <= 66 * 66
     assert P.second_difference(big).count() == 198 * 198
+
+
+@pytest.mark.parametrize("tile", [1, 3, 5, 64])
+def test_gaps(spark, tile):
+    """Missing pixels, nulls and negative levels, against a plain loop."""
+    rng = random.Random(11)
+    levels = {(y, x): rng.randrange(-300, 300) for y in range(11) for x in range(14) if rng.random() < 0.9}
+    rows = [(1, y, x, g) for (y, x), g in levels.items()] + [(1, 0, 20, None), (2, 3, 3, 1), (3, 0, 0, None)]
+    pixels = spark.createDataFrame(rows, "image_id int, y int, x int, g int").repartition(3)
+    want = {}
+    for (y, x), g in levels.items():
+        sides = [levels.get(p) for p in ((y, x - 1), (y, x + 1), (y - 1, x), (y + 1, x))]
+        if None not in sides:
+            want[y, x] = (2 * g - sides[0] - sides[1], 2 * g - sides[2] - sides[3])
+    got = {(r.y, r.x): (r.lh, r.lv) for r in P.second_difference(pixels, tile=tile).collect()}
+    assert got == want and len(want) > 20
+
+
+def test_all_regions_of_an_image_at_once(spark):
+    """Sums over any window from running sums, equal to the moments of each window cut out; blocks of one and more pixels."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i, (w, h) in enumerate([(40, 30), (3, 3), (2, 9), (17, 64)]):
+        windows = [(0, 0, w, h), (0, 0, 0, 0), (1, 1, 2, 2)]
+        for _ in range(12):
+            x0, y0 = int(rng.integers(0, w)), int(rng.integers(0, h))
+            windows.append((x0, y0, int(rng.integers(x0, w + 1)), int(rng.integers(y0, h + 1))))
+        rows.append((i, (w, h, 1, rng.integers(0, 256, w * h, np.uint8).tobytes()), windows))
+    rows += [(9, None, [(0, 0, 1, 1)]), (10, rows[0][1], None), (11, rows[0][1], [])]
+    df = spark.createDataFrame(rows, "i int, image struct<width: int, height: int, channels: int, data: binary>, windows array<struct<x0: int, y0: int, x1: int, y1: int>>")
+    for block in (1, 3):
+        got = {r.i: r.m for r in df.select("i", regions_udf(F.col("image"), F.lit(block), F.col("windows")).alias("m")).collect()}
+        assert got[9] is None and got[10] is None and got[11] == []
+        for i, image, windows in rows[:4]:
+            g = block_mean(np.frombuffer(image[3], np.uint8).reshape(image[1], image[0]).astype(int), block)
+            for (x0, y0, x1, y1), m in zip(windows, got[i], strict=True):
+                want = moments(g[y0:y1, x0:x1]) if y1 > y0 and x1 > x0 else None
+                assert (tuple(m) if m.n else None) == want
