@@ -7,7 +7,7 @@ the triangular factor against each other (one-sided Jacobi, disjoint pairs at a
 Their squared norms are then the eigenvalues and the columns divided by their norms the components; eigenvectors are
 never taken from the covariance itself, so small eigenvalues keep their digits.
 
-Rows take no part whose vector is null or empty, holds a null or a number that is not finite or not below 2^46, or
+Rows take no part whose vector is null or empty, holds a null or a number that is not finite or not below 2^56, or
 has another length than most (the longer of two lengths that are equally frequent). A null ``vec_id`` stays and repeated rows are
 answered one by one; a vector that fills a third of the table is one row of the fit. Components are numbered by falling
 eigenvalue; among equal ones the basis is any that is orthogonal. Their sign makes the largest entry positive. Directions
@@ -29,7 +29,7 @@ from .components import stored
 from .words import bound_batches
 
 SCALE, OFFSET = 64, 1_000_000
-LIMIT = float(1 << 46)
+LIMIT = float(1 << 56)   # above, x would not fit in 64 bits
 COMPONENTS = 16
 MERGED = 32          # matrices at most that reach the driver
 SWEEPS = 60

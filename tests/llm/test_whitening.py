@@ -66,6 +66,9 @@ def test_large_numbers(spark, tmp_path):
     r = np.random.default_rng(6)
     rows = [(i, (1e4 + r.normal(size=20) * np.arange(1, 21)).tolist()) for i in range(200)]
     compare(spark, rows, [(500, [1e30] * 20), (501, [-1e30] * 20)], tmp_path, "double")
+    far = [(i, [7e16 * (-1) ** i * k, 3.0 * i * i, float(k)]) for i in range(5) for k in range(1, 2)]
+    found = whitening.whiten(table(spark, far, "double"), folder=str(tmp_path / "far"))
+    assert found.select("vec_id").distinct().count() == 5 and found.where("deviation is not null").count() == 0
 
 
 def test_deviations_past_63_bits():
