@@ -9,7 +9,7 @@ from ...functions.files import file_ext, file_name
 from ...functions.labels import sidecar_path as sidecar_column
 from ...functions.scoring import is_rejected as rejected_column
 from ...operators import attempts as T, catalog as K
-from ...operators.metadata import flatten_metadata as flatten, search_metadata as search
+from ...operators.metadata import flatten_metadata as flatten, search_metadata as search, unreadable_metadata as unreadable
 from ...session import shared_folder
 from ...sources.catalog_walk import read_catalog
 from ...sources.files import write_files
@@ -306,3 +306,12 @@ def flatten_metadata(spark, folder):
     where contains(lower(key), 'click') or contains(lower(value), 'click') order by event_id, key""", "fx_meta")
 def search_metadata(spark, folder):
     return search(flatten(view(spark, folder, "fx_meta"), key="event_id"), "CLICK", "event_id")
+
+
+@register("unreadable_metadata", """select event_id, case event_id % 7 when 0 then 'not JSON, or a key is repeated' else 'not an object' end as error
+    from events where event_id % 7 in (0, 3)""")
+def unreadable_metadata(spark, folder):
+    """Documents cut off before their end, and lists in place of objects."""
+    rest, doc = F.col("event_id") % 7, F.col("doc")
+    broken = F.when(rest == 0, F.substring(doc, F.lit(1), F.length(doc) - 1)).when(rest == 3, F.concat(F.lit("["), doc, F.lit("]"))).otherwise(doc)
+    return unreadable(view(spark, folder, "fx_meta").select("event_id", broken.alias("doc")), key="event_id")

@@ -17,7 +17,9 @@ from ...sources.catalog_walk import read_catalog, stream_catalog as stream_files
 from ...sources.files import write_files
 from ...sources.images import read_images as load_images
 from ...sources.previews import write_previews
-from ...streaming.analysis import analyze_stream as run_stream, score_arrivals, stored_results
+from ...streaming.analysis import (
+    analyze_stream as run_stream, batch_counts, progress as share_done, score_arrivals, stored_results,
+)
 from ...streaming.current import current_results
 from ..focus import analyze_card as score_card, analyze_images as score_images, focus_from_grids, score_regions as score_all
 from ..views import af_tags, grids, table, view
@@ -271,6 +273,24 @@ def analyze_stream(spark, folder):
     return tidy(stored_results(spark, f"{root}/results", "vec_id"))
 
 
+@register("progress", """with n as (select count(*) as n, count(*) filter (vec_id % 4 = 0) as later from embeddings)
+    select 'before' as step, 0e0 as share from n union all select 'all but later ones', round(n / (n + later), 6) from n
+    union all select 'without those that are gone', 1e0 from n union all select 'counted', cast(n as double) from n""")
+def progress(spark, folder):
+    """How far a stream is by a listing, before its first batch, with files to come and with files that are gone; and what it counted itself."""
+    root = shared_folder(spark, "progress")
+    rows, sink = table(spark, folder, "embeddings").select("vec_id"), f"{root}/results"
+    rows.repartition(3, "vec_id").write.parquet(f"{root}/arriving")
+    shares = [("before", share_done(spark, sink, rows, "vec_id"))]
+    arriving = spark.readStream.schema("vec_id bigint").option("maxFilesPerTrigger", 1).parquet(f"{root}/arriving")
+    run_stream(arriving, lambda batch: batch, sink, f"{root}/checkpoint").awaitTermination()
+    later = rows.where("vec_id % 4 = 0").selectExpr("-1 - vec_id as vec_id")
+    shares.append(("all but later ones", share_done(spark, sink, rows.union(later), "vec_id")))
+    shares.append(("without those that are gone", share_done(spark, sink, rows.where("vec_id % 2 = 0"), "vec_id")))
+    shares.append(("counted", float(batch_counts(spark, sink).agg(F.sum("files")).first()[0])))
+    return tidy(spark.createDataFrame(shares, "step string, share double"))
+
+
 def bright_area():
     """A stand-in for a model: the box around all pixels brighter than a threshold."""
 

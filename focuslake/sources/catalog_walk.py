@@ -9,7 +9,7 @@ for. Hidden entries are left out, names that begin with an underscore are not. O
 
     content   "none" (default), "all", or the number of bytes to read from the beginning of every file
     splits    folders to find on the driver before tasks take over (64): each folder known then is one task
-    settle    streams: seconds that a file must have been there before it is read (2)
+    settle    streams: seconds that a file must have been there before it is read (2); more than clocks differ
 
 The driver lists folders from the top until ``splits`` are known; every task walks down from its own. A branch that holds most files stays
 one task: ``walk`` deals such a tree out level by level. Filters on name, path, extension, size and time are applied to entries before any content is read.

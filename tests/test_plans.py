@@ -30,7 +30,7 @@ def large(spark):
 
 IN_PYTHON = {
     "focus_from_grids", "analyze_focus", "review_note", "laplacian_udf", "detect_with", "read_images", "analyze_images", "analyze_card",
-    "scan_catalog", "scan_many_roots", "read_bytes", "write_sidecars", "catalog_walk", "catalog_content", "stream_catalog", "changed_files", "detect_in_batches", "save_sidecars", "score_regions"}
+    "scan_catalog", "scan_many_roots", "read_bytes", "write_sidecars", "catalog_walk", "catalog_content", "stream_catalog", "changed_files", "detect_in_batches", "save_sidecars", "score_regions", "progress"}
 
 
 @needs_tables
