@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as C
@@ -142,17 +144,27 @@ def score_shard(picks: DataFrame, images: DataFrame, max_side: int = C.ANALYSIS_
     return score_joined(small.join(F.broadcast(picks), "_name"), "image", path)
 
 
-def shards(counts: dict[str, int], most: int, prefix: str = "") -> list[tuple[str, int, int]]:
-    """(digits, part, parts): folders of previews to score together, none with more than ``most`` picks.
-
-    A folder with more is taken apart into those below it, and one at the bottom is scored in parts.
-    """
+def folders(counts: dict[str, int], most: int, prefix: str = "") -> list[tuple[str, int]]:
+    """Folders of previews and their picks: none with more than ``most`` but those at the bottom, the others not taken apart."""
     held = {k: n for k, n in counts.items() if k.startswith(prefix)}
     total = sum(held.values())
     if total <= most or prefix in held:
-        parts = -(-total // most)
-        return [(prefix, i, parts) for i in range(parts)]
-    return [s for d in sorted({k[len(prefix)] for k in held}) for s in shards(held, most, prefix + d)]
+        return [(prefix, total)] if total else []
+    return [f for d in sorted({k[len(prefix)] for k in held}) for f in folders(held, most, prefix + d)]
+
+
+def shards(counts: dict[str, int], most: int) -> list[tuple[list[str], int, int]]:
+    """(folders, part, parts): what is scored together, at most ``most`` picks. A single folder with more is scored in parts."""
+    out, room = [], 0
+    for folder, total in folders(counts, most):
+        if total <= room:
+            out[-1][0].append(folder)
+            room -= total
+        else:
+            parts = -(-total // most)
+            out += [([folder], i, parts) for i in range(parts)]
+            room = most - total if parts == 1 else 0
+    return out
 
 
 def analyze_card(
@@ -162,7 +174,7 @@ def analyze_card(
     """One result for each file of ``picked``, named by its path.
 
     ``previews`` is what ``write_previews`` gave for ``root``, ``(path, preview)``. The folders of previews are scored one after
-    another, or several together: their picks, at most ``most`` small rows, go to the tasks that read the images. A shuffle
+    another, small ones together: their picks, at most ``most`` small rows, go to the tasks that read the images. A shuffle
     only ever sees picks and results. Files of one stem stay apart. A file without a preview, or whose preview cannot be found, gets the values of
     one that was never analysed. Results are stored in ``folder``.
     """
@@ -174,9 +186,10 @@ def analyze_card(
     named = spark.read.schema(named.schema).parquet(f"{folder}/picks")
     counts = {r["_digits"]: r["count"] for r in named.where("_digits is not null").groupBy("_digits").count().collect()}
     done = []
-    for n, (digits, part, parts) in enumerate(shards(counts, most)):
-        mine = (F.col("_digits").startswith(digits)) & (F.pmod(F.xxhash64(path), F.lit(parts)) == part)
-        images = read_images(spark, "/".join([root.rstrip("/"), *digits]))
+    for n, (prefixes, part, parts) in enumerate(shards(counts, most)):
+        below = reduce(lambda a, b: a | b, [F.col("_digits").startswith(p) for p in prefixes])
+        mine = below & (F.pmod(F.xxhash64(path), F.lit(parts)) == part)
+        images = read_images(spark, *["/".join([root.rstrip("/"), *p]) for p in prefixes])
         score_shard(named.where(mine), images, max_side, path).write.parquet(f"{folder}/results-{n}")
         done.append(f"{folder}/results-{n}")
     if not done:

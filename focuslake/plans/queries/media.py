@@ -238,7 +238,7 @@ def analyze_card(spark, folder):
     image_folder(spark, folder, f"{root}/DCIM", "_MG_")
     write_previews(read_catalog(spark, f"{root}/DCIM", raw=False), f"{root}/previews").write.parquet(f"{root}/previews-table")
     previews = spark.read.parquet(f"{root}/previews-table")
-    return _by_number(score_card(card_picks(spark, folder, f"{root}/DCIM"), previews, f"{root}/previews", most=400))
+    return _by_number(score_card(card_picks(spark, folder, f"{root}/DCIM"), previews, f"{root}/previews", most=1_000))
 
 
 @register("stream_catalog", RESULT_SQL, "fx_detections", "fx_rects", "fx_grid")

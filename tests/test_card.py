@@ -92,10 +92,17 @@ def test_repeated_picks_and_missing_previews(spark, scored, tmp_path):
 
 
 def test_shards_are_bounded():
-    counts = {"000": 5, "001": 1, "0ff": 2, "abc": 25, "f00": 3}
-    parts = focus.shards(counts, 8)
-    assert parts == [("0", 0, 1), ("a", 0, 4), ("a", 1, 4), ("a", 2, 4), ("a", 3, 4), ("f", 0, 1)] or [p[0] for p in parts] == ["0", *["abc"] * 4, "f"]
-    assert focus.shards(counts, 100) == [("", 0, 1)] and focus.shards({}, 5) == []
+    counts = {"000": 5, "001": 1, "0ff": 2, "abc": 25, "f00": 3, "f01": 2}
+    assert focus.shards(counts, 8) == [(["0"], 0, 1), *[(["abc"], i, 4) for i in range(4)], (["f"], 0, 1)]
+    assert focus.shards(counts, 5) == [(["000"], 0, 1), (["001", "0f"], 0, 1), *[(["abc"], i, 5) for i in range(5)], (["f"], 0, 1)]
+    assert focus.shards(counts, 100) == [([""], 0, 1)] and focus.shards({}, 5) == []
+    many = {f"{i:03x}": i % 50 for i in range(4096)}
+    for most in (10, 60, 1000, 10**6):
+        found = focus.shards(many, most)
+        for prefixes, part, parts in found:
+            held = sum(n for k, n in many.items() if k.startswith(tuple(prefixes)))
+            assert held <= most * parts and (parts == 1 or len(prefixes) == 1)
+        assert sum(sum(n for k, n in many.items() if k.startswith(tuple(p))) for p, part, _ in found if not part) == sum(many.values())
 
 
 def test_no_pixel_is_shuffled(spark, scored, tmp_path):
