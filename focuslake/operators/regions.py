@@ -9,7 +9,7 @@ from ..functions.cascade import detector_region, fallback_region
 from ..functions.geometry import RECT, crop_window, eye_box, flip_rect, head_box, head_from_body, padded_extent, rect_intersect
 from ..functions.labels import normalise_label
 from ..functions.scoring import subject_size_confidence
-from .detections import largest_box, top_label
+from .detections import largest_box
 
 
 def _padded(wanted: Column, x: Column, y: Column, pad: float) -> Column:
@@ -78,8 +78,11 @@ def animal_result(
     image, a box its own.
     """
     poses = animal_regions(joints, image, pose).filter(F.col("body").isNotNull())
-    best = top_label(labels, [image]).select(image, F.col("label").alias("_any"))
-    own = top_label(labels.select(image, "ord", "label", "confidence"), [image, "ord"]).select(image, "ord", F.col("label").alias("_own"))
+    # The best label of an image is the best of those of its boxes, so labels are gone through once.
+    surest = F.struct("confidence", -F.col("ord"), "label")
+    per_box = labels.groupBy(image, "ord").agg(F.max(surest).alias("_label"))
+    best = per_box.groupBy(image).agg(F.max("_label")["label"].alias("_any"))
+    own = per_box.select(image, "ord", F.col("_label.label").alias("_own"))
     largest = largest_box(boxes.select(image, "ord", flip_rect(F.col("box")).alias("_box")), image, box="_box")
     named = largest.join(own, [image, "ord"], "left").drop("ord")
     joined = poses.join(named, image, "full").join(best, image, "left")
