@@ -28,6 +28,9 @@ def read_head(location: str, limit: int | None) -> tuple[bytes | None, str | Non
     except OSError as e:
         if isinstance(e, (FileNotFoundError, PermissionError)) or e.errno in HOPELESS:
             return None, str(e)
+        # Opening a folder has no error number of its own.
+        if type(e) is OSError and e.errno is None and not filesystem.get_file_info(path).is_file:
+            return None, str(e)
         raise
 
 
