@@ -7,8 +7,8 @@ join with the list, which removes the false positives. The filter is broadcast u
 blocks and joined by block beyond that.
 
 A null URL or one without ``://`` has an empty host and path, fits no rule and is never listed. Repeated
-rows get equal verdicts, empty tables give empty results, other columns of the pages are kept, and
-columns named like a result are replaced.
+rows get equal verdicts, empty tables give empty results, other columns of the pages are kept whatever
+their names, and columns named like a result are replaced. Long URLs are judged whole.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .names import plain
+
 BITS_PER_URL = 12
 PROBES = 6
 BROADCAST_BLOCKS = 1 << 16   # 4.7 MB
@@ -120,18 +122,19 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], url: str
     urls = listed.select(canonical(host(known), path(known)).alias("canonical")).where("canonical is not null").distinct()
     blocks = blocks_for(urls.count())
     bloom = bloom_filter(urls, blocks)
-    kept = [c for c in pages.columns if c not in RESULTS]
-    if url in RESULTS:
+    kept = [c for c in pages.columns if c.lower() not in RESULTS]
+    inner = plain(kept)
+    if url.lower() in RESULTS:
         raise ValueError(f"the column of URLs may not be named {url}")
-    parsed = pages.select(*[F.col(f"`{c}`") for c in kept], host(F.col(f"`{url}`")).alias("host"), path(F.col(f"`{url}`")).alias("path"))
+    parsed = pages.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, inner)], host(F.col(f"`{url}`")).alias("host"), path(F.col(f"`{url}`")).alias("path"))
     text, verdict = best_rule(rules, F.col("host"), F.col("path"))
     parsed = parsed.select("*", text.alias("rule"), verdict.alias("verdict"), canonical(F.col("host"), F.col("path")).alias("__url"))
     probed = possible(parsed, F.col("__url"), bloom, blocks)
     probed = probed.withColumn("__possible", F.col("__possible") & F.col("__url").isNotNull())
-    columns = [*[F.col(f"`{c}`") for c in kept], "host", "path", "rule", "verdict"]
+    columns = [*inner, "host", "path", "rule", "verdict"]
     missed = probed.where(~F.col("__possible")).select(*columns, F.lit(False).alias("listed"))
     # The exact join: rows that only share bits with a listed URL find no partner.
     exact = urls.select(F.col("canonical").alias("__url"), F.lit(True).alias("__found")).hint("shuffle_hash")
     hit = probed.where("__possible").join(exact, "__url", "left").select(*columns, F.coalesce("__found", F.lit(False)).alias("listed"))
     judged = F.coalesce("verdict", F.when(F.col("listed"), "block").otherwise("allow"))
-    return missed.union(hit).select(*[F.col(f"`{c}`") for c in kept], "host", "path", "rule", "listed", judged.alias("verdict"))
+    return missed.union(hit).select(*[F.col(n).alias(c) for c, n in zip(kept, inner)], "host", "path", "rule", "listed", judged.alias("verdict"))

@@ -52,5 +52,12 @@ def test_empty_tables_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "http://a.net/1", "mine", "y", 5)], "page_id long, url string, host string, `odd name` string, block int")
     row = filter_urls(df, spark.createDataFrame([], "url string"), RULES).first()
     assert row["host"] == "a.net" and row["odd name"] == "y" and row["block"] == 5
+    used = ["w0", "w7", "__key", "__block", "__possible", "__url", "__found", "in_0", "canonical", "Listed"]
+    wide = df.selectExpr("*", *[f"{k} as `{c}`" for k, c in enumerate(used)])
+    for listed in ([], [("http://a.net/1",)]):
+        out = filter_urls(wide, spark.createDataFrame(listed, "url string"), RULES)
+        assert [out.columns.count(c) for c in used] == [1] * (len(used) - 1) + [0]
+        row = out.first()
+        assert [row[c] for c in used[:-1]] == list(range(len(used) - 1)) and row["listed"] == bool(listed)
     plan = filter_urls(df, spark.createDataFrame([], "url string"), RULES)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
