@@ -11,7 +11,8 @@ These are compared whole, which extends a match both ways line by line, and each
 is removed.
 
 Nulls are empty texts. Repeated rows (equal ``doc_id`` and text) are one document and are cleaned alike.
-An empty table gives an empty result; all other columns are kept, but for a column named ``removed``.
+An empty table gives an empty result; all other columns are kept whatever their names, but for a column
+named ``removed``. A long text is worked on whole, with about 100 bytes of memory for each of its words.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 from ..session import shared_folder
 from .components import stored
+from .names import plain
 from .words import Slice, batch, bound_batches, run_hashes, slices, span_hashes, texts, words
 
 MIN_WORDS = 50
@@ -110,12 +112,13 @@ def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, folder: str | None = No
     """``docs`` with repeated runs cut out of ``text``, and ``removed``: the numbers of the lines cut."""
     spans = repeated_runs(docs, least, folder).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
     docs = docs.drop("removed")
-    hashed = _with_text_hash(docs)
-    joined = hashed.join(spans, F.col("_text_hash").eqNullSafe(F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    rows = joined.select(*[F.col(f"`{c}`") for c in docs.columns], "_spans")
+    at, inner = docs.columns.index("text"), plain(docs.columns)
+    hashed = _with_text_hash(docs.toDF(*inner), at)
+    doc_id = F.col(inner[docs.columns.index("doc_id")])
+    joined = hashed.join(spans, F.col("_text_hash").eqNullSafe(F.col("_hash")) & doc_id.eqNullSafe(F.col("_id")), "left")
+    rows = joined.select(*inner, "_spans")
     kept = [StructField(f.name, StringType() if f.name == "text" else f.dataType) for f in docs.schema.fields]
     schema = StructType(kept).add("removed", ArrayType(LongType()))
-    at = docs.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,14 +133,13 @@ def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, folder: str | None = No
                 texts.append(text)
                 removed.append(gone)
             columns = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.list_(pa.int64()))], names=[*b.schema.names[:-1], "removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.list_(pa.int64()))], names=schema.names)
 
     return bound_batches(rows).mapInArrow(cut, schema)
 
 
-def _with_text_hash(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_text_hash``, made as in ``all_runs``."""
-    at = docs.columns.index("text")
+def _with_text_hash(docs: DataFrame, at: int) -> DataFrame:
+    """``docs`` with ``_text_hash`` of column ``at``, made as in ``all_runs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

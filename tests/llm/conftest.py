@@ -21,7 +21,9 @@ def documents(spark, tmp_path_factory):
         full = [(i, t, "en", f"s{(i or 0) % 3}", len(t or "")) for i, t in rows]
         df = spark.createDataFrame(full, COLUMNS)
         if extra:
-            df = df.selectExpr("*", "'x' as removed", "1 as probability", "2 as leaks", "3 as key", "4 as p_toxic", "5 as count", "6 as `odd name`")
+            used = ["_spans", "_hash", "_id", "_text_hash", "__key", "kept_id", "kept_key", "_0", "__0", "mixing_source", "in_0", "in_1"]
+            df = df.selectExpr("*", "'x' as removed", "1 as probability", "2 as leaks", "3 as key", "4 as p_toxic", "5 as count", "6 as `odd name`",
+                               *[f"7 as `{c}`" for c in used])
         return df
     return make
 

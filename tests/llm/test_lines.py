@@ -43,6 +43,7 @@ def test_equals_brute_force(spark, documents, prose, tmp_path, least):
 def test_odd_rows(spark, documents, odd, tmp_path):
     rows = dedup_lines(documents(odd, extra=True), folder=str(tmp_path / "l"))
     assert rows.columns.count("removed") == 1 and "odd name" in rows.columns
+    assert {(r["_spans"], r["_hash"], r["_id"], r["_text_hash"], r["in_0"]) for r in rows.collect()} == {(7, 7, 7, 7, 7)}
     got = rows.collect()
     assert len(got) == len(odd)
     assert sorted(len(r.text or "") for r in got if r.doc_id == 2) == [0, 0]   # repeated rows are cleaned alike
