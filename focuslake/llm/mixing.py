@@ -11,7 +11,8 @@ Null values of a dimension are a value of their own; a value without a target, o
 nothing, is left out; targets are rescaled to the values that occur. Null and empty texts have no tokens
 and do not count, and share their cell's probability (a cell without any tokens is kept). Repeated rows are
 kept or left out together, and so are all rows without ``doc_id``. An empty table gives an empty result. All
-columns are kept; ``probability`` is added.
+columns are kept whatever their names; ``probability``, ``selected`` and ``mixing_<dimension>`` are added, in
+place of columns of these names. Long texts are counted whole. Documents that draw the same number share their fate.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import shared_folder
 from .components import stored
+from .names import plain
 
 SWEEPS = 60
 TOGETHER = 4    # sweeps in one plan
@@ -133,14 +135,16 @@ def mixed(docs: DataFrame, dimensions: dict[str, Column], targets, share: float
     """
     folder = folder or shared_folder(docs.sparkSession, "mixing")
     names = [f"_{k}" for k in range(len(dimensions))]
-    docs = docs.drop("probability", "selected")
-    placed = docs.withColumns(dict(zip(names, dimensions.values())))
-    cells = stored(cells_of(placed, names, tokens(F.col("text"))), f"{folder}/cells")
+    results = ["probability", "selected", *[f"mixing_{d}".lower() for d in dimensions]]
+    kept = [c for c in docs.columns if c.lower() not in results]
+    inner = dict(zip(kept, plain(kept)))
+    placed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()], *[v.alias(n) for n, v in zip(names, dimensions.values())])
+    cells = stored(cells_of(placed, names, tokens(F.col(inner["text"]))), f"{folder}/cells")
     named = cells.withColumnsRenamed(dict(zip(names, dimensions)))
     goals = targets(named)
     fitted = rake(cells, {n: goals[d] for n, d in zip(names, dimensions)}, folder)
     chances = probabilities(fitted, share, folder).select(*[F.col(n).alias(f"_{n}") for n in names], "probability")
     rows = placed.join(F.broadcast(chances) if is_small(cells) else chances, _same(placed, chances, names), "left")
-    kept = [F.col(f"`{c}`") for c in docs.columns]
-    return rows.select(*kept, *[F.col(n).alias(f"mixing_{d}") for n, d in zip(names, dimensions)], "probability",
-                       (draw(F.col("doc_id"), seed) < F.col("probability")).alias("selected"))
+    columns = [F.col(n).alias(c) for c, n in inner.items()]
+    return rows.select(*columns, *[F.col(n).alias(f"mixing_{d}") for n, d in zip(names, dimensions)], "probability",
+                       (draw(F.col(inner["doc_id"]), seed) < F.col("probability")).alias("selected"))

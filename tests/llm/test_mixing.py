@@ -47,7 +47,8 @@ def test_documents_are_drawn_by_their_cells(spark, documents, odd, prose, tmp_pa
     docs = documents(rows, extra=True).withColumn("source", F.when(F.col("doc_id") % 3 == 0, None).otherwise(F.col("source")))
     dims = {"source": F.col("source"), "form": F.when(F.col("text").contains("ba"), "b")}
     out = mixed(docs, dims, lambda c: {d: tempered(c, d, 0.5) for d in dims}, 0.4, folder=str(tmp_path / "m"))
-    assert out.columns.count("probability") == 1 and "odd name" in out.columns
+    assert out.columns.count("probability") == 1 and "odd name" in out.columns and out.columns.count("mixing_source") == 1
+    assert {(r["_0"], r["__0"], r["in_1"]) for r in out.collect()} == {(7, 7, 7)}
     assert not any(x in out._jdf.queryExecution().toString() for x in ("Python", "Arrow"))
     got = out.collect()
     assert len(got) == len(rows) and all(0 <= r.probability <= 1 and r.selected is not None for r in got)
