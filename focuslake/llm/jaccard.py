@@ -26,6 +26,7 @@ from pyspark.sql.types import BinaryType, StructType
 
 from ..session import shared_folder
 from .components import components, roots, runs, stored
+from .names import plain
 from .urls import BROADCAST_BLOCKS, blocks_for, bloom_filter, possible
 from .words import batch, bound_batches, mix, repeat_ranges, run_hashes, slices, span_hashes, texts, words
 
@@ -286,7 +287,7 @@ def exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, similari
     blocks = min(blocks_for(ids.count()), BROADCAST_BLOCKS)
     texts = possible(texts, F.col("own"), bloom_filter(ids, blocks), blocks).where("__possible").drop("__possible")
     # One text of each set, whatever its id: ids may be null or repeated.
-    one = _keyed(texts).dropDuplicates(["__key"]).select(F.col("__key").alias("key"), "text")
+    one = _keyed(texts, 1).dropDuplicates(["__key"]).select(F.col("__key").alias("key"), "text")
     sets = _sets_of(wanted.join(one, "key"))
     block = F.pmod(F.xxhash64("key"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
@@ -326,9 +327,8 @@ def _grouped(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RE
     return sign.select("doc_id", "key").join(result, "key")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with the key of each row's set as the last column, ``__key``."""
-    at = docs.columns.index("text")
+def _keyed(docs: DataFrame, at: int) -> DataFrame:
+    """``docs`` with the key of the set of column ``at`` as the last column, ``__key``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -346,6 +346,7 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("f")
     kept = _grouped(docs, **options).groupBy("root").agg(first).select(F.col("f.doc_id").alias("kept_id"), F.col("f.key").alias("kept_key"))
-    rows = _keyed(docs)
-    same = rows["doc_id"].cast("long").eqNullSafe(F.col("kept_id")) & (rows["__key"] == F.col("kept_key"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__key"]).drop("__key")
+    inner = plain(docs.columns)
+    rows, doc_id = _keyed(docs.toDF(*inner), docs.columns.index("text")), inner[docs.columns.index("doc_id")]
+    same = rows[doc_id].cast("long").eqNullSafe(F.col("kept_id")) & (rows["__key"] == F.col("kept_key"))
+    return rows.join(kept, same, "left_semi").dropDuplicates([doc_id, "__key"]).drop("__key").toDF(*docs.columns)
