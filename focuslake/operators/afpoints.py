@@ -158,15 +158,15 @@ def af_decode(tags: DataFrame, image: str = "path") -> DataFrame:
 def tag_priority(tags: DataFrame, image: str = "path") -> DataFrame:
     """``(path, tag, points, precise)``: per file the first tag, in order of preference, that decodes.
 
-    A payload without points does not count, so a stub falls through to the next tag.
+    A payload without points does not count, so a stub falls through to the next tag and never moves. Of a repeated tag
+    the least payload counts.
     """
     rank = F.array_position(F.array(*[F.lit(t) for t in C.AF_TAGS]), F.col("tag"))
-    counts = F.when((rank > 0) & has_points(F.col("vals")), rank)
-    # Payloads are compared and moved as they are; only the one that wins is decoded.
-    first = F.min_by(F.struct("tag", "vals"), counts).alias("_first")
+    # Payloads are moved as they are, and compared only where a tag is repeated; the one that wins is decoded.
+    first = F.min(F.struct(rank.alias("_rank"), "tag", "vals")).alias("_first")
     precise = F.col("tag") == PRECISE_TAG
     return (
-        tags.groupBy(image).agg(first).filter(F.col("_first").isNotNull()).select(image, "_first.*")
+        tags.where((rank > 0) & has_points(F.col("vals"))).groupBy(image).agg(first).select(image, "_first.tag", "_first.vals")
         .select(image, "tag", af_points_array(F.col("vals"), af_layout(F.col("vals")), precise).alias("points"),
                 precise.alias("precise"))
     )

@@ -41,6 +41,14 @@ def test_priority_does_not_depend_on_order(spark, order):
     assert A.tag_priority(tags(spark, *rows)).first().tag == PRECISE
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_a_repeated_tag_does_not_depend_on_order(spark, order):
+    other = [*OLD[:10], 348, 0, *OLD[12:]]
+    df = tags(spark, *[(LEGACY, OLD), (LEGACY, other), (PRECISE, STUB)][::order])
+    found, alone = (A.tag_priority(x).first() for x in (df, tags(spark, (LEGACY, min(OLD, other)))))
+    assert found == alone
+
+
 @pytest.mark.parametrize("vals", [
     None, [], [1, 1, 10, 10, 10], STUB,
     [0, 1, 10, 10, 10, 10, 5, 5, 0, 0], [1025, 1, 10, 10, 10, 10, 5, 5, 0, 0], [1, 1, 10, 10, -1, 10, 5, 5, 0, 0]])
