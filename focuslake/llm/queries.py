@@ -181,7 +181,7 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # Fixed values of the contract: rules by host and path.
-URL_RULES = [urls.Rule("block", "com", "/en/"), urls.Rule("allow", "example.com", "/en/7"), urls.Rule("block", "net", "/de/"),
+URL_RULES = [urls.Rule("block", "com", "/en/"), urls.Rule("allow", "example.com", "/en/7"), urls.Rule("allow", "net", "/de/"),
              urls.Rule("block", "example.net", "/de/8"), urls.Rule("block", "org", "/es/")]
 _RULES_SQL = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_RULES)
 
