@@ -198,11 +198,13 @@ def af_rects(tags: DataFrame, image: str = "path") -> DataFrame:
 
 def header_af_rects(headers: DataFrame, key: str = "path") -> DataFrame:
     """``(path, af_rect)`` straight from file headers ``(path, content)``: all tags of a file are in its row, nothing is shuffled."""
-    first = F.get(F.filter("_tags", lambda t: has_points(t["vals"])), F.lit(0))
-    found = headers.select(key, tag_array(F.col("content")).alias("_tags")).select(key, first.alias("_first"))
-    vals, precise = F.col("_first.vals"), F.col("_first.tag") == PRECISE_TAG
+    first = F.slice(F.filter("_tags", lambda t: has_points(t["vals"])), 1, 1)
+    found = headers.select(key, tag_array(F.col("content")).alias("_tags"))
+    # Rows come from a generator: a filter on a column would be moved before it and work out all of the column again.
+    chosen = found.select(key, F.inline_outer(first)).filter(F.col("tag").isNotNull())
+    vals, precise = F.col("vals"), F.col("tag") == PRECISE_TAG
     points = af_points_array(vals, af_layout(vals), precise)
-    return found.filter(F.col("_first").isNotNull()).select(key, bind(points, lambda p: points_union(preferred_points(p))).alias("af_rect"))
+    return chosen.select(key, bind(points, lambda p: points_union(preferred_points(p))).alias("af_rect"))
 
 
 def prefer_tier(points: DataFrame, image: str = "image_id") -> DataFrame:
