@@ -22,7 +22,7 @@ from ...streaming.analysis import (
 )
 from ...streaming.current import current_results
 from ..focus import analyze_card as score_card, analyze_images as score_images, focus_from_grids, score_regions as score_all
-from ..views import af_tags, grids, table, view
+from ..views import af_payloads, grids, table, view
 from .focus_points import AF_RECTS_SQL
 from .geometry import window_sql
 from .pixels import FLAGSHIP_SQL, LAPLACIAN_SQL, laplacian_sql, with_grid_regions
@@ -58,8 +58,8 @@ def carve_embedded_jpeg(spark, folder):
 
 
 def _u16(v: Column, little: Column) -> Column:
-    digits = F.lpad(F.hex(F.pmod(v, F.lit(65536))), 4, "0")
-    return F.when(little, F.concat(F.substring(digits, 3, 2), F.substring(digits, 1, 2))).otherwise(digits)
+    low, high = F.pmod(v, F.lit(256)), F.pmod(F.shiftright(v, 8), F.lit(256))
+    return F.lpad(F.hex(F.when(little, low * 256 + high).otherwise(high * 256 + low)), 4, "0")
 
 
 def _u32(v: int, little: Column) -> Column:
@@ -72,9 +72,7 @@ def containers(spark, folder) -> DataFrame:
 
     Every third one starts with a box of the right name and an impossible size.
     """
-    both = af_tags(spark, folder).groupBy("image_id").agg(
-        F.max(F.when(F.col("tag") != 38, F.col("vals"))).alias("new"),
-        F.max(F.when(F.col("tag") == 38, F.col("vals"))).alias("old"))
+    both = af_payloads(spark, folder)
     little = F.col("image_id") % 2 == 0
 
     def values(c: str) -> Column:

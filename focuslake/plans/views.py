@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import spread
+
 VIEWS: dict[str, tuple[str, dict[str, str]]] = {
     "fx_catalog": ("pages", {
         "path": """concat('/card/DCIM/', cast(100 + page_id % 3 as string), '/',
@@ -120,13 +122,31 @@ def anchors(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _payload(values: list[str]) -> str:
+    return f"array({', '.join(values)})"
+
+
+def af_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """``(image_id, new, old)``: both payloads of every order, the greatest of each if its number is repeated.
+
+    Orders are dealt out before payloads are built from them: rows are small on the way, and what follows keeps all cores busy.
+    """
+    orders = spread(view(spark, folder, "fx_af"), "image_id")
+    both = orders.selectExpr("image_id", f"{_payload(AF_VALUES)} as new", f"{_payload(AF_OLD_VALUES)} as old")
+    return both.groupBy("image_id").agg(F.max("new").alias("new"), F.max("old").alias("old"))
+
+
 def af_tags(spark: SparkSession, folder: str) -> DataFrame:
     """``(image_id, tag, vals)``: the newer and the older payload of every order."""
-    base = view(spark, folder, "fx_af")
-    new, old = [f"array({', '.join(v)})" for v in (AF_VALUES, AF_OLD_VALUES)]
+    base, new, old = view(spark, folder, "fx_af"), _payload(AF_VALUES), _payload(AF_OLD_VALUES)
     return base.selectExpr("image_id", f"inline(array(struct(tag, {new} as vals), struct(38 as tag, {old} as vals)))")
 
 
+def af_tags(spark: SparkSession, folder: str) -> DataFrame:
+    """``(image_id, tag, vals)``: the newer and the older payload of every order."""
+    return af_payloads(spark, folder).selectExpr("image_id", "inline(array(struct(tag, new as vals), struct(38 as tag, old as vals)))")
+
+
 # --- the same views as DuckDB text ---------------------------------------------------------------
 
 def _duck_view(name: str) -> str:

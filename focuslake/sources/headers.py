@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -76,25 +77,19 @@ def jpeg_in(data: bytes) -> bytes | None:
     return data[first:last + 2] if len(data) > 3 and 0 <= first <= last else None
 
 
-def _unsigned(data: Column, at: Column | int, size: int, little: Column | bool) -> Column:
-    """Unsigned integer at a 0-based byte place, 0 where the bytes are missing."""
-    at = F.lit(at) if isinstance(at, int) else at
+def _bytes(data: Column) -> Column:
+    """The values of all bytes, taken apart in one go; null without any."""
+    return F.when(F.length(data) > 0, F.transform(F.split(latin1(data), ""), lambda c: F.ascii(c).cast("bigint")))
 
-    def number(order) -> Column:
-        digits = F.concat(*[F.hex(F.substring(data, at + 1 + i, F.lit(1))) for i in order])
-        return F.conv(digits, 16, 10).cast("bigint")
 
-    forward, backward = number(range(size)), number(reversed(range(size)))
-    if isinstance(little, bool):
-        value = backward if little else forward
-    else:
-        value = F.when(little, backward).otherwise(forward)
-    return F.when(at + size <= F.length(data), value).otherwise(F.lit(0).cast("bigint"))
+def _unsigned(values: Column, at: Column | int, size: int, little: Column) -> Column:
+    """Unsigned integer at a 0-based place of an array of bytes."""
 
+    def number(shifts) -> Column:
+        parts = [F.get(values, F.lit(at + i) if isinstance(at, int) else at + i) * (1 << 8 * k) for i, k in enumerate(shifts)]
+        return reduce(lambda x, y: x + y, parts)
 
-def _signed16(data: Column, at: Column, little: Column) -> Column:
-    value = _unsigned(data, at, 2, little)
-    return F.when(value > 32767, value - 65536).otherwise(value).cast("int")
+    return F.when(little, number(range(size))).otherwise(number(reversed(range(size))))
 
 
 def find_box(content: Column, kind: str = "CMT3") -> Column:
@@ -104,73 +99,82 @@ def find_box(content: Column, kind: str = "CMT3") -> Column:
     otherwise the search goes on. The text is walked once, from name to name.
     """
     total = F.length(content)
-    pieces = F.split(latin1(content), kind)
     start = F.struct(F.lit(0).alias("pos"), F.lit(None).cast("binary").alias("payload"))
 
     def look(acc: Column, piece: Column) -> Column:
-        at = acc["pos"] + F.length(piece)
-        size = _unsigned(content, at - 4, 4, False)
-        valid = (at >= 4) & (at < total - 8) & (size > 8) & (at - 4 + size <= total)
+        return bind(acc["pos"] + F.length(piece), lambda at: bind(box_size(at), lambda size: step(acc, at, size)))
+
+    def box_size(at: Column) -> Column:
+        return F.when(at >= 4, F.conv(F.hex(F.substring(content, at - 3, F.lit(4))), 16, 10).cast("bigint"))
+
+    def step(acc: Column, at: Column, size: Column) -> Column:
+        valid = (at < total - 8) & (size > 8) & (at - 4 + size <= total)
         payload = F.when(valid, F.substring(content, at + 5, (size - 8).cast("int")))
         return F.struct((at + 4).alias("pos"), F.coalesce(acc["payload"], payload).alias("payload"))
 
-    # The last piece is followed by no name.
-    walked = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, look)
-    return F.when(total > 16, walked["payload"])
+    def walk(pieces: Column) -> Column:
+        # The last piece is followed by no name.
+        return F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, look)["payload"]
+
+    return F.when(total > 16, bind(F.split(latin1(content), kind), walk))
 
 
 def directory_tags(box: Column, little: Column) -> Column:
     """``array<struct<entry, tag, cnt, vals>>``: the first readable entry of each focus-point tag.
 
-    Values are read as 16-bit integers whatever type the entry declares.
+    Values are read as 16-bit integers whatever type the entry declares. Only the directory and the values of the
+    chosen entries are taken apart, whatever the size of the box.
     """
     total = F.length(box)
 
-    def entry(first: Column, i: Column) -> Column:
-        at = (first + 2 + i * 12).cast("int")
+    def part(at: Column, size: Column) -> Column:
+        return _bytes(F.substring(box, (at + 1).cast("int"), size.cast("int")))
 
-        def described(count: Column) -> Column:
-            start = F.when(count * 2 > 4, _unsigned(box, at + 8, 4, little)).otherwise(at + 8)
-            return F.struct(
-                i.alias("entry"), _unsigned(box, at, 2, little).cast("int").alias("tag"),
-                count.alias("cnt"), start.alias("start"), (at + 12 <= total).alias("whole"),
-            )
+    def listed(directory: Column, first: Column, whole: Column) -> Column:
+        def described(i: Column) -> Column:
+            return F.struct(i.alias("entry"), _unsigned(directory, i * 12, 2, little).cast("int").alias("tag"),
+                            _unsigned(directory, i * 12 + 4, 4, little).alias("cnt"))
 
-        return bind(_unsigned(box, at + 4, 4, little), described)
+        def placed(e: Column) -> Column:
+            start = F.when(e["cnt"] * 2 > 4, _unsigned(directory, e["entry"] * 12 + 8, 4, little)).otherwise(first + e["entry"] * 12 + 10)
+            return F.struct(e["entry"], e["tag"], e["cnt"], start.alias("start"))
 
-    def readable(e: Column) -> Column:
-        return e["whole"] & e["tag"].isin(*C.AF_TAGS) & (e["start"] + e["cnt"] * 2 <= total)
+        numbers = F.filter(F.sequence(F.lit(0), whole - 1), lambda i: _unsigned(directory, i * 12, 2, little).isin(*C.AF_TAGS))
+        return F.filter(F.transform(F.transform(numbers, described), placed), lambda e: e["start"] + e["cnt"] * 2 <= total)
 
-    def first_of(listed: Column, tag: int) -> Column:
-        return F.get(F.filter(listed, lambda e: e["tag"] == tag), F.lit(0))
+    def first_of(found: Column, tag: int) -> Column:
+        return F.get(F.filter(found, lambda e: e["tag"] == tag), F.lit(0))
 
-    def pick(listed: Column) -> Column:
-        return F.filter(F.array(*[first_of(listed, t) for t in C.AF_TAGS]), lambda e: e.isNotNull())
+    def pick(found: Column) -> Column:
+        return F.filter(F.array(*[first_of(found, t) for t in C.AF_TAGS]), lambda e: e.isNotNull())
 
     def with_values(e: Column) -> Column:
-        places = F.when(e["cnt"] > 0, F.sequence(F.lit(0), e["cnt"].cast("int") - 1)).otherwise(
-            F.array().cast("array<int>")
-        )
-        vals = F.transform(places, lambda k: _signed16(box, (e["start"] + k * 2).cast("int"), little))
+        def signed(values: Column, k: Column) -> Column:
+            return (_unsigned(values, k * 2, 2, little).bitwiseXOR(F.lit(32768)) - 32768).cast("int")
+
+        def read(values: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), e["cnt"].cast("int") - 1), lambda k: signed(values, k))
+
+        vals = F.when(e["cnt"] > 0, bind(part(e["start"], e["cnt"] * 2), read)).otherwise(F.array().cast("array<int>"))
         return F.struct(e["entry"], e["tag"], e["cnt"].cast("int").alias("cnt"), vals.alias("vals"))
 
     def walk(d: Column) -> Column:
-        sound = (
-            (total > 8)
-            & F.hex(F.substring(box, 1, 2)).isin("4949", "4D4D")
-            & (_unsigned(box, 2, 2, little) == 42)
-            & (d["first"] + 2 < total)
-            & (d["entries"] > 0)
-            & (d["entries"] < 500)
-        )
-        numbers = F.sequence(F.lit(0), d["entries"].cast("int") - 1)
-        listed = F.filter(F.transform(numbers, lambda i: entry(d["first"], i)), readable)
-        return F.when(sound, F.transform(bind(listed, pick), with_values))
-
-    def heading(first: Column) -> Column:
-        return F.struct(first.alias("first"), _unsigned(box, first, 2, little).alias("entries"))
-
-    return bind(bind(_unsigned(box, 4, 4, little), heading), walk)
+        # Entries that the box cuts off are not read.
+        whole = F.least(d["entries"], F.floor((total - d["first"] - 2) / 12)).cast("int")
+        found = F.when(whole > 0, bind(part(d["first"] + 2, d["entries"] * 12), lambda directory: listed(directory, d["first"], whole)))
+        chosen = F.transform(bind(found, pick), with_values)
+        none = F.array().cast("array<struct<entry: int, tag: int, cnt: int, vals: array<int>>>")
+        return F.when((d["entries"] > 0) & (d["entries"] < 500), F.coalesce(chosen, none))
+
+    def heading(head: Column) -> Column:
+        sound = F.hex(F.substring(box, 1, 2)).isin("4949", "4D4D") & (_unsigned(head, 2, 2, little) == 42)
+        return F.when((total > 8) & sound, _unsigned(head, 4, 4, little))
+
+    def entries(first: Column) -> Column:
+        size = bind(part(first, F.lit(2)), lambda two: _unsigned(two, 0, 2, little))
+        return F.struct(first.alias("first"), F.when(first + 2 < total, size).alias("entries"))
+
+    return bind(bind(bind(_bytes(F.substring(box, 1, 8)), heading), entries), walk)
 
 
 def tag_array(content: Column) -> Column:

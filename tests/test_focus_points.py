@@ -158,6 +158,13 @@ def test_inline_and_out_of_bounds_values(spark):
     assert sorted(got) == [(0, OLDEST, 2, [-1, 2]), (2, LEGACY, len(POINT), POINT)]
 
 
+def test_a_container_is_taken_apart_once(spark):
+    df = spark.createDataFrame([("p", bytearray(PAD))], "path string, content binary")
+    plan = H.extract_af_tags(df)._jdf.queryExecution().optimizedPlan().toString()
+    # One search for the name, and no number of its own for each byte.
+    assert plan.count("CMT3") == 1 and plan.count("conv(") == 1
+
+
 def test_container_to_rectangle(spark):
     rows = [("a", bytearray(PAD + box(tiff([(LEGACY, OLD), (PRECISE, STUB)], ">")) + b"z" * 20)), ("b", bytearray(PAD))]
     tags_found = H.extract_af_tags(spark.createDataFrame(rows, "path string, content binary"))
