@@ -96,7 +96,7 @@ def changed_files(spark, folder):
     more = pages.where("page_id % 5 = 0").withColumn("path", F.concat("path", F.lit("x")))
     schema = pages.schema
     for listing in (pages, grown.union(grown), back.union(more)):
-        listing.coalesce(1).write.mode("append").parquet(f"{root}/listings")
+        listing.write.mode("append").parquet(f"{root}/listings")   # as many files as tasks; a batch takes all that are new
         files = spark.readStream.schema(schema).parquet(f"{root}/listings")
         query = changes(files).writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").outputMode("append")
         query.trigger(availableNow=True).start(f"{root}/changes").awaitTermination()
