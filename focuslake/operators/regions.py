@@ -38,9 +38,9 @@ def pose_regions(joints: DataFrame, *keys: str, gate: float = C.JOINT_GATE) -> D
     )
 
 
-def animal_regions(joints: DataFrame, image: str = "image_id", pose: str = "pose") -> DataFrame:
+def animal_regions(joints: DataFrame, image: str = "image_id", pose: str = "pose", wanted: DataFrame | None = None) -> DataFrame:
     """Regions of the pose with the most joints of each image; extents first, so no join back."""
-    per_pose = pose_regions(joints, image, pose)
+    per_pose = of_images(pose_regions(joints, image, pose), wanted, image)
     priority = F.struct(F.col("joints"), -F.col(pose))
     best = F.max_by(F.struct("eye", "head", "body"), priority).alias("_best")
     return per_pose.groupBy(image).agg(best).select(image, "_best.*")
@@ -68,22 +68,31 @@ def face_eye_box(faces: DataFrame, landmarks: DataFrame, image: str = "image_id"
     return faces.join(extent, image).select(image, eye.alias("eye"))
 
 
+def of_images(rows: DataFrame, wanted: DataFrame | None, image: str = "image_id") -> DataFrame:
+    """Rows of wanted images, all for None.
+
+    Taken after a grouping by image: Spark moves the join before the grouping, and the shuffle, where ``wanted`` is
+    small enough for a broadcast, and leaves it behind otherwise.
+    """
+    return rows if wanted is None else rows.join(wanted.select(image), image, "left_semi")
+
+
 def animal_result(
-    joints: DataFrame, boxes: DataFrame, labels: DataFrame, image: str = "image_id", pose: str = "pose"
+    joints: DataFrame, boxes: DataFrame, labels: DataFrame, image: str = "image_id", pose: str = "pose", wanted: DataFrame | None = None
 ) -> DataFrame:
     """``(image_id, eye, head, body, label)`` for ``assemble_regions``: the pose if it has a body, else the largest box.
 
     ``boxes`` are animals ``(image_id, ord, box)`` counted from the bottom, the head is the top of the box;
     ``labels`` are ``(image_id, ord, label, confidence)`` of those boxes. A pose takes the best label of the
-    image, a box its own.
+    image, a box its own. ``wanted`` names the images that are needed, if not all.
     """
-    poses = animal_regions(joints, image, pose).filter(F.col("body").isNotNull())
+    poses = animal_regions(joints, image, pose, wanted).filter(F.col("body").isNotNull())
     # The best label of an image is the best of those of its boxes, so labels are gone through once.
     surest = F.struct("confidence", -F.col("ord"), "label")
-    per_box = labels.groupBy(image, "ord").agg(F.max(surest).alias("_label"))
+    per_box = of_images(labels.groupBy(image, "ord").agg(F.max(surest).alias("_label")), wanted, image)
     best = per_box.groupBy(image).agg(F.max("_label")["label"].alias("_any"))
     own = per_box.select(image, "ord", F.col("_label.label").alias("_own"))
-    largest = largest_box(boxes.select(image, "ord", flip_rect(F.col("box")).alias("_box")), image, box="_box")
+    largest = of_images(largest_box(boxes.select(image, "ord", flip_rect(F.col("box")).alias("_box")), image, box="_box"), wanted, image)
     named = largest.join(own, [image, "ord"], "left").drop("ord")
     joined = poses.join(named, image, "full").join(best, image, "left")
     posed = F.col("body").isNotNull()
@@ -92,12 +101,13 @@ def animal_result(
         F.coalesce("body", "_box").alias("body"), F.when(posed, F.col("_any")).otherwise(F.col("_own")).alias("label"))
 
 
-def human_result(faces: DataFrame, landmarks: DataFrame, image: str = "image_id") -> DataFrame:
+def human_result(faces: DataFrame, landmarks: DataFrame, image: str = "image_id", wanted: DataFrame | None = None) -> DataFrame:
     """``(image_id, eye, face)`` for ``assemble_regions``: the largest face, with an eye box if it has landmarks.
 
     ``faces`` is ``(image_id, ord, box)`` and ``landmarks`` ``(image_id, ord, x, y)``, both from the bottom.
+    ``wanted`` names the images that are needed, if not all.
     """
-    largest = largest_box(faces.select(image, "ord", "box"), image)
+    largest = of_images(largest_box(faces.select(image, "ord", "box"), image), wanted, image)
     here = landmarks.join(largest.select(image, "ord"), [image, "ord"], "left_semi")
     eyes = face_eye_box(largest, here, image)
     return largest.join(eyes, image, "left").select(image, "eye", flip_rect(F.col("box")).alias("face"))

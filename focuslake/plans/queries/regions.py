@@ -106,8 +106,8 @@ def subjects(spark, folder) -> DataFrame:
         F.when(order % 4 == 0, point(x + w / 2, y + h / 2)).alias("nose"))
 
 
-def chosen_detections(spark, folder) -> DataFrame:
-    return best_detection(top_detections(confidence_gate(subjects(spark, folder))))
+def chosen_detections(spark, folder, wanted: DataFrame | None = None) -> DataFrame:
+    return best_detection(R.of_images(top_detections(confidence_gate(subjects(spark, folder))), wanted))
 
 
 KINDS = "label in ('bird', 'cat', 'kite')"
@@ -117,21 +117,21 @@ NAMED = "ord % 7 <> 0"                          # boxes that a classifier names,
 SECOND = "cast(6123e-4 as float)"
 
 
-def animals(spark, folder) -> DataFrame:
+def animals(spark, folder, wanted: DataFrame | None = None) -> DataFrame:
     """Animals of images 100 and up: poses with a body, poses without, boxes alone; boxes with two labels, one or none."""
     poses = joints(spark, folder).where(POSED).withColumn("confidence", F.expr(FAINT))
     boxes = _boxes(spark, folder).where(KINDS)
     named = boxes.where(NAMED).select("image_id", "ord", "label", "confidence")
     second = named.where("ord % 2 = 0").withColumns({"label": F.lit("fox"), "confidence": F.expr(SECOND)})
     found = [t.withColumn("image_id", F.col("image_id") + 100) for t in (poses, boxes.select("image_id", "ord", "box"), named.union(second))]
-    return R.animal_result(*found)
+    return R.animal_result(*found, wanted=wanted)
 
 
-def humans(spark, folder) -> DataFrame:
+def humans(spark, folder, wanted: DataFrame | None = None) -> DataFrame:
     """People of images 200 and up: faces with landmarks, and faces without."""
     people = _boxes(spark, folder).where("label = 'person'").withColumn("image_id", F.col("image_id") + 200)
     marks = people.where("ord % 3 <> 0").select("image_id", "ord", F.inline(F.expr(LANDMARKS)))
-    return R.human_result(people.select("image_id", "ord", "box"), marks)
+    return R.human_result(people.select("image_id", "ord", "box"), marks, wanted=wanted)
 
 
 # Two eyes within the face, counted from its lower left corner.
@@ -288,8 +288,11 @@ PICKED_SQL = f"""{FALLBACK_SQL}, pick as ({PICK_SQL}),
 
 
 def picked(spark, folder) -> DataFrame:
-    best = chosen_detections(spark, folder)
-    return R.pick_path(assembled(spark, folder), best)
+    """The region of every image. What is known of other images is left out before it is grouped, where images are few."""
+    listed = images(spark, folder).drop("grid")
+    af = R.of_images(focus_rects(spark, folder), listed)
+    parts = R.assemble_regions(listed, animals(spark, folder, listed), humans(spark, folder, listed), af)
+    return R.pick_path(parts, chosen_detections(spark, folder, listed))
 
 
 @register("pick_path", f"""with {PICKED_SQL} select image_id, path_taken, region, label, {r6('det_conf', 'det_conf')},

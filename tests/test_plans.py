@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from focuslake.operators import pixels as P
 from focuslake.plans.queries import QUERIES
+from focuslake.plans.queries.regions import picked
 
 FOLDER = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
@@ -98,3 +99,17 @@ def test_tiles_do_not_depend_on_image_size(spark):
     big = spark.range(100 * 300).selectExpr("1 as image_id", "int(id div 300) as y", "int(id % 300) as x", "1 as g")
     most = P.with_tiles(big, 32).groupBy("ty", "tx").count().agg(F.max("count")).first()[0]
     assert most <= 34 * 34
+
+
+@needs_tables
+def test_rows_of_other_images_go_before_the_grouping(spark):
+    lines = picked(spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = [len(re.match(r"[ :+-]*", line).group()) for line in lines]
+    for k, line in enumerate(lines):
+        if "l_orderkey" in line and "Relation" in line:   # what stands above each scan of focus points, from the nearest
+            above, least = [], depth[k]
+            for i in range(k - 1, -1, -1):
+                if depth[i] < least:
+                    above, least = [*above, lines[i]], depth[i]
+            kinds = [kind for a in above for kind in ("LeftSemi", "Aggregate") if kind in a]
+            assert kinds[0] == "LeftSemi" and "Aggregate" in kinds
