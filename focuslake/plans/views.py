@@ -142,11 +142,6 @@ def af_tags(spark: SparkSession, folder: str) -> DataFrame:
     return base.selectExpr("image_id", f"inline(array(struct(tag, {new} as vals), struct(38 as tag, {old} as vals)))")
 
 
-def af_tags(spark: SparkSession, folder: str) -> DataFrame:
-    """``(image_id, tag, vals)``: the newer and the older payload of every order."""
-    return af_payloads(spark, folder).selectExpr("image_id", "inline(array(struct(tag, new as vals), struct(38 as tag, old as vals)))")
-
-
 # --- the same views as DuckDB text ---------------------------------------------------------------
 
 def _duck_view(name: str) -> str:
